@@ -1,10 +1,63 @@
-"""From raw documents to packed sequences: quality, near duplicates, benchmark leaks, secrets, packing."""
+"""From raw documents to packed sequences.
+
+Documents that the quality classifier rejects go; of each group of near duplicates the first
+document stays; documents with leaked benchmark items go; secrets are masked; what is left is
+packed. Every stage takes all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyquery.llm import decontaminate, neardup, packing, quality, secrets
+from skyquery.llm.common import held_out, stored
+from skyquery.llm.queries import table, tokenizer_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs.filter(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.classes(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, model)
+    text = secrets.redacted(F.col("text"), F.col("secret_spans"))
+    masked = found.withColumn("_masked", text)
+    size = F.when(F.size("secret_spans") > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", size).withColumn("text", F.col("_masked")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", first_of_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", secrets_masked),
+    ("best-fit packing", packed),
+]
+
+#: Trained models, signatures and tokens have no SQL form; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}")
+    return docs

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, neardup, packing, quality, secrets, substrings
-from .common import held_out
+from . import chat, counts, decontaminate, embeddings, langid, neardup, packing, quality, secrets, substrings
+from .common import held_out, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, counted in tokens and in characters as the table states them; exact copies of earlier documents
+    are deleted; stated character counts that differ from the texts are revised; the deletes are committed once more, to no effect."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    docs = docs.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    counted = stored(counts.count_tokens(docs, tokenizer_path()), "token-counts")
+    first = counted.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "mark").filter("doc_id > first")
+    of = lambda rows, version, tokens: rows.select("source", "lang", F.lit(version).alias("version"), F.col(tokens).alias("tokens"))
+    both = lambda rows: of(rows, "word_bpe_49k", "tokens").unionByName(of(rows, "characters", "n_chars"))
+    wrong = counted.join(first, "mark").filter("not doc_id > first and n_chars is distinct from length")
+    rollup = counts.Rollup(spark, f"{shared_dir(spark).rstrip('/')}/skyquery/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-load", counts.inserted(both(counted)))
+    rollup.commit("2-copies", counts.deleted(both(copies)))
+    rollup.commit("3-lengths", counts.revised(of(wrong, "characters", "n_chars"), of(wrong, "characters", "length")))
+    rollup.commit("2-copies", counts.deleted(both(copies)))
+    return rollup.totals()
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +84,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 #: What both turns of conversation -1 say: the template's own control strings.
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -97,7 +122,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_best_fit_packing, op5_secret_scans, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_ngram_jaccard_join, op4_best_fit_packing, op5_secret_scans, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_benchmark_decontamination, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
