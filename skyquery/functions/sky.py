@@ -84,11 +84,16 @@ def convert_direction(lon: Column, lat: Column, source: str, target: str) -> tup
     return to_lonlat(*rotate(matrix, *to_xyz(lon, lat)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out, and stands in the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _leap(mjd: Column) -> Column:
-    seconds = F.lit(float(LEAP_SECONDS[0][1]))
-    for day, s in LEAP_SECONDS[1:]:
-        seconds = F.when(mjd >= day, F.lit(float(s))).otherwise(seconds)
-    return seconds
+    """TAI-UTC: one second more for each of the days passed, 10 before the second of them."""
+    days = F.split(F.lit(",".join(str(day) for day, _ in LEAP_SECONDS)), ",").cast("array<double>")
+    first = LEAP_SECONDS[0][1]
+    return _let(mjd, lambda m: F.greatest(F.lit(float(first)), F.size(F.filter(days, lambda d: d <= m)) + float(first - 1)))
 
 
 def _tdb_tt(tt: Column) -> Column:
@@ -133,14 +138,19 @@ def itrf_to_wgs84(x: Column, y: Column, z: Column) -> tuple[Column, Column, Colu
     """Longitude, latitude (radians) and height (m), by Bowring's formula with one refinement."""
     e2 = WGS84_F * (2 - WGS84_F)
     b = WGS84_A * (1 - WGS84_F)
-    p = F.sqrt(x * x + y * y)
-    u = F.atan2(z * WGS84_A, p * b)
-    for _ in range(2):
-        lat = F.atan2(z + (e2 / (1 - e2)) * b * F.pow(F.sin(u), F.lit(3.0)), p - e2 * WGS84_A * F.pow(F.cos(u), F.lit(3.0)))
-        u = F.atan2((1 - WGS84_F) * F.sin(lat), F.cos(lat))
-    n = WGS84_A / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    height = F.when(F.abs(lat) < 1.3, p / F.cos(lat) - n).otherwise(z / F.sin(lat) - n * (1 - e2))
-    return F.atan2(y, x), lat, height
+
+    def latitude(c: Column, u: Column) -> Column:
+        return F.atan2(c["z"] + (e2 / (1 - e2)) * b * F.pow(F.sin(u), F.lit(3.0)), c["p"] - e2 * WGS84_A * F.pow(F.cos(u), F.lit(3.0)))
+
+    def found(c: Column) -> Column:
+        first = _let(F.atan2(c["z"] * WGS84_A, c["p"] * b), lambda u: latitude(c, u))
+        lat = _let(_let(first, lambda t: F.atan2((1 - WGS84_F) * F.sin(t), F.cos(t))), lambda u: latitude(c, u))
+        n = lambda t: WGS84_A / F.sqrt(1 - e2 * F.sin(t) * F.sin(t))
+        height = lambda t: F.when(F.abs(t) < 1.3, c["p"] / F.cos(t) - n(t)).otherwise(c["z"] / F.sin(t) - n(t) * (1 - e2))
+        return _let(lat, lambda t: F.struct(F.atan2(c["y"], c["x"]).alias("lon"), t.alias("lat"), height(t).alias("height")))
+
+    place = _let(_let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), F.sqrt(c["x"] * c["x"] + c["y"] * c["y"]).alias("p"))), found)
+    return place["lon"], place["lat"], place["height"]
 
 
 def wgs84_to_itrf(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, Column]:

@@ -20,7 +20,7 @@ from ...plans.lexer import QueryError
 from ...plans.parser import parse_expression
 from .dataset import Observation
 
-CATEGORIES = ("antenna", "field", "spw", "scan", "time", "uvdist", "correlation", "state", "observation", "array", "feed", "taql")
+CATEGORIES = ("antenna", "field", "spw", "scan", "time", "uvdist", "correlation", "state", "observation", "array", "feed", "expr")
 # Frequency units and their factors to Hz.
 FREQUENCIES = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
 
@@ -145,7 +145,7 @@ class Selection:
     observation: str = ""
     array: str = ""
     feed: str = ""
-    taql: str = ""
+    expr: str = ""
     collect_errors: bool = False
     _ids: dict = dataclasses.field(default_factory=dict, repr=False)
     _channels: list = dataclasses.field(default_factory=list, repr=False)
@@ -298,5 +298,5 @@ class Selection:
         """Correlations choose no rows; they are noted for who reads the data."""
         self._ids["correlation"] = _parts(text)
 
-    def _on_taql(self, text: str, o: Observation) -> Column:
+    def _on_expr(self, text: str, o: Observation) -> Column:
         return Compiler(Scope.of(o.rows)).condition(parse_expression(text))

@@ -42,7 +42,7 @@ def rounded(frame: DataFrame, digits: int) -> DataFrame:
     return frame.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if isinstance(k, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`") for c, k in kinds.items()])
 
 
-def taql(name: str, text: str, sql: str, digits: int = 2, keyed: dict[str, str] | None = None) -> None:
+def statement(name: str, text: str, sql: str, digits: int = 2, keyed: dict[str, str] | None = None) -> None:
     """Registers a statement. Tables named in it are read as they come; ``keyed`` gives row numbers by a column."""
     words = set(re.findall(r"[a-z_]+", text))
 
@@ -70,41 +70,41 @@ FLAGSHIP = (
     "SELECT l_returnflag, gsum(l_quantity) AS q, gmean(l_extendedprice) AS p FROM lineitem WHERE l_discount >= 0.05 "
     "GROUPBY l_returnflag HAVING gcount() > 10 ORDERBY l_returnflag"
 )
-taql("taql_flagship", FLAGSHIP, "SELECT l_returnflag, round(sum(l_quantity),2) AS q, round(avg(l_extendedprice),2) AS p FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1 HAVING count(*) > 10")
-taql("taql_select_arithmetic", "SELECT l_orderkey, l_linenumber, l_extendedprice*(1-l_discount) AS net, l_linenumber // 2 AS half, l_orderkey % 7 AS m, l_linenumber**2 AS sq, -l_linenumber AS neg FROM lineitem WHERE l_quantity > 45",
+statement("query_flagship", FLAGSHIP, "SELECT l_returnflag, round(sum(l_quantity),2) AS q, round(avg(l_extendedprice),2) AS p FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1 HAVING count(*) > 10")
+statement("query_select_arithmetic", "SELECT l_orderkey, l_linenumber, l_extendedprice*(1-l_discount) AS net, l_linenumber // 2 AS half, l_orderkey % 7 AS m, l_linenumber**2 AS sq, -l_linenumber AS neg FROM lineitem WHERE l_quantity > 45",
      "SELECT l_orderkey, l_linenumber, round(l_extendedprice*(1-l_discount),4) AS net, CAST(l_linenumber // 2 AS BIGINT) AS half, l_orderkey % 7 AS m, CAST(l_linenumber*l_linenumber AS BIGINT) AS sq, CAST(-l_linenumber AS BIGINT) AS neg FROM lineitem WHERE l_quantity > 45".replace("l_linenumber, round", "CAST(l_linenumber AS BIGINT) AS l_linenumber, round"), 4)
-taql("taql_star", "SELECT * FROM nation WHERE n_regionkey IN [1,3]", "SELECT * FROM nation WHERE n_regionkey IN (1,3)")
-taql("taql_rows_only", "SELECT FROM part WHERE p_size > 45", "SELECT CAST(p_partkey AS BIGINT) AS rownr FROM part WHERE p_size > 45", keyed={"part": "p_partkey"})
-taql("taql_rownr", "SELECT ROWNR() AS r, p_brand FROM part WHERE ROWNR() < 25", "SELECT CAST(p_partkey AS BIGINT) AS r, p_brand FROM part WHERE p_partkey < 25", keyed={"part": "p_partkey"})
-taql("taql_alias_type", "SELECT p_retailprice AS price INT, p_size AS s DOUBLE FROM part", "SELECT CAST(trunc(p_retailprice) AS INTEGER) AS price, CAST(p_size AS DOUBLE) AS s FROM part")
-taql("taql_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-taql("taql_distinct_ordered", "SELECT DISTINCT c_mktsegment FROM customer ORDERBY c_mktsegment DESC LIMIT 3", "SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1 DESC LIMIT 3")
-taql("taql_order_distinct", "SELECT n_regionkey, n_name FROM nation ORDERBY DISTINCT n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1", keyed={"nation": "n_nationkey"})
-taql("taql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDERBY o_totalprice DESC, o_orderkey LIMIT 25", "SELECT o_orderkey, round(o_totalprice,2) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-taql("taql_limit_offset", "SELECT o_orderkey FROM orders ORDERBY o_orderkey LIMIT 20 OFFSET 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
-taql("taql_limit_then_aggregate", "SELECT gsum(p_retailprice) AS s, gcount() AS n FROM part ORDERBY p_partkey LIMIT 50", "SELECT round(sum(p_retailprice),2) AS s, count(*) AS n FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50)")
-taql("taql_group_first_row", "SELECT p_brand, p_name, gcount() AS n FROM part GROUPBY p_brand", "SELECT p_brand, arg_min(p_name, p_partkey) AS p_name, count(*) AS n FROM part GROUP BY p_brand", keyed={"part": "p_partkey"})
-taql("taql_group_order_limit", "SELECT o_custkey, gsum(o_totalprice) AS s FROM orders GROUPBY o_custkey ORDERBY s DESC, o_custkey LIMIT 10", "SELECT o_custkey, round(sum(o_totalprice),2) AS s FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 10")
-taql("taql_rollup", "SELECT l_returnflag, l_linestatus, gsum(l_quantity) AS q, gcount() AS n FROM lineitem GROUPBY ROLLUP l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS q, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-taql("taql_having_expression", "SELECT o_orderpriority, gmax(o_totalprice) - gmin(o_totalprice) AS spread FROM orders GROUPBY o_orderpriority HAVING gmean(o_totalprice) > 1000 AND gcount() > 5", "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice),2) AS spread FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 1000 AND count(*) > 5")
-taql("taql_count", "COUNT FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.04", "SELECT count(*) AS n_rows FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.04")
-taql("taql_count_columns", "COUNT l_returnflag FROM lineitem", "SELECT l_returnflag, count(*) AS n_rows FROM lineitem GROUP BY 1")
-taql("taql_calc", "CALC 10/3 + 2**10 FROM region", "SELECT CAST(1027 AS BIGINT) AS expr FROM region")
-taql("taql_with", "WITH (SELECT o_custkey, gcount() AS n FROM orders GROUPBY o_custkey) AS per SELECT gmax(n) AS most, gmean(n) AS mean FROM per", "SELECT max(n) AS most, round(avg(n),2) AS mean FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
-taql("taql_subquery", "SELECT c, gcount() AS n FROM (SELECT c_nationkey AS c, c_acctbal AS b FROM customer WHERE c_acctbal > 0) t GROUPBY c", "SELECT CAST(c_nationkey AS BIGINT) AS c, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
-taql("taql_giving", "SELECT n_name AS name FROM nation WHERE n_regionkey = 2 GIVING picked", "SELECT n_name AS name FROM nation WHERE n_regionkey = 2")
+statement("query_star", "SELECT * FROM nation WHERE n_regionkey IN [1,3]", "SELECT * FROM nation WHERE n_regionkey IN (1,3)")
+statement("query_rows_only", "SELECT FROM part WHERE p_size > 45", "SELECT CAST(p_partkey AS BIGINT) AS rownr FROM part WHERE p_size > 45", keyed={"part": "p_partkey"})
+statement("query_rownr", "SELECT ROWNR() AS r, p_brand FROM part WHERE ROWNR() < 25", "SELECT CAST(p_partkey AS BIGINT) AS r, p_brand FROM part WHERE p_partkey < 25", keyed={"part": "p_partkey"})
+statement("query_alias_type", "SELECT p_retailprice AS price INT, p_size AS s DOUBLE FROM part", "SELECT CAST(trunc(p_retailprice) AS INTEGER) AS price, CAST(p_size AS DOUBLE) AS s FROM part")
+statement("query_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+statement("query_distinct_ordered", "SELECT DISTINCT c_mktsegment FROM customer ORDERBY c_mktsegment DESC LIMIT 3", "SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1 DESC LIMIT 3")
+statement("query_order_distinct", "SELECT n_regionkey, n_name FROM nation ORDERBY DISTINCT n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1", keyed={"nation": "n_nationkey"})
+statement("query_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDERBY o_totalprice DESC, o_orderkey LIMIT 25", "SELECT o_orderkey, round(o_totalprice,2) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+statement("query_limit_offset", "SELECT o_orderkey FROM orders ORDERBY o_orderkey LIMIT 20 OFFSET 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
+statement("query_limit_then_aggregate", "SELECT gsum(p_retailprice) AS s, gcount() AS n FROM part ORDERBY p_partkey LIMIT 50", "SELECT round(sum(p_retailprice),2) AS s, count(*) AS n FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50)")
+statement("query_group_first_row", "SELECT p_brand, p_name, gcount() AS n FROM part GROUPBY p_brand", "SELECT p_brand, arg_min(p_name, p_partkey) AS p_name, count(*) AS n FROM part GROUP BY p_brand", keyed={"part": "p_partkey"})
+statement("query_group_order_limit", "SELECT o_custkey, gsum(o_totalprice) AS s FROM orders GROUPBY o_custkey ORDERBY s DESC, o_custkey LIMIT 10", "SELECT o_custkey, round(sum(o_totalprice),2) AS s FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 10")
+statement("query_rollup", "SELECT l_returnflag, l_linestatus, gsum(l_quantity) AS q, gcount() AS n FROM lineitem GROUPBY ROLLUP l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS q, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+statement("query_having_expression", "SELECT o_orderpriority, gmax(o_totalprice) - gmin(o_totalprice) AS spread FROM orders GROUPBY o_orderpriority HAVING gmean(o_totalprice) > 1000 AND gcount() > 5", "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice),2) AS spread FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 1000 AND count(*) > 5")
+statement("query_count", "COUNT FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.04", "SELECT count(*) AS n_rows FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.04")
+statement("query_count_columns", "COUNT l_returnflag FROM lineitem", "SELECT l_returnflag, count(*) AS n_rows FROM lineitem GROUP BY 1")
+statement("query_calc", "CALC 10/3 + 2**10 FROM region", "SELECT CAST(1027 AS BIGINT) AS expr FROM region")
+statement("query_with", "WITH (SELECT o_custkey, gcount() AS n FROM orders GROUPBY o_custkey) AS per SELECT gmax(n) AS most, gmean(n) AS mean FROM per", "SELECT max(n) AS most, round(avg(n),2) AS mean FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+statement("query_subquery", "SELECT c, gcount() AS n FROM (SELECT c_nationkey AS c, c_acctbal AS b FROM customer WHERE c_acctbal > 0) t GROUPBY c", "SELECT CAST(c_nationkey AS BIGINT) AS c, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+statement("query_giving", "SELECT n_name AS name FROM nation WHERE n_regionkey = 2 GIVING picked", "SELECT n_name AS name FROM nation WHERE n_regionkey = 2")
 
 # --- joins ---
-taql("join_equi", "SELECT n.n_name AS nation, gcount() AS n, gsum(o.o_totalprice) AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUPBY n.n_name",
+statement("join_equi", "SELECT n.n_name AS nation, gcount() AS n, gsum(o.o_totalprice) AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUPBY n.n_name",
      "SELECT n_name AS nation, count(*) AS n, round(sum(o_totalprice),2) AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-taql("join_comma_where", "SELECT r.r_name AS region, gcount() AS n FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey GROUPBY r.r_name", "SELECT r_name AS region, count(*) AS n FROM nation, region WHERE n_regionkey = r_regionkey GROUP BY 1")
-taql("join_cross", "SELECT gcount() AS n FROM nation n, region r", "SELECT count(*) AS n FROM nation, region")
-taql("join_theta", "SELECT gcount() AS n, gsum(s.s_acctbal) AS b FROM region r JOIN supplier s ON s.s_nationkey < r.r_regionkey", "SELECT count(*) AS n, round(coalesce(sum(s_acctbal),0),2) AS b FROM region JOIN supplier ON s_nationkey < r_regionkey")
-taql("join_star", "SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", 'SELECT n_nationkey AS "n.n_nationkey", n_name AS "n.n_name", n_regionkey AS "n.n_regionkey", r_regionkey AS "r.r_regionkey", r_name AS "r.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey')
-taql("join_left", "SELECT gcount() AS n, gsum(IIF(ISNULL(o.o_orderkey), 1, 0)) AS without FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT count(*) AS n, round(sum(CASE WHEN o_orderkey IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE,2) AS without FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
-taql("join_semi_in", "SELECT gcount() AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-taql("join_anti_in", "SELECT gcount() AS n FROM customer WHERE NOT c_custkey IN (SELECT o_custkey FROM orders)", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-taql("join_exists", "SELECT gcount() AS n FROM region WHERE EXISTS (SELECT n_name FROM nation WHERE n_nationkey > 20)", "SELECT count(*) AS n FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)")
+statement("join_comma_where", "SELECT r.r_name AS region, gcount() AS n FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey GROUPBY r.r_name", "SELECT r_name AS region, count(*) AS n FROM nation, region WHERE n_regionkey = r_regionkey GROUP BY 1")
+statement("join_cross", "SELECT gcount() AS n FROM nation n, region r", "SELECT count(*) AS n FROM nation, region")
+statement("join_theta", "SELECT gcount() AS n, gsum(s.s_acctbal) AS b FROM region r JOIN supplier s ON s.s_nationkey < r.r_regionkey", "SELECT count(*) AS n, round(coalesce(sum(s_acctbal),0),2) AS b FROM region JOIN supplier ON s_nationkey < r_regionkey")
+statement("join_star", "SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", 'SELECT n_nationkey AS "n.n_nationkey", n_name AS "n.n_name", n_regionkey AS "n.n_regionkey", r_regionkey AS "r.r_regionkey", r_name AS "r.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey')
+statement("join_left", "SELECT gcount() AS n, gsum(IIF(ISNULL(o.o_orderkey), 1, 0)) AS without FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT count(*) AS n, round(sum(CASE WHEN o_orderkey IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE,2) AS without FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+statement("join_semi_in", "SELECT gcount() AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+statement("join_anti_in", "SELECT gcount() AS n FROM customer WHERE NOT c_custkey IN (SELECT o_custkey FROM orders)", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+statement("join_exists", "SELECT gcount() AS n FROM region WHERE EXISTS (SELECT n_name FROM nation WHERE n_nationkey > 20)", "SELECT count(*) AS n FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)")
 
 # --- aggregates ---
 for _name, _call, _sql in (
@@ -115,52 +115,52 @@ for _name, _call, _sql in (
     ("sumsqr", "gsumsqr(l_tax)", "round(sum(l_tax*l_tax),4)"), ("median", "gmedian(l_quantity)", "round(median(l_quantity),4)"), ("fractile", "gfractile(l_quantity, 0.25)", "round(quantile_cont(l_quantity,0.25),4)"),
     ("count_distinct", "gcount(DISTINCT l_suppkey)", "count(DISTINCT l_suppkey)"), ("sums", "gsums(l_linenumber)", "CAST(sum(l_linenumber) AS DOUBLE)"),
 ):
-    taql(f"agg_{_name}", f"SELECT l_returnflag, {_call} AS v FROM lineitem GROUPBY l_returnflag", f"SELECT l_returnflag, {_sql} AS v FROM lineitem GROUP BY 1", 4)
-taql("agg_product", "SELECT n_regionkey, gproduct(n_nationkey+1) AS v FROM nation GROUPBY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, round(product(n_nationkey+1),2) AS v FROM nation GROUP BY 1")
-taql("agg_first_last", "SELECT p_brand, gfirst(p_retailprice) AS f, glast(p_retailprice) AS l, growid(p_size) AS r FROM part GROUPBY p_brand", "SELECT p_brand, round(arg_min(p_retailprice,p_partkey),2) AS f, round(arg_max(p_retailprice,p_partkey),2) AS l, CAST(min(p_partkey) AS BIGINT) AS r FROM part GROUP BY 1", keyed={"part": "p_partkey"})
-taql("agg_hist", "SELECT ghist(l_quantity, 4, 10.0, 50.0) AS h FROM lineitem", "SELECT [CAST(count(*) FILTER (WHERE l_quantity<10) AS DOUBLE), count(*) FILTER (WHERE l_quantity>=10 AND l_quantity<20), count(*) FILTER (WHERE l_quantity>=20 AND l_quantity<30), count(*) FILTER (WHERE l_quantity>=30 AND l_quantity<40), count(*) FILTER (WHERE l_quantity>=40 AND l_quantity<50), count(*) FILTER (WHERE l_quantity>=50)] AS h FROM lineitem")
-taql("agg_aggr", "SELECT n_regionkey, gaggr(n_nationkey) AS a FROM nation GROUPBY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS a FROM nation GROUP BY 1", keyed={"nation": "n_nationkey"})
-taql("agg_of_expression", "SELECT gsum(l_extendedprice*(1-l_discount)) / gcount() AS mean_net, gmax(l_quantity) + 1 AS m FROM lineitem", "SELECT round(sum(l_extendedprice*(1-l_discount))/count(*),2) AS mean_net, round(max(l_quantity)+1,2) AS m FROM lineitem")
+    statement(f"agg_{_name}", f"SELECT l_returnflag, {_call} AS v FROM lineitem GROUPBY l_returnflag", f"SELECT l_returnflag, {_sql} AS v FROM lineitem GROUP BY 1", 4)
+statement("agg_product", "SELECT n_regionkey, gproduct(n_nationkey+1) AS v FROM nation GROUPBY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, round(product(n_nationkey+1),2) AS v FROM nation GROUP BY 1")
+statement("agg_first_last", "SELECT p_brand, gfirst(p_retailprice) AS f, glast(p_retailprice) AS l, growid(p_size) AS r FROM part GROUPBY p_brand", "SELECT p_brand, round(arg_min(p_retailprice,p_partkey),2) AS f, round(arg_max(p_retailprice,p_partkey),2) AS l, CAST(min(p_partkey) AS BIGINT) AS r FROM part GROUP BY 1", keyed={"part": "p_partkey"})
+statement("agg_hist", "SELECT ghist(l_quantity, 4, 10.0, 50.0) AS h FROM lineitem", "SELECT [CAST(count(*) FILTER (WHERE l_quantity<10) AS DOUBLE), count(*) FILTER (WHERE l_quantity>=10 AND l_quantity<20), count(*) FILTER (WHERE l_quantity>=20 AND l_quantity<30), count(*) FILTER (WHERE l_quantity>=30 AND l_quantity<40), count(*) FILTER (WHERE l_quantity>=40 AND l_quantity<50), count(*) FILTER (WHERE l_quantity>=50)] AS h FROM lineitem")
+statement("agg_aggr", "SELECT n_regionkey, gaggr(n_nationkey) AS a FROM nation GROUPBY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS a FROM nation GROUP BY 1", keyed={"nation": "n_nationkey"})
+statement("agg_of_expression", "SELECT gsum(l_extendedprice*(1-l_discount)) / gcount() AS mean_net, gmax(l_quantity) + 1 AS m FROM lineitem", "SELECT round(sum(l_extendedprice*(1-l_discount))/count(*),2) AS mean_net, round(max(l_quantity)+1,2) AS m FROM lineitem")
 
 # --- operators and predicates ---
-taql("expr_integer_division", "SELECT o_orderkey / 7 AS d, -o_orderkey / 7 AS nd, o_orderkey // 3 AS f FROM orders", "SELECT CAST(trunc(o_orderkey / 7) AS BIGINT) AS d, CAST(trunc(-o_orderkey / 7) AS BIGINT) AS nd, CAST(trunc(o_orderkey / 3) AS BIGINT) AS f FROM orders")
-taql("expr_bits", "SELECT o_orderkey & 255 AS a, o_orderkey | 7 AS o, o_orderkey ^ 21 AS x, ~o_orderkey AS n FROM orders", "SELECT o_orderkey & 255 AS a, o_orderkey | 7 AS o, xor(o_orderkey, 21) AS x, -o_orderkey - 1 AS n FROM orders")
-taql("expr_power_modulo", "SELECT 2**l_linenumber AS p, l_quantity % 7 AS m, l_quantity**2 AS q FROM lineitem WHERE l_orderkey < 1000", "SELECT CAST(power(2,l_linenumber) AS BIGINT) AS p, round(fmod(l_quantity,7),4) AS m, round(l_quantity*l_quantity,4) AS q FROM lineitem WHERE l_orderkey < 1000", 4)
-taql("expr_near", "SELECT gcount() AS n FROM lineitem WHERE l_discount ~= 0.05", "SELECT count(*) AS n FROM lineitem WHERE abs(l_discount - 0.05) < 1e-5")
-taql("expr_logic", "SELECT gcount() AS n FROM lineitem WHERE (l_quantity > 30 OR l_tax = 0) AND NOT l_returnflag = 'R'", "SELECT count(*) AS n FROM lineitem WHERE (l_quantity > 30 OR l_tax = 0) AND NOT l_returnflag = 'R'")
-taql("expr_in_between", "SELECT gcount() AS n FROM lineitem WHERE l_linenumber IN [1,3,5] AND l_quantity NOT BETWEEN 10 AND 20", "SELECT count(*) AS n FROM lineitem WHERE l_linenumber IN (1,3,5) AND NOT l_quantity BETWEEN 10 AND 20")
-taql("expr_like", "SELECT gcount() AS n FROM customer WHERE c_name LIKE '%0?1' AND c_mktsegment ILIKE 'b%'", "SELECT count(*) AS n FROM customer WHERE regexp_full_match(c_name, '.*0.1') AND c_mktsegment ILIKE 'b%'")
-taql("expr_regex", "SELECT gcount() AS n, gntrue(p_type ~ p/*STEEL*/) AS g, gntrue(p_name ~ m/[aeiou]{2}/i) AS m FROM part WHERE p_brand !~ '5$'", "SELECT count(*) AS n, count(*) FILTER (WHERE p_type LIKE '%STEEL%') AS g, count(*) FILTER (WHERE regexp_matches(lower(p_name), '[aeiou]{2}')) AS m FROM part WHERE NOT regexp_matches(p_brand, '5$')")
-taql("expr_iif", "SELECT o_orderstatus, gsum(IIF(o_totalprice > 100000, 1, 0.5)) AS w FROM orders GROUPBY o_orderstatus", "SELECT o_orderstatus, round(sum(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.5 END)::DOUBLE,2) AS w FROM orders GROUP BY 1")
-taql("expr_concat", "SELECT c_name + ':' + c_nationkey AS t, 'v' + c_acctbal AS v FROM customer", "SELECT c_name || ':' || CAST(c_nationkey AS VARCHAR) AS t, 'v' || printf('%.6f', c_acctbal) AS v FROM customer")
-taql("expr_units", "SELECT gsum(l_quantity km) AS m, gsum(5deg) AS r FROM lineitem WHERE l_linenumber = 1", "SELECT round(sum(l_quantity*1000.0),2) AS m, round(count(*)*5*pi()/180,2) AS r FROM lineitem WHERE l_linenumber = 1")
-taql("expr_around", "SELECT gcount() AS n FROM lineitem WHERE l_quantity AROUND 25 IN 3", "SELECT count(*) AS n FROM lineitem WHERE abs(l_quantity - 25) <= 3")
-taql("expr_subscript", "SELECT vec_id, embedding[3] AS e, ARRSUM(embedding[2:6]) AS s, c_x AS t FROM (SELECT vec_id, embedding, 'abc'[1] AS c_x FROM embeddings) q", "SELECT vec_id, round(embedding[4]::DOUBLE,6) AS e, round(embedding[3]::DOUBLE+embedding[4]::DOUBLE+embedding[5]::DOUBLE+embedding[6]::DOUBLE,6) AS s, 'b' AS t FROM embeddings", 6)
-taql("expr_complex", "SELECT o_orderkey, REAL(COMPLEX(o_orderkey,2)*COMPLEX(1,-3)) AS re, IMAG(COMPLEX(o_orderkey,2)*COMPLEX(1,-3)) AS im, NORM(COMPLEX(3,4)) AS n FROM orders", "SELECT o_orderkey, CAST(o_orderkey + 6 AS DOUBLE) AS re, CAST(2 - 3*o_orderkey AS DOUBLE) AS im, 25.0::DOUBLE AS n FROM orders")
-taql("expr_record", "SELECT gcount() AS n FROM nation WHERE ISNULL([]) AND ISDEF(n_name)", "SELECT count(*) AS n FROM nation")
+statement("expr_integer_division", "SELECT o_orderkey / 7 AS d, -o_orderkey / 7 AS nd, o_orderkey // 3 AS f FROM orders", "SELECT CAST(trunc(o_orderkey / 7) AS BIGINT) AS d, CAST(trunc(-o_orderkey / 7) AS BIGINT) AS nd, CAST(trunc(o_orderkey / 3) AS BIGINT) AS f FROM orders")
+statement("expr_bits", "SELECT o_orderkey & 255 AS a, o_orderkey | 7 AS o, o_orderkey ^ 21 AS x, ~o_orderkey AS n FROM orders", "SELECT o_orderkey & 255 AS a, o_orderkey | 7 AS o, xor(o_orderkey, 21) AS x, -o_orderkey - 1 AS n FROM orders")
+statement("expr_power_modulo", "SELECT 2**l_linenumber AS p, l_quantity % 7 AS m, l_quantity**2 AS q FROM lineitem WHERE l_orderkey < 1000", "SELECT CAST(power(2,l_linenumber) AS BIGINT) AS p, round(fmod(l_quantity,7),4) AS m, round(l_quantity*l_quantity,4) AS q FROM lineitem WHERE l_orderkey < 1000", 4)
+statement("expr_near", "SELECT gcount() AS n FROM lineitem WHERE l_discount ~= 0.05", "SELECT count(*) AS n FROM lineitem WHERE abs(l_discount - 0.05) < 1e-5")
+statement("expr_logic", "SELECT gcount() AS n FROM lineitem WHERE (l_quantity > 30 OR l_tax = 0) AND NOT l_returnflag = 'R'", "SELECT count(*) AS n FROM lineitem WHERE (l_quantity > 30 OR l_tax = 0) AND NOT l_returnflag = 'R'")
+statement("expr_in_between", "SELECT gcount() AS n FROM lineitem WHERE l_linenumber IN [1,3,5] AND l_quantity NOT BETWEEN 10 AND 20", "SELECT count(*) AS n FROM lineitem WHERE l_linenumber IN (1,3,5) AND NOT l_quantity BETWEEN 10 AND 20")
+statement("expr_like", "SELECT gcount() AS n FROM customer WHERE c_name LIKE '%0?1' AND c_mktsegment ILIKE 'b%'", "SELECT count(*) AS n FROM customer WHERE regexp_full_match(c_name, '.*0.1') AND c_mktsegment ILIKE 'b%'")
+statement("expr_regex", "SELECT gcount() AS n, gntrue(p_type ~ p/*STEEL*/) AS g, gntrue(p_name ~ m/[aeiou]{2}/i) AS m FROM part WHERE p_brand !~ '5$'", "SELECT count(*) AS n, count(*) FILTER (WHERE p_type LIKE '%STEEL%') AS g, count(*) FILTER (WHERE regexp_matches(lower(p_name), '[aeiou]{2}')) AS m FROM part WHERE NOT regexp_matches(p_brand, '5$')")
+statement("expr_iif", "SELECT o_orderstatus, gsum(IIF(o_totalprice > 100000, 1, 0.5)) AS w FROM orders GROUPBY o_orderstatus", "SELECT o_orderstatus, round(sum(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.5 END)::DOUBLE,2) AS w FROM orders GROUP BY 1")
+statement("expr_concat", "SELECT c_name + ':' + c_nationkey AS t, 'v' + c_acctbal AS v FROM customer", "SELECT c_name || ':' || CAST(c_nationkey AS VARCHAR) AS t, 'v' || printf('%.6f', c_acctbal) AS v FROM customer")
+statement("expr_units", "SELECT gsum(l_quantity km) AS m, gsum(5deg) AS r FROM lineitem WHERE l_linenumber = 1", "SELECT round(sum(l_quantity*1000.0),2) AS m, round(count(*)*5*pi()/180,2) AS r FROM lineitem WHERE l_linenumber = 1")
+statement("expr_around", "SELECT gcount() AS n FROM lineitem WHERE l_quantity AROUND 25 IN 3", "SELECT count(*) AS n FROM lineitem WHERE abs(l_quantity - 25) <= 3")
+statement("expr_subscript", "SELECT vec_id, embedding[3] AS e, ARRSUM(embedding[2:6]) AS s, c_x AS t FROM (SELECT vec_id, embedding, 'abc'[1] AS c_x FROM embeddings) q", "SELECT vec_id, round(embedding[4]::DOUBLE,6) AS e, round(embedding[3]::DOUBLE+embedding[4]::DOUBLE+embedding[5]::DOUBLE+embedding[6]::DOUBLE,6) AS s, 'b' AS t FROM embeddings", 6)
+statement("expr_complex", "SELECT o_orderkey, REAL(COMPLEX(o_orderkey,2)*COMPLEX(1,-3)) AS re, IMAG(COMPLEX(o_orderkey,2)*COMPLEX(1,-3)) AS im, NORM(COMPLEX(3,4)) AS n FROM orders", "SELECT o_orderkey, CAST(o_orderkey + 6 AS DOUBLE) AS re, CAST(2 - 3*o_orderkey AS DOUBLE) AS im, 25.0::DOUBLE AS n FROM orders")
+statement("expr_record", "SELECT gcount() AS n FROM nation WHERE ISNULL([]) AND ISDEF(n_name)", "SELECT count(*) AS n FROM nation")
 
 # --- functions ---
-taql("fn_trig", "SELECT l_orderkey, l_linenumber, SIN(l_tax) AS s, COS(l_tax) AS c, TAN(l_tax) AS t, ASIN(l_tax) AS a, ATAN2(l_tax, l_discount+1) AS a2, EXP(l_tax) AS e, LOG(l_quantity) AS l, LOG10(l_quantity) AS l10, SQRT(l_quantity) AS q FROM lineitem WHERE l_orderkey < 2000",
+statement("fn_trig", "SELECT l_orderkey, l_linenumber, SIN(l_tax) AS s, COS(l_tax) AS c, TAN(l_tax) AS t, ASIN(l_tax) AS a, ATAN2(l_tax, l_discount+1) AS a2, EXP(l_tax) AS e, LOG(l_quantity) AS l, LOG10(l_quantity) AS l10, SQRT(l_quantity) AS q FROM lineitem WHERE l_orderkey < 2000",
      "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(sin(l_tax),6) AS s, round(cos(l_tax),6) AS c, round(tan(l_tax),6) AS t, round(asin(l_tax),6) AS a, round(atan2(l_tax, l_discount+1),6) AS a2, round(exp(l_tax),6) AS e, round(ln(l_quantity),6) AS l, round(log10(l_quantity),6) AS l10, round(sqrt(l_quantity),6) AS q FROM lineitem WHERE l_orderkey < 2000", 6)
-taql("fn_rounding", "SELECT p_partkey, ROUND(p_retailprice) AS r, FLOOR(p_retailprice) AS f, CEIL(p_retailprice) AS c, ABS(-p_size) AS a, SIGN(p_size-25) AS s, SQUARE(p_size) AS q, CUBE(p_size) AS u, INT(p_retailprice) AS i, FMOD(p_retailprice,7) AS m, MIN(p_size,20) AS lo, MAX(p_size,20) AS hi FROM part",
+statement("fn_rounding", "SELECT p_partkey, ROUND(p_retailprice) AS r, FLOOR(p_retailprice) AS f, CEIL(p_retailprice) AS c, ABS(-p_size) AS a, SIGN(p_size-25) AS s, SQUARE(p_size) AS q, CUBE(p_size) AS u, INT(p_retailprice) AS i, FMOD(p_retailprice,7) AS m, MIN(p_size,20) AS lo, MAX(p_size,20) AS hi FROM part",
      "SELECT p_partkey, round(p_retailprice) AS r, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, CAST(p_size AS DOUBLE) AS a, CAST(sign(p_size-25) AS DOUBLE) AS s, CAST(p_size*p_size AS DOUBLE) AS q, CAST(p_size*p_size*p_size AS DOUBLE) AS u, CAST(trunc(p_retailprice) AS BIGINT) AS i, round(fmod(p_retailprice,7),6) AS m, CAST(least(p_size,20) AS DOUBLE) AS lo, CAST(greatest(p_size,20) AS DOUBLE) AS hi FROM part", 6)
-taql("fn_strings", "SELECT p_partkey, STRLEN(p_name) AS n, UPPER(p_name) AS u, LOWER(p_type) AS l, TRIM('  '+p_brand+' ') AS t, SREVERSE(p_brand) AS r, SUBSTR(p_name,2,4) AS s, REPLACE(p_type,'E','#') AS x FROM part",
+statement("fn_strings", "SELECT p_partkey, STRLEN(p_name) AS n, UPPER(p_name) AS u, LOWER(p_type) AS l, TRIM('  '+p_brand+' ') AS t, SREVERSE(p_brand) AS r, SUBSTR(p_name,2,4) AS s, REPLACE(p_type,'E','#') AS x FROM part",
      "SELECT p_partkey, CAST(strlen(p_name) AS BIGINT) AS n, upper(p_name) AS u, lower(p_type) AS l, trim('  '||p_brand||' ') AS t, reverse(p_brand) AS r, substr(p_name,3,4) AS s, replace(p_type,'E','#') AS x FROM part")
-taql("fn_dates", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, WEEKDAY(o_orderdate) AS w, WEEK(o_orderdate) AS k, CMONTH(o_orderdate) AS cm, CDOW(o_orderdate) AS cd, CTOD(o_orderdate) AS c, DATE(o_orderdate) AS mjd FROM orders",
+statement("fn_dates", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, WEEKDAY(o_orderdate) AS w, WEEK(o_orderdate) AS k, CMONTH(o_orderdate) AS cm, CDOW(o_orderdate) AS cd, CTOD(o_orderdate) AS c, DATE(o_orderdate) AS mjd FROM orders",
      "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofweek(o_orderdate) AS w, CAST((dayofyear(o_orderdate)-1)//7+1 AS BIGINT) AS k, strftime(o_orderdate,'%b') AS cm, strftime(o_orderdate,'%a') AS cd, strftime(o_orderdate,'%Y/%m/%d/%H:%M:%S') AS c, CAST(date_diff('day', DATE '1858-11-17', CAST(o_orderdate AS DATE)) AS DOUBLE) AS mjd FROM orders")
-taql("fn_datetime_filter", "COUNT FROM lineitem WHERE l_shipdate >= DATETIME('1995/01/01') AND l_shipdate < DATETIME('1996-01-01')", "SELECT count(*) AS n_rows FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01'")
-taql("fn_angles", "SELECT p_partkey, HMS(p_size/10.0) AS h, DMS(p_size/20.0) AS d, NORMANGLE(-p_size) AS n, ANGDIST(p_size/50.0, 0.1, 1.0, p_size/100.0) AS a, INCONE(p_size/50.0, 0.1, 0.5, 0.2, 0.3) AS i FROM part",
+statement("fn_datetime_filter", "COUNT FROM lineitem WHERE l_shipdate >= DATETIME('1995/01/01') AND l_shipdate < DATETIME('1996-01-01')", "SELECT count(*) AS n_rows FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01'")
+statement("fn_angles", "SELECT p_partkey, HMS(p_size/10.0) AS h, DMS(p_size/20.0) AS d, NORMANGLE(-p_size) AS n, ANGDIST(p_size/50.0, 0.1, 1.0, p_size/100.0) AS a, INCONE(p_size/50.0, 0.1, 0.5, 0.2, 0.3) AS i FROM part",
      """SELECT p_partkey, printf('%02d:%02d:%06.3f', CAST(floor(h) AS INT), CAST(floor((h-floor(h))*60) AS INT), ((h-floor(h))*60-floor((h-floor(h))*60))*60) AS h,
      printf('+%02d.%02d.%06.3f', CAST(floor(g) AS INT), CAST(floor((g-floor(g))*60) AS INT), ((g-floor(g))*60-floor((g-floor(g))*60))*60) AS d, round(-p_size - floor(-p_size/(2*pi()))*2*pi(),6) AS n,
      round(atan2(sqrt(power(cos(p_size/100.0)*sin(1.0-p_size/50.0),2)+power(cos(0.1)*sin(p_size/100.0)-sin(0.1)*cos(p_size/100.0)*cos(1.0-p_size/50.0),2)), sin(0.1)*sin(p_size/100.0)+cos(0.1)*cos(p_size/100.0)*cos(1.0-p_size/50.0)),6) AS a,
      acos(least(1.0,sin(0.1)*sin(0.2)+cos(0.1)*cos(0.2)*cos(0.5-p_size/50.0))) <= 0.3 AS i
      FROM (SELECT *, (p_size/10.0)*12.0/pi() AS h, (p_size/20.0)*180.0/pi() AS g FROM part)""", 6)
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
-taql("fn_arrays", "SELECT vec_id, NELEM(embedding) AS n, NDIM(embedding) AS d, ARRSUM(embedding) AS s, ARRMIN(embedding) AS lo, ARRMAX(embedding) AS hi, ARRMEAN(embedding) AS m, ARRMEDIAN(embedding) AS md, ARRVARIANCE(embedding) AS v, ARRSTDDEV(embedding) AS sd, ARRRMS(embedding) AS r, ARRFRACTILE(embedding,0.25) AS f, ARRNTRUE(embedding) AS t, ARRANY(embedding) AS a FROM embeddings",
+statement("fn_arrays", "SELECT vec_id, NELEM(embedding) AS n, NDIM(embedding) AS d, ARRSUM(embedding) AS s, ARRMIN(embedding) AS lo, ARRMAX(embedding) AS hi, ARRMEAN(embedding) AS m, ARRMEDIAN(embedding) AS md, ARRVARIANCE(embedding) AS v, ARRSTDDEV(embedding) AS sd, ARRRMS(embedding) AS r, ARRFRACTILE(embedding,0.25) AS f, ARRNTRUE(embedding) AS t, ARRANY(embedding) AS a FROM embeddings",
      f"SELECT vec_id, CAST(len(e) AS BIGINT) AS n, CAST(1 AS BIGINT) AS d, round(list_sum(e),6) AS s, round(list_min(e),6) AS lo, round(list_max(e),6) AS hi, round(list_avg(e),6) AS m, round(list_median(e),6) AS md, round(list_var_pop(e),6) AS v, round(list_stddev_pop(e),6) AS sd, round(sqrt(list_avg(list_transform(e, lambda x: x*x))),6) AS r, round(list_sort(e)[CAST(floor(0.25*(len(e)-1)) AS INT)+1],6) AS f, CAST(len(list_filter(e, lambda x: x<>0)) AS BIGINT) AS t, len(list_filter(e, lambda x: x<>0)) > 0 AS a FROM (SELECT vec_id, {_E} AS e FROM embeddings)", 6)
-taql("fn_array_building", "SELECT vec_id, ARRSUM(RESIZE(embedding,3)) AS a, AREVERSE(embedding)[0] AS b, ARRSUM(ARRAY(2,3,4)) AS c, DIAGONAL(embedding) AS d, ARRSUM(embedding*2+1) AS e, ARRAVDEV(embedding) AS v FROM embeddings",
+statement("fn_array_building", "SELECT vec_id, ARRSUM(RESIZE(embedding,3)) AS a, AREVERSE(embedding)[0] AS b, ARRSUM(ARRAY(2,3,4)) AS c, DIAGONAL(embedding) AS d, ARRSUM(embedding*2+1) AS e, ARRAVDEV(embedding) AS v FROM embeddings",
      f"SELECT vec_id, round(e[1]+e[2]+e[3],6) AS a, round(e[len(e)],6) AS b, 24.0::DOUBLE AS c, round(e[1],6) AS d, round(list_sum(list_transform(e, lambda x: x*2+1)),6) AS e, round(list_avg(list_transform(e, lambda x: abs(x-list_avg(e)))),6) AS v FROM (SELECT vec_id, {_E} AS e FROM embeddings)", 6)
-taql("fn_measures", "SELECT s_suppkey, MEAS_EPOCH_TAI(50000.0+s_suppkey) AS tai, MEAS_EPOCH_TT(50000.0+s_suppkey) AS tt FROM supplier WHERE s_suppkey < 80", "SELECT s_suppkey, round(50000.0+s_suppkey + (CASE WHEN 50000.0+s_suppkey >= 50083 THEN 30 ELSE 29 END)/86400.0,8) AS tai, round(50000.0+s_suppkey + ((CASE WHEN 50000.0+s_suppkey >= 50083 THEN 30 ELSE 29 END)+32.184)/86400.0,8) AS tt FROM supplier WHERE s_suppkey < 80", 8)
+statement("fn_measures", "SELECT s_suppkey, MEAS_EPOCH_TAI(50000.0+s_suppkey) AS tai, MEAS_EPOCH_TT(50000.0+s_suppkey) AS tt FROM supplier WHERE s_suppkey < 80", "SELECT s_suppkey, round(50000.0+s_suppkey + (CASE WHEN 50000.0+s_suppkey >= 50083 THEN 30 ELSE 29 END)/86400.0,8) AS tai, round(50000.0+s_suppkey + ((CASE WHEN 50000.0+s_suppkey >= 50083 THEN 30 ELSE 29 END)+32.184)/86400.0,8) AS tt FROM supplier WHERE s_suppkey < 80", 8)
 
 
 # --- units, coordinates, measures over columns ---
@@ -205,21 +205,21 @@ def _embedding_lattice(spark, sf_dir) -> Lattice:
 _LONG = "(SELECT vec_id AS i1, CAST(unnest(range(len(embedding))) AS BIGINT) AS i0, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 
 
-@query("lel_packed", f"SELECT vec_id, round(list_sum(list_transform(e, lambda x: x*2+1)),5) AS s, round(list_max(list_transform(e, lambda x: abs(x))),5) AS a, CAST(len(list_filter(e, lambda x: x > 0)) AS DOUBLE) AS p FROM (SELECT vec_id, {_E} AS e FROM embeddings)", 5)
-def _lel_packed(spark, sf_dir):
+@query("array_packed", f"SELECT vec_id, round(list_sum(list_transform(e, lambda x: x*2+1)),5) AS s, round(list_max(list_transform(e, lambda x: abs(x))),5) AS a, CAST(len(list_filter(e, lambda x: x > 0)) AS DOUBLE) AS p FROM (SELECT vec_id, {_E} AS e FROM embeddings)", 5)
+def _array_packed(spark, sf_dir):
     e = {"e": F.col("embedding").cast("array<double>")}
     one = lambda text: packed(text, e)[0][0].cast("double")
     return table(spark, sf_dir, "embeddings").select("vec_id", one("sum(e*2+1)").alias("s"), one("max(abs(e))").alias("a"), one("ntrue(e > 0)").alias("p"))
 
 
-@query("lel_lattice", f"SELECT count(*) AS n, round(sum(CASE WHEN v > 0 THEN v ELSE -2*v END),3) AS s, count(*) FILTER (WHERE (i0+i1)%4<>0) AS good FROM {_LONG}", 3)
-def _lel_lattice(spark, sf_dir):
+@query("array_lattice", f"SELECT count(*) AS n, round(sum(CASE WHEN v > 0 THEN v ELSE -2*v END),3) AS s, count(*) FILTER (WHERE (i0+i1)%4<>0) AS good FROM {_LONG}", 3)
+def _array_lattice(spark, sf_dir):
     made = evaluate("iif(e > 0, e, -2*e)", {"e": _embedding_lattice(spark, sf_dir)})
     return made.frame.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.count_if("mask").alias("good"))
 
 
-@query("lel_reductions", f"SELECT round(sum(v),4) AS sum, round(min(v),4) AS min, round(max(v),4) AS max, round(avg(v),4) AS mean, round(median(v),4) AS median, round(var_samp(v),4) AS variance, CAST(count(*) FILTER (WHERE v>0) AS DOUBLE) AS ntrue FROM {_LONG} WHERE (i0+i1)%4<>0", 4)
-def _lel_reductions(spark, sf_dir):
+@query("array_reductions", f"SELECT round(sum(v),4) AS sum, round(min(v),4) AS min, round(max(v),4) AS max, round(avg(v),4) AS mean, round(median(v),4) AS median, round(var_samp(v),4) AS variance, CAST(count(*) FILTER (WHERE v>0) AS DOUBLE) AS ntrue FROM {_LONG} WHERE (i0+i1)%4<>0", 4)
+def _array_reductions(spark, sf_dir):
     e = {"e": _embedding_lattice(spark, sf_dir)}
     values = {f: float(evaluate(f"{f}(e)", e)) for f in ("sum", "min", "max", "mean", "median", "variance")} | {"ntrue": float(evaluate("ntrue(e > 0)", e))}
     return spark.range(1).select(*[F.lit(v).alias(f) for f, v in values.items()])
@@ -302,27 +302,27 @@ for _name, _given, _where in (
     ("antenna", {"antenna": "ANT1,ANT3"}, "a1 IN (1,3) OR a2 IN (1,3)"), ("antenna_pair", {"antenna": "0~2&ANT4"}, "(a1 IN (0,1,2) AND a2=4) OR (a2 IN (0,1,2) AND a1=4)"), ("antenna_auto", {"antenna": "2&&&"}, "a1=2 AND a2=2"),
     ("antenna_cross_auto", {"antenna": "1&&*"}, "a1=1 OR a2=1"), ("antenna_not", {"antenna": "!ANT0"}, "NOT (a1=0 OR a2=0)"), ("field", {"field": "F1*,3~4"}, "f IN (1,3,4)"), ("spw", {"spw": "SPW1:0~10"}, "dd IN (1)"), ("spw_frequency", {"spw": "1.4GHz"}, "dd IN (0,2)"),
     ("scan", {"scan": ">4"}, "scan > 4"), ("time", {"time": "1995/01/01~1995/12/31"}, "t BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'"), ("uvdist", {"uvdist": "10~20"}, "sqrt(u*u+v*v) BETWEEN 10 AND 20"),
-    ("observation", {"observation": "1"}, "obs = 1"), ("state", {"state": "OBSERVE*"}, "true"), ("taql", {"taql": "SCAN_NUMBER > 2 AND FIELD_ID = 1"}, "scan > 2 AND f = 1"), ("combined", {"antenna": "ANT2", "scan": "1~3", "field": "F0", "uvdist": ">5"}, "(a1=2 OR a2=2) AND scan BETWEEN 1 AND 3 AND f=0 AND sqrt(u*u+v*v)>5"),
+    ("observation", {"observation": "1"}, "obs = 1"), ("state", {"state": "OBSERVE*"}, "true"), ("expr", {"expr": "SCAN_NUMBER > 2 AND FIELD_ID = 1"}, "scan > 2 AND f = 1"), ("combined", {"antenna": "ANT2", "scan": "1~3", "field": "F0", "uvdist": ">5"}, "(a1=2 OR a2=2) AND scan BETWEEN 1 AND 3 AND f=0 AND sqrt(u*u+v*v)>5"),
 ):
     query(f"select_{_name}", f"SELECT CAST(r AS BIGINT) AS row FROM {_MAIN} WHERE {_where}")(lambda spark, sf_dir, given=_given: Selection(**given).row_numbers(_observation(spark, sf_dir)))
 
 
-@query("ms_chunks", f"SELECT CAST(0 AS INTEGER) AS ARRAY_ID, CAST(f AS INTEGER) AS FIELD_ID, CAST(dd AS INTEGER) AS DATA_DESC_ID, count(*) AS n, CAST(min(r) AS BIGINT) AS first FROM {_MAIN} GROUP BY 1,2,3")
+@query("obs_chunks", f"SELECT CAST(0 AS INTEGER) AS ARRAY_ID, CAST(f AS INTEGER) AS FIELD_ID, CAST(dd AS INTEGER) AS DATA_DESC_ID, count(*) AS n, CAST(min(r) AS BIGINT) AS first FROM {_MAIN} GROUP BY 1,2,3")
 def _ms_chunks(spark, sf_dir):
     return _observation(spark, sf_dir).chunks().select("ARRAY_ID", "FIELD_ID", "DATA_DESC_ID", F.size("rows").cast("long").alias("n"), F.element_at("rows", 1).alias("first"))
 
 
-@query("ms_time_chunks", f"SELECT CAST(date_diff('day', (SELECT min(l_shipdate) FROM lineitem), t) // 30 AS BIGINT) AS bin, count(*) AS n FROM {_MAIN} GROUP BY 1")
+@query("obs_time_chunks", f"SELECT CAST(date_diff('day', (SELECT min(l_shipdate) FROM lineitem), t) // 30 AS BIGINT) AS bin, count(*) AS n FROM {_MAIN} GROUP BY 1")
 def _ms_time_chunks(spark, sf_dir):
     return _observation(spark, sf_dir).time_chunks(30 * 86400.0).select("bin", F.size("rows").cast("long").alias("n"))
 
 
-@query("ms_flags", f"SELECT count(*) AS rows, count(*) FILTER (WHERE flag OR scan = 1) AS flagged FROM {_MAIN}")
+@query("obs_flags", f"SELECT count(*) AS rows, count(*) FILTER (WHERE flag OR scan = 1) AS flagged FROM {_MAIN}")
 def _ms_flags(spark, sf_dir):
     return _observation(spark, sf_dir).flagged_where(F.col("SCAN_NUMBER") == 1).flag_stats()
 
 
-@query("ms_concat", f"SELECT count(*)*2 AS n, CAST(sum(a1 + f) AS BIGINT) * 2 AS s, CAST(7 AS BIGINT) AS antennas FROM {_MAIN}")
+@query("obs_concat", f"SELECT count(*)*2 AS n, CAST(sum(a1 + f) AS BIGINT) * 2 AS s, CAST(7 AS BIGINT) AS antennas FROM {_MAIN}")
 def _ms_concat(spark, sf_dir):
     o = _observation(spark, sf_dir)
     turned = {k: (v.withColumn(ROWNR, F.lit(v.count() - 1) - F.col(ROWNR)) if k in ("ANTENNA", "FIELD") else v) for k, v in o.sub.items()}
@@ -331,12 +331,12 @@ def _ms_concat(spark, sf_dir):
     return made.main.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ANTENNA1") + F.col("FIELD_ID")).cast("long")).alias("s")).withColumn("antennas", F.lit(made.sub["ANTENNA"].count()).cast("long"))
 
 
-@query("ms_dimensions", f"SELECT 'F' || CAST(f AS VARCHAR) AS field, 'ANT' || CAST(a1 AS VARCHAR) AS antenna, CAST(CASE WHEN dd=1 THEN 1 ELSE 0 END AS INTEGER) AS spw, count(*) AS n FROM {_MAIN} GROUP BY 1,2,3")
+@query("obs_dimensions", f"SELECT 'F' || CAST(f AS VARCHAR) AS field, 'ANT' || CAST(a1 AS VARCHAR) AS antenna, CAST(CASE WHEN dd=1 THEN 1 ELSE 0 END AS INTEGER) AS spw, count(*) AS n FROM {_MAIN} GROUP BY 1,2,3")
 def _ms_dimensions(spark, sf_dir):
     return _observation(spark, sf_dir).with_dimensions().groupBy(F.col("FIELD_NAME").alias("field"), F.col("ANTENNA1_NAME").alias("antenna"), F.col("SPECTRAL_WINDOW_ID").alias("spw")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ms_stokes", "SELECT l_orderkey, l_linenumber, round((l_quantity+l_tax)/2,6) AS i, round((l_quantity-l_tax)/2,6) AS v FROM lineitem WHERE l_orderkey < 500", 6)
+@query("obs_stokes", "SELECT l_orderkey, l_linenumber, round((l_quantity+l_tax)/2,6) AS i, round((l_quantity-l_tax)/2,6) AS v FROM lineitem WHERE l_orderkey < 500", 6)
 def _ms_stokes(spark, sf_dir):
     c = lambda x: F.struct(x.alias("re"), F.lit(0.0).alias("im"))
     data = F.array(c(F.col("l_quantity")), c(F.col("l_tax")))
