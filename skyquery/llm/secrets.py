@@ -76,7 +76,9 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Colum
 def base_spans(text: Column) -> Column:
     """The base spans by start, then kind."""
     none = F.array().cast(_SPAN)
-    each = [F.when(text.rlike(p), _spans(text, p, k, lambda x, least=least: x["measured"] >= least, group)).otherwise(none) for k, (_, p, group, least) in enumerate(BASE) if k != 2]
+    # the condition is a function of one parameter: a second one would be taken for the index
+    long_enough = lambda least: lambda x: x["measured"] >= least
+    each = [F.when(text.rlike(p), _spans(text, p, k, long_enough(least), group)).otherwise(none) for k, (_, p, group, least) in enumerate(BASE) if k != 2]
     hex_ = r"[0-9a-f]{24,}"  # a run is matched whole, so the least length may stand in the pattern
     each.append(F.when(text.rlike(hex_), _spans(text, hex_, 2, lambda x: F.lit(True))).otherwise(none))
     return F.array_sort(F.concat(*each))
