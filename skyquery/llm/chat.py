@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Pointer doubling rounds after which the replies must be circular.
-MOST_ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -49,9 +47,10 @@ def paths(messages: DataFrame) -> DataFrame:
     )
     inner = step.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
     leaves = nodes.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    rounds = []
+    rounds, size = [], nodes.count()
     while not step.isEmpty():
-        if len(rounds) == MOST_ROUNDS:
+        # no path is longer than the number of messages
+        if 1 << len(rounds) > size:
             raise ValueError("replies are circular")
         rounds.append(step)
         far = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("a"))

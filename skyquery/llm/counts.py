@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices, spare_name
 from .tokens import Encoder
 
 KEYS = ("source", "lang", "version")
@@ -27,15 +27,16 @@ CHANGE = "source string, lang string, version string, docs long, tokens long"
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the text) with ``tokens``: the number of ids of each whole text, 0 if it is null."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", text_column)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).alias("_text"))
-    schema = rows.drop("_text").withColumn("tokens", F.lit(0).cast("long")).schema
+    source = spare_name(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).alias(source))
+    schema = rows.drop(source).withColumn("tokens", F.lit(0).cast("long")).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, source):
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(encoder.counts(texts).astype(np.int64))], names=[*keep, "tokens"])
 
-    return rows.mapInArrow(task, schema)
+    return mapped(rows, task, schema)
 
 
 def inserted(counts: DataFrame) -> DataFrame:

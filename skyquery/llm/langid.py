@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, WordTable, hash_share, slices
+from .common import Grown, hash_share, mapped, slices, spare_name, WordTable
 
 EDGE = " "
 UNKNOWN = "und"
@@ -78,7 +78,7 @@ def count_strings(docs: DataFrame, params: LanguageParams) -> DataFrame:
                 some = keys[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "string": some, "n": [found[s] for s in some]})
 
-    rows = docs.select("lang", "text").mapInArrow(task, "lang string, string string, n long")
+    rows = mapped(docs.select("lang", "text"), task, "lang string, string string, n long")
     return rows.groupBy("lang", "string").agg(F.sum("n").alias("n"))
 
 
@@ -290,7 +290,7 @@ def _entropies(rows: DataFrame, keep: list[str], model: LanguageModel) -> DataFr
             h, n = identify(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=[*keep, "_h", "_n"])
 
-    return rows.select(*keep, "_text").mapInArrow(task, schema)
+    return mapped(rows.select(*keep, "_text"), task, schema)
 
 
 def _calibrate(model: LanguageModel, rows: DataFrame, params: LanguageParams) -> None:
@@ -320,7 +320,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_column: str = "text"
     """
     added = ("lang_pred", "score", "cross_entropy", "rejected")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).alias("_text"))
+    source = spare_name(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).alias(source))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)}).schema
 
@@ -328,7 +329,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_column: str = "text"
         m = pickle.loads(shared.value)
         entropies, names = Identifier(m), np.array([*m.languages, UNKNOWN], object)
         limits = m.limits if m.limits is not None else np.full(len(m.languages), np.inf)
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, source):
             h, n = entropies(texts)
             known = (n > 0) & bool(m.languages)
             best = h.argmin(1) if m.languages else np.zeros(len(n), np.int64)
@@ -339,4 +340,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_column: str = "text"
                 [*(part.column(i) for i in range(len(keep))), pa.array(names[np.where(known, best, -1)].tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(far)], names=[*keep, *added]
             )
 
-    return rows.mapInArrow(task, schema)
+    return mapped(rows, task, schema)

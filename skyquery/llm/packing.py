@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import mapped, slices, stored
 from .tokens import Encoder
 
 
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, params: PackingParams = Packing
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return mapped(rows, task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 # --- the plan, from the histogram alone -------------------------------------------------
@@ -243,6 +243,15 @@ def plan(histogram: dict[int, int], params: PackingParams = PackingParams()) ->
             _best_fit(space, n, rest[n], params.capacity)
     for n in sorted((n for n in histogram if n < params.large), reverse=True):
         _best_fit(space, n, histogram[n], params.capacity)
+    # sequences that stayed more than a third empty are opened again, and their pieces put where room is left
+    loose = Counter()
+    for free in [f for f in space.free if f > params.capacity // 3]:
+        while space.runs[free]:
+            held, count = space.take(free)
+            for n, each in held:
+                loose[n] += each * count
+    for n in sorted(loose, reverse=True):
+        _best_fit(space, n, loose[n], params.capacity)
     return [run for free in sorted(space.runs) for run in space.runs[free]]
 
 
@@ -298,7 +307,7 @@ def pack(made: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kind = made.schema["doc_id"].dataType.simpleString()
-    return made.join(starts, ["length", "part"]).mapInArrow(task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(made.join(starts, ["length", "part"]), task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, params: PackingParams = PackingParams(), **columns: str) -> DataFrame:

@@ -1,0 +1,81 @@
+"""The registered queries over whole small tables, and the pipeline's stages."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from skyquery.llm import queries as llm
+from skyquery.llm.queries import table
+
+NAMES = sorted(llm.queries())
+
+
+def test_all_are_registered():
+    assert [n.split("_")[0] for n in sorted(NAMES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert {*NAMES, "pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_chat_agrees_with_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    want = con.execute(llm.oracle_sql()["op10_chat_formatting"]).df()
+    got = llm.queries()["op10_chat_formatting"](spark, data).toPandas()
+    assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_substring_digests(spark, data):
+    rows = {r.doc_id: r for r in llm.queries()["op8_substring_dedup"](spark, data).collect()}
+    seen = set()
+    for d in sorted(table(spark, data, "documents").collect(), key=lambda r: r.doc_id):
+        w = (d.text or "").encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            window = tuple(w[i : i + 20])
+            if window in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(window)
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        assert (rows[d.doc_id].n_words, rows[d.doc_id].n_removed, rows[d.doc_id].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+
+
+def test_token_totals(spark, data):
+    got = llm.queries()["op2_token_counts"](spark, data).collect()
+    seen, docs, characters = set(), 0, 0
+    for d in sorted(table(spark, data, "documents").collect(), key=lambda r: r.doc_id):
+        if d.text not in seen:
+            seen.add(d.text)
+            docs, characters = docs + 1, characters + len(d.text or "")
+    for version in ("word_bpe_49k", "characters"):
+        assert sum(r.docs for r in got if r.version == version) == docs
+    assert sum(r.tokens for r in got if r.version == "characters") == characters
+
+
+def test_pipeline(spark, data, tmp_path):
+    docs = table(spark, data, "documents")
+    columns, sizes = docs.columns, [docs.count()]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, data)
+        out.write.parquet(f"{tmp_path}/{i}")
+        made = spark.read.parquet(f"{tmp_path}/{i}")
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert made.columns == columns
+            sizes.append(made.count())
+        else:
+            assert made.select("doc_id").distinct().count() == sizes[-1]
+        if i == 3:
+            assert made.filter(F.col("text").rlike(r"[0-9a-f]{24,}")).count() == 0 and made.filter(F.length("text") != F.col("n_chars")).count() == 0
+        docs = made
+    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 0.7 * sizes[0]
+
+
+@pytest.mark.parametrize("name", ["op1_quality_classifier", "op7_language_id", "op6_embedding_near_dedup"])
+def test_one_row_each(spark, data, name):
+    of = "embeddings" if name.startswith("op6") else "documents"
+    key = "vec_id" if of == "embeddings" else "doc_id"
+    got = llm.queries()[name](spark, data)
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in table(spark, data, of).select(key).collect())
