@@ -33,9 +33,9 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = secrets.train(secrets.labelled_samples(docs))
     found = secrets.scan(docs, model)
     text = secrets.redacted(F.col("text"), F.col("secret_spans"))
-    masked = found.withColumn("_masked", text)
-    size = F.when(F.size("secret_spans") > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", size).withColumn("text", F.col("_masked")).select(*docs.columns)
+    masked = found.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("text"), (F.size("secret_spans") > 0).alias("masked_now"))
+    size = F.when(F.col("masked_now"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", size).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

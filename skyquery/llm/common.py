@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds as words at a time.
 SLICE_BYTES = 2 << 20
+#: Rows and megabytes of a batch that goes to or from a Python worker.
+BATCH_ROWS, BATCH_MB = 1500, 8
 #: Distinct words that a worker remembers before it starts its table anew.
 WORD_LIMIT = 250_000
 
@@ -44,6 +46,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_name(columns: list[str], name: str = "_text") -> str:
+    """A name that none of the columns has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def mapped(df: DataFrame, task, schema) -> DataFrame:
+    """``mapInArrow`` in batches of a few megabytes, as texts need: with the default number of rows two tasks' batches alone fill an executor."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_MB}m")
+    return df.mapInArrow(task, schema)
+
+
+def dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of equal key together, in key order, in as many partitions as shuffles have: what is done with them costs more than their bytes tell."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     import gc
@@ -237,10 +261,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(e)
     for _ in range(60):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first: a join straight on shuffles is one whose hot keys can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.filter("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = _state(e)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, WordTable, slices
+from .common import Grown, mapped, slices, WordTable
 
 # Written numbers, and units that may follow a number.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
                     d, item, total, n, share = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(total, pa.int32()), pa.array(n, pa.int32()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "windows", "found", "share"])
 
-        made = rows.mapInArrow(task, f"doc_id {kind}, item_id long, windows int, found int, share double")
+        made = mapped(rows, task, f"doc_id {kind}, item_id long, windows int, found int, share double")
         found = made if found is None else found.unionByName(made)
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max("share").alias("share"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_rows, components, hash_share, local_roots, runs, stored
+from .common import block_rows, components, dealt, hash_share, local_roots, mapped, runs, stored
 
 
 @dataclass(frozen=True)
@@ -167,12 +167,12 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(list(codes), pa.list_(pa.int64()))], names=["vec_id", "codes"])
 
     kind = good.schema["vec_id"].dataType.simpleString()
-    codes = good.mapInArrow(encode, f"vec_id {kind}, codes array<long>")
+    codes = mapped(good, encode, f"vec_id {kind}, codes array<long>")
     spread = codes.select("vec_id", F.posexplode("codes").alias("tab", "code"))
     shared_buckets = spread.groupBy("tab", "code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = spread.join(shared_buckets, ["tab", "code"])
-    dealt = block_rows(members, ["tab", "code"], "size", "vec_id", params.chunk)
-    rows = dealt.select("blk", "vec_id", "tab", "side", "same").join(good, "vec_id").repartition("blk").sortWithinPartitions("blk")
+    blocks = block_rows(members, ["tab", "code"], "size", "vec_id", params.chunk)
+    rows = dealt(blocks.select("blk", "vec_id", "tab", "side", "same").join(good, "vec_id"), "blk")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser = shared.value
@@ -206,4 +206,4 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, links, roots)], names=["node", "links", "root"])
 
     del tables
-    return rows.mapInArrow(compare, f"node {kind}, links long, root {kind}")
+    return mapped(rows, compare, f"node {kind}, links long, root {kind}")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, block_rows, components, local_roots, runs, slices, stored
+from .common import block_rows, components, dealt, HashedWords, local_roots, mapped, runs, slices, stored
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, params: NearDupParams, *, id_column: str = "doc_id
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.xxhash64(text_column).alias("mark"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, mark long, node long, n int, signature binary, prefixes array<long>")
+    return mapped(rows, task, f"doc_id {kind}, mark long, node long, n int, signature binary, prefixes array<long>")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,8 +175,7 @@ def likely_links(nodes: DataFrame, params: NearDupParams) -> DataFrame:
         if u_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u_out)), pa.array(np.concatenate(v_out))], names=["u", "v"])
 
-    dealt = blocks.select("blk", "node", "n", "signature", "side", "same").repartition("blk").sortWithinPartitions("blk")
-    return dealt.mapInArrow(task, "u long, v long").distinct()
+    return mapped(dealt(blocks.select("blk", "node", "n", "signature", "side", "same"), "blk"), task, "u long, v long").distinct()
 
 
 def _jaccard(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -222,7 +221,7 @@ def verified(texts: DataFrame, params: NearDupParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
 
     rows = texts.select("cluster", "size", "node", "n", "copies", "signature", "text")
-    sets = rows.mapInArrow(shingle, "cluster long, size long, node long, n int, copies long, signature binary, shingles binary")
+    sets = mapped(rows, shingle, "cluster long, size long, node long, n int, copies long, signature binary, shingles binary")
     blocks = block_rows(sets, ["cluster"], "size", "node", params.verify_chunk)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +254,7 @@ def verified(texts: DataFrame, params: NearDupParams) -> DataFrame:
                 [pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array([bool(block.column("alone")[0].as_py())] * len(some))], names=["node", "links", "root", "alone"]
             )
 
-    dealt = blocks.select("blk", "node", "n", "copies", "signature", "shingles", "side", "same", "alone").repartition("blk").sortWithinPartitions("blk")
-    return dealt.mapInArrow(task, "node long, links long, root long, alone boolean")
+    return mapped(dealt(blocks.select("blk", "node", "n", "copies", "signature", "shingles", "side", "same", "alone"), "blk"), task, "node long, links long, root long, alone boolean")
 
 
 def classes(docs: DataFrame, params: NearDupParams = NearDupParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, WordTable, hash_share, slices, word_hashes
+from .common import Grown, hash_share, mapped, slices, spare_name, word_hashes, WordTable
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         if found:
             yield pa.RecordBatch.from_pydict({"model": [train([t.encode() for _, t, _ in found], [int(y > 0) for *_, y in found], params).pack()]})
 
-    made = rows.repartition(1).mapInArrow(task, "model binary").collect()
+    made = mapped(rows.repartition(1), task, "model binary").collect()
     del spark
     return QualityModel.unpack(bytes(made[0][0]), params) if made else QualityModel(np.zeros(params.buckets), 0.0, params)
 
@@ -192,15 +192,17 @@ def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text", ke
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     threshold = model.params.threshold if threshold is None else threshold
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).alias("_text"))
+    # the text goes to the workers once, also if it is kept
+    source = text_column if text_column in keep else spare_name(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if source == text_column else [F.col(text_column).alias(source)]))
     shared, params = spark.sparkContext.broadcast(model.pack()), model.params
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(QualityModel.unpack(shared.value, params))
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, source):
             s = scorer(texts)
             columns = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return rows.mapInArrow(task, schema)
+    return mapped(rows, task, schema)
