@@ -388,9 +388,7 @@ class Session:
                 raise QueryError("masked updates are not possible")
             v = compiler(x).col
             if index is not None:
-                i = compiler(index).col
-                old = F.col(column)
-                v = F.transform(old, lambda e, k, v=v, i=i: F.when(k == i, v).otherwise(e))
+                v = _replaced(F.col(column), compiler(index).col, v)
             new[column] = F.when(hit, v.cast(schema[column])).otherwise(F.col(column))
         n = scope.frame.filter(hit).count()
         target.replace(scope.frame.withColumns(new).select(*schema, ROWNR))
@@ -477,6 +475,11 @@ class Session:
         return self.spark.createDataFrame([(x,) for x in lines], "text string")
 
 
+def _replaced(array, index, value):
+    """The array with another value at an index."""
+    return F.transform(array, lambda x, k: F.when(k == index, value).otherwise(x))
+
+
 class _Made(Name):
     """A column of the grouped frame, whose kind is known."""
 

@@ -30,6 +30,10 @@ def test_changes(session):
     assert rows(session.sql("SELECT ID, VALUE, NAME FROM t WHERE ID > 2"), "ID") == [(3, 30.0, "item_3"), (4, 80.0, "item_4!"), (5, 100.0, "item_5!")]
     assert session.sql("DELETE FROM t WHERE ID > 1 LIMIT 2").first()[0] == 2
     assert rows(session.sql("SELECT ID, ROWNR() AS r FROM t"), "r") == [(1, 0), (4, 1), (5, 2)]
+    session.sql("INSERT INTO t (ID, A) VALUES (8, [1,2,3])")
+    session.sql("UPDATE t SET A[1] = 7 WHERE ID = 8")
+    assert session.sql("SELECT A FROM t WHERE ID = 8").first()[0] == [1.0, 7.0, 3.0]
+    session.sql("DELETE FROM t WHERE ID = 8")
     session.sql("INSERT INTO t SET ID = 9")
     assert rows(session.sql("SELECT ID, NAME, ROWNR() AS r FROM t WHERE ID = 9"), "r") == [(9, None, 3)]
     session.sql("INSERT INTO t (ID, VALUE) SELECT ID + 100, VALUE FROM t WHERE ID < 5")
