@@ -5,8 +5,9 @@ the smallest hash of the runs of ``anchor`` words in it; consecutive windows of
 travel together as a span. Equal windows have equal minimisers, so a shard holds all the
 occurrences of its windows, and only minimisers that occur twice need any text.
 
-In each shard the distinct span texts are read in the order of their first occurrence. A
-suffix automaton of the reference - what has been read so far - grows word by word; at each
+A span carries a hash of its words. Where all spans of a shard are alike, every occurrence but
+the first is repeated. In the other shards the distinct span texts are read in the order of
+their first occurrence. A suffix automaton of the reference - what has been read so far - grows word by word; at each
 word the longest suffix that occurred before is known (the matching statistic), and a window
 is repeated exactly if that suffix is at least as long as the window. The windows that are
 repeated make the maximal spans that are removed.
@@ -27,17 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, release, runs, slices, stored
+from .common import dealt, HashedWords, mapped, release, runs, slices, stored
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``hot``: occurrences of a minimiser from which its windows are dealt one by one, to shards of their own."""
+    """``hot``: distinct spans of a shard beyond which they are split into windows, so that no task gets them all."""
 
     length: int = 20
-    anchor: int = 8
+    anchor: int = 6
     hot: int = 2000
 
 
@@ -92,21 +93,34 @@ class SuffixAutomaton:
 def repeated_windows(texts: list[bytes], length: int) -> list[list[int]]:
     """For each text the starts of the windows that occurred before: in an earlier text, or earlier in it."""
     automaton, number, out = SuffixAutomaton(), {}, []
+    extend = automaton.extend
     for text in texts:
         # every text starts behind a separator of its own, which no match can cross
-        automaton.extend(-1 - len(out))
+        extend(-1 - len(out))
         found = []
         for at, word in enumerate(text.split()):
-            if automaton.extend(number.setdefault(word, len(number))) >= length:
+            if extend(number.setdefault(word, len(number))) >= length:
                 found.append(at - length + 1)
         out.append(found)
     return out
 
 
-def _minimisers(h: np.ndarray, counts: np.ndarray, params: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of texts with word hashes h: text, first window, number of windows, minimiser, and whether the minimiser occurs in the span twice."""
+def _run_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs h[start:end]: sums of the values by powers of an odd number, so that all runs come from one running sum."""
+    base = 0x9E3779B97F4A7C15
+    power = np.cumprod(np.full(len(h), base, np.uint64))
+    back = np.cumprod(np.full(len(h), pow(base, -1, 1 << 64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * back)])
+    key = (total[end] - total[start]) * power[start] + (end - start).astype(np.uint64)
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def _minimisers(h: np.ndarray, counts: np.ndarray, params: SubstringParams) -> tuple[np.ndarray, ...]:
+    """Spans of texts with word hashes h: text, first window, number of windows, minimiser, hash of the words, and whether the minimiser occurs in the span twice."""
     length, k = params.length, params.anchor
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(h) < length:
         return none
     g = np.full(len(h) - k + 1, k, np.uint64)
@@ -134,25 +148,25 @@ def _minimisers(h: np.ndarray, counts: np.ndarray, params: SubstringParams) -> t
             again[1 : len(g) - d + 1] |= g[:-d] == g[d:]
     total = np.cumsum(again)
     twice = total[np.minimum(stop - 1 + width, len(g))] - total[starts] > 0
-    return text[starts], starts - (end - counts)[text[starts]], stop - starts, low[starts].astype(np.int64), twice
+    return text[starts], starts - (end - counts)[text[starts]], stop - starts, low[starts].view(np.int64), _run_keys(h, starts, stop + length - 1), twice
 
 
 def _spans(docs: DataFrame, params: SubstringParams) -> DataFrame:
-    """(doc, mark, start, windows, shard, twice) of all spans of the documents (doc, mark, text)."""
+    """(doc, mark, start, windows, shard, key, twice) of all spans of the documents (doc, mark, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = HashedWords()
         for part, texts in slices(batches):
-            text, start, windows, low, twice = _minimisers(*hashed(texts), params)
+            text, start, windows, low, key, twice = _minimisers(*hashed(texts), params)
             for i in range(0, len(text), 50_000):
                 k = slice(i, i + 50_000)
                 which = pa.array(text[k])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(which), part.column("mark").take(which), pa.array(start[k].astype(np.int32)), pa.array(windows[k].astype(np.int32)), pa.array(low[k]), pa.array(twice[k].astype(bool))],
-                    names=["doc", "mark", "start", "windows", "shard", "twice"],
+                    [part.column("doc").take(which), part.column("mark").take(which), pa.array(start[k].astype(np.int32)), pa.array(windows[k].astype(np.int32)), pa.array(low[k]), pa.array(key[k]), pa.array(twice[k].astype(bool))],
+                    names=["doc", "mark", "start", "windows", "shard", "key", "twice"],
                 )
 
-    return docs.mapInArrow(task, f"doc {_kind(docs, 'doc')}, mark long, start int, windows int, shard long, twice boolean")
+    return mapped(docs, task, f"doc {_kind(docs, 'doc')}, mark long, start int, windows int, shard long, key long, twice boolean")
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -160,53 +174,59 @@ def _kind(df: DataFrame, column: str) -> str:
 
 
 def _texts(found: DataFrame, params: SubstringParams) -> DataFrame:
-    """(doc, mark, start, windows, shard, content) of the spans listed with each document's text; those of hot shards window by window."""
-    length, hot = params.length, params.hot
+    """(doc, mark, start, shard, key, hot, content) of the spans listed with each document's text."""
+    length = params.length
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            rows: dict[str, list] = {c: [] for c in ("i", "start", "windows", "shard", "hot", "content")}
             spans = part.column("spans")
             bounds, flat = spans.offsets.to_numpy(), spans.values
-            starts, windows, shards, sizes = (flat.field(c).to_numpy() for c in ("start", "windows", "shard", "size"))
+            starts, windows = (flat.field(c).to_numpy().tolist() for c in ("start", "windows"))
+            which, content = [], []
             for i, text in enumerate(texts):
                 words = (text or b"").split()
                 for j in range(bounds[i], bounds[i + 1]):
-                    s, n, shard = int(starts[j]), int(windows[j]), int(shards[j])
-                    each = [(s + d, 1) for d in range(n)] if sizes[j] > hot else [(s, n)]
-                    for at, w in each:
-                        content = b" ".join(words[at : at + w + length - 1])
-                        rows["i"].append(i)
-                        rows["start"].append(at)
-                        rows["windows"].append(w)
-                        rows["shard"].append(shard)
-                        rows["hot"].append(bool(sizes[j] > hot))
-                        rows["content"].append(content)
-            which = pa.array(rows["i"], pa.int64())
+                    which.append(i)
+                    content.append(b" ".join(words[starts[j] : starts[j] + windows[j] + length - 1]))
+            listed, at = flat.slice(bounds[0], bounds[-1] - bounds[0]), pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc").take(which), part.column("mark").take(which), pa.array(rows["start"], pa.int32()), pa.array(rows["windows"], pa.int32()), pa.array(rows["shard"], pa.int64()), pa.array(rows["hot"], pa.bool_()), pa.array(rows["content"], pa.binary())],
-                names=["doc", "mark", "start", "windows", "shard", "hot", "content"],
+                [part.column("doc").take(at), part.column("mark").take(at), *(listed.field(c) for c in ("start", "shard", "key", "hot")), pa.array(content, pa.binary())],
+                names=["doc", "mark", "start", "shard", "key", "hot", "content"],
             )
 
-    made = found.mapInArrow(task, f"doc {_kind(found, 'doc')}, mark long, start int, windows int, shard long, hot boolean, content binary")
-    # a hot shard's windows are shards of their own; equal ones still meet
-    return made.withColumn("shard", F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("shard"))).drop("hot")
+    return mapped(found, task, f"doc {_kind(found, 'doc')}, mark long, start int, shard long, key long, hot boolean, content binary")
 
 
-def _repeats(spans: DataFrame, params: SubstringParams) -> DataFrame:
-    """(key, first, hits) of the distinct contents: the first occurrence, and the windows, counted from the content's first, that occurred before it."""
-    order = F.struct("doc", "mark", "start")
-    distinct = spans.groupBy("shard", "key", "content").agg(F.min(order).alias("first"))
-    dealt = distinct.repartition("shard").sortWithinPartitions("shard", "first")
-    fields = ["doc", "mark", "start"]
+def _repeats(contents: DataFrame, params: SubstringParams) -> DataFrame:
+    """(shard, key, hits) of distinct contents, given with their first occurrences: the windows that occurred before, counted from the content's first."""
+    rows = dealt(contents.select("shard", "doc", "mark", "start", "key", "content"), "shard", "doc", "mark", "start")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, keys, hits = [], [], []
         for shard in runs(batches, "shard"):
-            hits = repeated_windows(shard.column("content").to_pylist(), params.length)
-            first = shard.column("first").combine_chunks()
-            yield pa.RecordBatch.from_arrays([shard.column("key").combine_chunks(), *(first.field(c) for c in fields), pa.array(hits, pa.list_(pa.int32()))], names=["key", "f_doc", "f_mark", "f_start", "hits"])
-
-    return dealt.mapInArrow(task, f"key binary, f_doc {_kind(spans, 'doc')}, f_mark long, f_start int, hits array<int>")
+            # rows that repeat both id and text bring their spans twice
+            shard = shard.take(np.sort(np.unique(shard.column("key").to_numpy(), return_index=True)[1]))
+            found = repeated_windows(shard.column("content").to_pylist(), params.length)
+            some = [i for i, f in enumerate(found) if f]
+            if some:
+                shards += [shard.column("shard")[0].as_py()] * len(some)
+                keys += shard.column("key").take(pa.array(some)).to_pylist()
+                hits += [found[i] for i in some]
+            if len(keys) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(keys, pa.int64()), pa.array(hits, pa.list_(pa.int32()))], names=["shard", "key", "hits"])
+                shards, keys, hits = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(keys, pa.int64()), pa.array(hits, pa.list_(pa.int32()))], names=["shard", "key", "hits"])
+
+    return mapped(rows, task, "shard long, key long, hits array<int>")
+
+
+def _hot_repeats(contents: DataFrame, params: SubstringParams) -> DataFrame:
+    """As ``_repeats`` for shards of very many distinct contents, which are split down to single windows: there only equality is left to tell."""
+    words = F.split(F.col("content").cast("string"), " ")
+    each = contents.withColumn("w", words).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - params.length)))
+    each = each.select("shard", "key", "at", F.struct("doc", "mark", (F.col("start") + F.col("at")).alias("start")).alias("place"), F.unhex(F.md5(F.array_join(F.slice("w", F.col("at") + 1, params.length), " ").cast("binary"))).alias("window"))
+    first = each.groupBy("window").agg(F.min("place").alias("first"))
+    return each.join(first, "window").filter(~F.col("place").eqNullSafe(F.col("first"))).groupBy("shard", "key").agg(F.collect_list("at").alias("hits"))
 
 
 def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -220,20 +240,27 @@ def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     source = source.withColumn("mark", F.xxhash64("text"))
-    spans = _spans(source, params)
-    sizes = spans.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("any_twice")).filter("size > 1 or any_twice")
-    kept = spans.join(sizes.select("shard", "size"), "shard").select("doc", "mark", F.struct("start", "windows", "shard", "size").alias("span"))
-    by_doc = kept.groupBy("doc", "mark").agg(F.collect_list("span").alias("spans"))
     same = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
-    found = source.alias("d").join(by_doc.alias("s"), same("d", "s")).select("d.doc", "d.mark", "d.text", "s.spans")
-    content = stored(_texts(found, params).dropDuplicates(["doc", "mark", "start", "windows"]).withColumn("key", F.unhex(F.sha2("content", 256))), "spans")
+    # occurrences of spans that some window can have in common with another
+    spans = _spans(source, params)
+    shared = spans.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("any_twice")).filter("size > 1 or any_twice").select("shard")
+    occurs = stored(spans.join(shared, "shard"), "spans")
+    release(spark)
+    # distinct spans with their first occurrence, and of those the ones that are not all their shard has
+    distinct = stored(occurs.groupBy("shard", "key").agg(F.min(F.struct("doc", "mark", "start")).alias("first"), F.max("windows").alias("windows"), F.max("twice").alias("twice")), "distinct-spans")
+    kinds = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any_twice")).filter("n > 1 or any_twice")
+    mixed = distinct.join(kinds.select("shard", (F.col("n") > params.hot).alias("hot")), "shard")
+    by_doc = mixed.groupBy("first.doc", "first.mark").agg(F.collect_list(F.struct("first.start", "windows", "shard", "key", "hot")).alias("spans"))
+    contents = stored(_texts(source.alias("d").join(by_doc.alias("s"), same("d", "s")).select("d.doc", "d.mark", "d.text", "s.spans"), params), "span-texts")
+    release(spark)
+    hits = _repeats(contents.filter("not hot"), params).unionByName(_hot_repeats(contents.filter("hot"), params))
+    known = stored(distinct.select("shard", "key", "first").join(hits, ["shard", "key"], "left"), "repeats")
     release(spark)
-    hits = stored(_repeats(content.select("doc", "mark", "start", "shard", "key", "content"), params), "repeats")
-    occurs = content.select("doc", "mark", "start", "windows", "key").join(hits, "key")
-    is_first = F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("mark") == F.col("f_mark")) & (F.col("start") == F.col("f_start"))
-    own = F.transform("hits", lambda h: h + F.col("start"))
+    found = occurs.select("doc", "mark", "start", "windows", "shard", "key").join(known, ["shard", "key"])
+    is_first = F.struct("doc", "mark", "start").eqNullSafe(F.col("first"))
+    own = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda h: h + F.col("start"))
     every = F.sequence(F.col("start"), F.col("start") + F.col("windows") - 1)
-    windows = occurs.select("doc", "mark", F.when(is_first, own).otherwise(every).alias("w")).filter(F.size("w") > 0)
+    windows = found.select("doc", "mark", F.when(is_first, own).otherwise(every).alias("w")).filter(F.size("w") > 0)
     gone = windows.groupBy("doc", "mark").agg(F.flatten(F.collect_list("w")).alias("gone"))
     return _cut_out(source.alias("d").join(gone.alias("g"), same("d", "g"), "left").select("d.doc", "d.text", "g.gone"), params)
 
@@ -267,7 +294,7 @@ def _cut_out(rows: DataFrame, params: SubstringParams) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    return rows.mapInArrow(task, f"doc_id {_kind(rows, 'doc')}, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>")
+    return mapped(rows, task, f"doc_id {_kind(rows, 'doc')}, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>")
 
 
 #: Words of one reference whose automaton may be broadcast.
@@ -301,4 +328,4 @@ def removed_by_reference(docs: DataFrame, reference: DataFrame, params: Substrin
                 hits.append([i - params.length + 1 for i, n in enumerate(sizes) if n >= params.length])
             yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), pa.array(hits, pa.list_(pa.int32()))], names=["doc", "text", "gone"])
 
-    return _cut_out(source.mapInArrow(task, f"doc {_kind(source, 'doc')}, text string, gone array<int>"), params)
+    return _cut_out(mapped(source, task, f"doc {_kind(source, 'doc')}, text string, gone array<int>"), params)
