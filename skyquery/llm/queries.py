@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, counts, decontaminate, embeddings, langid, neardup, packing, quality, secrets, substrings
-from .common import held_out, shared_dir, stored
+from .common import cut, held_out, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     docs = docs.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     counted = stored(counts.count_tokens(docs, tokenizer_path()), "token-counts")
-    first = counted.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    # written first: a join straight on shuffles is one whose hot keys, texts of very many copies, can be split
+    first = cut(counted.groupBy("mark").agg(F.min("doc_id").alias("first")))
     copies = counted.join(first, "mark").filter("doc_id > first")
     of = lambda rows, version, tokens: rows.select("source", "lang", F.lit(version).alias("version"), F.col(tokens).alias("tokens"))
     both = lambda rows: of(rows, "word_bpe_49k", "tokens").unionByName(of(rows, "characters", "n_chars"))
