@@ -156,7 +156,6 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
     found = good.filter(hash_share(F.col("vec_id"), params.seed) < share).select("v").toArrow()
     sample = unit_rows(_matrix(found.column(0))) if found.num_rows else np.zeros((0, width))
     shared = spark.sparkContext.broadcast(learn(sample, count, width, params))
-    tables = shared.value.tables
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser = shared.value
@@ -205,5 +204,4 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
         if nodes:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, links, roots)], names=["node", "links", "root"])
 
-    del tables
     return mapped(rows, compare, f"node {kind}, links long, root {kind}")

@@ -125,7 +125,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - 1 / 256) / (1 - 1 / 256)
 
 
-def _pairs(side: np.ndarray, mask: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(mask: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.nonzero(mask)
     u, v = left[i], right[j]
     if same:
@@ -162,7 +162,7 @@ def likely_links(nodes: DataFrame, params: NearDupParams) -> DataFrame:
                 continue
             mask = _agreement(signature[left], signature[right]) >= params.near
             mask &= 10 * np.minimum.outer(n[left], n[right]) >= 7 * np.maximum.outer(n[left], n[right])
-            u, v = _pairs(None, mask, left, right, same)
+            u, v = _pairs(mask, left, right, same)
             if len(u):
                 root = local_roots(len(node), u, v)
                 moved = np.flatnonzero(root != np.arange(len(node)))
@@ -235,7 +235,7 @@ def verified(texts: DataFrame, params: NearDupParams) -> DataFrame:
                 continue
             mask = _agreement(signature[left], signature[right]) >= params.near - 0.05
             mask &= np.minimum.outer(n[left], n[right]) >= params.threshold * np.maximum.outer(n[left], n[right]) - 1e-9
-            u, v = _pairs(None, mask, left, right, same)
+            u, v = _pairs(mask, left, right, same)
             if not len(u):
                 continue
             found = block.column("shingles").to_pylist()

@@ -137,7 +137,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     bound here. Rows with a null id, text or label are left out; an id labelled twice takes
     its larger label. With no labelled rows the model scores everything 0.5.
     """
-    spark = docs.sparkSession
     given = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label")).dropna()
     share = min(1.0, params.sample / max(1, given.count()))
     given = given.filter(hash_share(F.col("_id"), params.seed) < share).groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -149,7 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
             yield pa.RecordBatch.from_pydict({"model": [train([t.encode() for _, t, _ in found], [int(y > 0) for *_, y in found], params).pack()]})
 
     made = mapped(rows.repartition(1), task, "model binary").collect()
-    del spark
     return QualityModel.unpack(bytes(made[0][0]), params) if made else QualityModel(np.zeros(params.buckets), 0.0, params)
 
 
