@@ -2,12 +2,16 @@
 
 Words lose case and outer punctuation; numbers, units behind numbers, and names (words with a
 capital inside a sentence) become typed placeholders, so that a question with other
-parameters has the same template. Windows of template words of each benchmark item are
+parameters has the same template. A capital at the start of a sentence, or in a word like O'Neil,
+McKay, USA or J., may or may not be a name: windows over such words are hashed in both readings on
+both sides. Windows of template words of each benchmark item are
 hash-joined with those of all documents: the items are a stated query set, taken in blocks of
 bounded size, each broadcast as a hash table. For each document and item the matched windows
 are aligned, and their slots must be consistent: a value of the item always stands for
 one value in the document, and two values for two. Windows with a slot that breaks this
-do not count. A document is contaminated by an item if enough of its windows are left.
+do not count. A document is contaminated by an item if enough of its windows are left, or if nearly all
+of its words stand in the document in aligned runs, so that a replaced word costs that word and not
+all windows over it. Items of few words have shorter windows for finding these runs.
 """
 
 from __future__ import annotations
@@ -36,17 +40,23 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\d|\d")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°%]+)")
 _OUTER = re.compile(r"^\W+|\W+$")
-PLAIN, NUMBER, NAME, UNIT, MEASURE, NOTHING = range(6)
+PLAIN, NUMBER, NAME, UNIT, MEASURE, NOTHING, LOOSE = range(7)
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``window``: template words in a window (an item of fewer, but ``least``, is one window); ``share``: of an item's windows that must be found; ``block``: words of the benchmark in one broadcast block."""
+    """``window``: template words in a window (an item of fewer, but ``least``, is one window); ``share``: of an item's windows that must be found; ``block``: words of the benchmark in one broadcast block.
+
+    ``covered``: of an item's words that must be found in aligned runs of ``run`` words or more, where fewer windows than ``share`` are; ``fixed``: words that a window must keep when capitals of either kind are read as names.
+    """
 
     window: int = 8
     least: int = 5
     share: float = 0.5
     block: int = 500_000
+    covered: float = 0.8
+    run: int = 3
+    fixed: int = 3
 
 
 def describe(word: bytes) -> tuple[int, int, int, bool]:
@@ -66,17 +76,30 @@ def describe(word: bytes) -> tuple[int, int, int, bool]:
         return UNIT, value, value, ends
     if bare[0].isupper() and bare[1:].islower():
         return NAME, value, value, ends
+    if bare[0].isupper():
+        return LOOSE, value, value, ends
     return PLAIN, value, value, ends
 
 
+@dataclass
+class Words:
+    """Template words of texts: hash, hash of the value, kind of slot (0 for none), whether a word without a slot may be a name, and the text of each."""
+
+    template: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
+    loose: np.ndarray
+    owner: np.ndarray
+
+
 class Templates:
-    """Texts to template words: hash, value, whether it is a slot, and the text of each."""
+    """Texts to template words."""
 
     def __init__(self):
         self.table, self.resets = WordTable(), 0
         self.kind, self.hash, self.ends = Grown(np.int8), Grown(np.uint64), Grown(bool)
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[bytes | None]) -> Words:
         ids, counts = self.table.ids(texts)
         if self.table.resets != self.resets:
             self.resets = self.table.resets
@@ -99,25 +122,67 @@ class Templates:
         slot = np.where((kind == NUMBER) | (kind == MEASURE), kind, 0)
         slot = np.where((kind == NAME) & ~after_end, NAME, slot)
         slot = np.where((kind == UNIT) & after_number, UNIT, slot)
-        return np.where(slot > 0, slot.astype(np.uint64), value), value, slot > 0, owner
+        loose = ((kind == NAME) & after_end) | (kind == LOOSE)
+        return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner)
+
+
+_FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def window_hashes(template: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(max(0, len(template) - n + 1), n, np.uint64)
-    for i in range(n if len(h) else 0):
-        h = (h ^ template[i : len(template) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
+    """A sum with one term for each place in the window, so that another reading of a word changes one term."""
+    word, count = _mixed(template), max(0, len(template) - n + 1)
+    h = np.full(count, n, np.uint64)
+    for i in range(n if count else 0):
+        h += word[i : count + i] * _FACTORS[i]
     return h
 
 
+def readings(words: Words, n: int, fixed: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows of n words within one text, each with every choice of its loose words as names that leaves ``fixed`` words without a slot.
+
+    ``keep``: a table of the first 22 bits of hashes; readings of other hashes are left out.
+    """
+    first = window_hashes(words.template, n)
+    count = len(first)
+    inside = words.owner[:count] == words.owner[n - 1 : n - 1 + count]
+    listed = lambda h: slice(None) if keep is None else keep[(h >> np.uint64(42)).astype(np.int64)]
+    at = np.flatnonzero(inside)
+    places, hashes = [at[listed(first[at])]], [first[at][listed(first[at])]]
+    before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    loose, slots = before(words.loose), before(words.slot > 0)
+    some = at[loose[at + n] > loose[at]]
+    change = (_mixed(np.full(1, NAME, np.uint64)) - _mixed(words.template)) * words.loose
+    # texts all in capitals have many readings: few windows at a time
+    for i in range(0, len(some), 20_000):
+        place = some[i : i + 20_000]
+        h, left = first[place], n - (slots[place + n] - slots[place]) - fixed
+        for k in range(n):
+            other = np.flatnonzero(words.loose[place + k] & (left > 0))
+            if not len(other):
+                continue
+            p, g = place[other], h[other] + change[place[other] + k] * _FACTORS[k]
+            wanted = listed(g)
+            places.append(p[wanted])
+            hashes.append(g[wanted])
+            place, h, left = np.concatenate([place, p]), np.concatenate([h, g]), np.concatenate([left, left[other] - 1])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
 @dataclass
 class Block:
-    """Items of one block: for each window hash the (item, position), and for each item its words' values and slots, its window length and the distinct windows it has."""
+    """Items of one block: for each window hash the (item, position, length), and for each item its words, its window length, its windows' hashes as they stand, and the distinct windows it has."""
 
-    windows: dict[int, list[tuple[int, int]]]
-    values: dict[int, np.ndarray]
-    slots: dict[int, np.ndarray]
+    windows: dict[int, list[tuple[int, int, int]]]
+    words: dict[int, Words]
     length: dict[int, int]
+    own: dict[int, np.ndarray]
     total: dict[int, int]
 
 
@@ -125,46 +190,68 @@ def make_block(items: list[tuple[int, str]], params: LeakParams) -> Block:
     block = Block(defaultdict(list), {}, {}, {}, {})
     templates = Templates()
     for item, text in items:
-        template, value, slot, _ = templates([(text or "").encode()])
-        if len(template) < params.least:
+        words = templates([(text or "").encode()])
+        size = len(words.template)
+        if size < params.least:
             continue
-        n = min(params.window, len(template))
-        hashes = window_hashes(template, n).tolist()
+        n = min(params.window, size)
+        # of an item with one word replaced a half is left whole: items too short for a window in it have shorter ones besides
+        for m in {n, min(n, max(params.least, size // 2))}:
+            for at, h in zip(*(x.tolist() for x in readings(words, m, params.fixed)), strict=True):
+                block.windows[h].append((item, at, m))
+        block.words[item], block.length[item], block.own[item] = words, n, window_hashes(words.template, n)
         # a window that repeats in the item is found once
-        for at, h in enumerate(hashes):
-            block.windows[h].append((item, at))
-        block.values[item], block.slots[item], block.length[item], block.total[item] = value, slot, n, len(set(hashes))
+        block.total[item] = len(set(block.own[item].tolist()))
     return block
 
 
-def _consistent(block: Block, item: int, hits: list[tuple[int, int]], value: np.ndarray) -> set[int]:
-    """Of the hits (position in the item, position in the document) the item's windows whose slots agree with the others'."""
-    n, slots, own = block.length[item], block.slots[item], block.values[item]
-    if not slots.any():
-        return {at for at, _ in hits}
-    # an occurrence of the item is judged by itself: hits on one diagonal
+def _in_runs(agree: np.ndarray, least: int) -> np.ndarray:
+    """The places that lie in runs of at least so many."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], agree, [False]]).astype(np.int8)))
+    kept = np.zeros(len(agree), bool)
+    for a, b in edge.reshape(-1, 2).tolist():
+        kept[a:b] = b - a >= least
+    return kept
+
+
+def _consistent(block: Block, item: int, hits: list[tuple[int, int, int]], words: Words, begin: int, end: int, params: LeakParams) -> tuple[set[int], float]:
+    """Of the hits (position in the item, position in the document, length) the item's windows whose slots agree with the others', and the share of the item's words in aligned runs.
+
+    ``begin`` and ``end``: where the document's words lie. An occurrence of the item is judged by itself: hits on one diagonal. Runs count if no slot on their diagonal breaks the rule.
+    """
+    n, own, size = block.length[item], block.words[item], len(block.words[item].value)
+    named = (own.slot == NAME) | own.loose
     best: set[int] = set()
+    covered = np.zeros(size, bool)
     diagonals: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at, d in hits:
-        diagonals[d - at].append((at, d))
+    for at, d, m in hits:
+        diagonals[d - at].append((at, m))
     for diagonal, some in diagonals.items():
-        places = sorted({p for at, _ in some for p in range(at, at + n) if slots[p]})
+        low, high = max(0, begin - diagonal), min(size, end - diagonal)
+        item_at, doc_at = slice(low, high), slice(low + diagonal, high + diagonal)
+        other = words.value[doc_at]
+        agree = np.zeros(size, bool)
+        agree[item_at] = (own.value[item_at] == other) | ((own.slot[item_at] > 0) & (own.slot[item_at] == words.slot[doc_at])) | (named[item_at] & ((words.slot[doc_at] == NAME) | words.loose[doc_at]))
+        agree = _in_runs(agree, params.run)
+        places = np.flatnonzero(agree & ((own.slot > 0) | own.loose)).tolist()
         there: dict[int, Counter] = defaultdict(Counter)
         for p in places:
-            there[int(own[p])][int(value[p + diagonal])] += 1
+            there[int(own.value[p])][int(words.value[p + diagonal])] += 1
         stands = {a: c.most_common(1)[0][0] for a, c in there.items()}
         taken = Counter(stands.values())
-        wrong = {p for p in places if int(value[p + diagonal]) != stands[int(own[p])] or taken[stands[int(own[p])]] > 1}
-        good = {at for at, _ in some if not any(p in wrong for p in range(at, at + n))}
-        best |= good
-    return best
+        wrong = {p for p in places if int(words.value[p + diagonal]) != stands[int(own.value[p])] or taken[stands[int(own.value[p])]] > 1}
+        best |= {at for at, m in some if m == n and not any(p in wrong for p in range(at, at + n))}
+        if not wrong:
+            covered |= agree
+    return best, float(covered.mean())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """(doc_id, item_id, windows, found, share) for each document and item that contaminates it.
 
     Every whole text is compared with every item. Null or empty texts and items, and items of
-    fewer than ``least`` words, match nothing; of rows that repeat an id each gives its own
+    fewer than ``least`` words, match nothing. ``share`` is of the item's windows, also where it
+    is the item's words in aligned runs that decide; of rows that repeat an id each gives its own
     pairs, equal pairs once. An empty benchmark or table gives no rows.
     """
     spark = docs.sparkSession
@@ -180,29 +267,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block: Block = pickle.loads(shared.value)
-            templates, lengths = Templates(), sorted(set(block.length.values()))
+            templates, lengths = Templates(), sorted({m for entries in block.windows.values() for _, _, m in entries})
             listed = np.fromiter(block.windows, np.uint64, len(block.windows))
+            listed.sort()
             seen = np.zeros(1 << 22, bool)
             seen[(listed >> np.uint64(42)).astype(np.int64)] = True
             for part, texts in slices(batches, "_text"):
-                template, value, _, owner = templates(texts)
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                words = templates(texts)
+                hits: dict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)
                 for n in lengths:
-                    h = window_hashes(template, n)
-                    for at in np.flatnonzero(seen[(h >> np.uint64(42)).astype(np.int64)]).tolist():
-                        if owner[at] == owner[at + n - 1]:
-                            for item, p in block.windows.get(int(h[at]), ()):
-                                if block.length[item] == n:
-                                    hits[int(owner[at]), item].append((p, at))
+                    place, h = readings(words, n, params.fixed, seen)
+                    near = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                    known = np.flatnonzero(listed[near] == h)
+                    for at, one in zip(place[known].tolist(), h[known].tolist(), strict=True):
+                        for item, p, m in block.windows[one]:
+                            hits[int(words.owner[at]), item].add((p, at, m))
                 out = []
                 for (doc, item), pairs in hits.items():
-                    good = _consistent(block, item, pairs, value)
+                    begin, end = np.searchsorted(words.owner, [doc, doc + 1]).tolist()
+                    good, covered = _consistent(block, item, sorted(pairs), words, begin, end, params)
                     # positions of windows with equal hashes count once
-                    n = block.length[item]
-                    own = window_hashes(np.where(block.slots[item], np.uint64(1), block.values[item]), n)
-                    different = len({int(own[p]) for p in good})
-                    share = min(1.0, different / block.total[item])
-                    if share >= params.share:
+                    different = len({int(block.own[item][p]) for p in good})
+                    share = different / block.total[item]
+                    if share >= params.share or covered >= params.covered:
                         out.append((doc, item, block.total[item], different, share))
                 if out:
                     d, item, total, n, share = zip(*out, strict=True)

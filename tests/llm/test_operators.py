@@ -417,6 +417,28 @@ def test_leaks_in_documents(spark, docs, data):
     assert got == {(d.doc_id, k) for d in docs.collect() for k, t in texts.items() if t in (d.text or "")}
 
 
+def test_leaks_of_names_and_replaced_words(spark):
+    asked = "Tom has 5 apples and 3 pears. Tom gives 2 apples to his friend. How many apples does Tom have left?"
+    short = "Tom has 5 red apples. He finds 3 ripe pears. Sue takes 2 sour plums. What does Tom have left?"
+    names = "yesterday O'Neil sold 40 old tools to McKay and then J. Lee from the USA bought 7 more of them"
+    plain = "the quick brown fox jumps over the lazy dog near the old stone bridge at dawn every single morning"
+    few = "all small green boats drift slowly past another quiet harbour wall"
+    told = "It happened on 9 May. There were no apples left. Tom was sad, and many friends have asked him why."
+    benchmark = spark.createDataFrame(list(enumerate([asked, short, names, plain, few], 1)), "item_id long, text string")
+    changed = lambda text, *pairs: " ".join(dict(pairs).get(w, w) for w in text.split())
+    rows = [
+        (1, changed(asked, ("Tom", "Bob"), ("5", "8"), ("3", "4"), ("2", "6"))),
+        (2, changed(short, ("Tom", "Bob"), ("Sue", "Ann"), ("5", "8"), ("3", "4"), ("2", "6"))),
+        (3, changed(names, ("O'Neil", "Baker"), ("McKay", "O'Hara"), ("J.", "K."), ("Lee", "Fox"), ("USA", "UK"), ("40", "60"), ("7", "9"))),
+        (4, changed(plain, ("dog", "cat"))),
+        (5, changed(few, ("slowly", "gently"))),
+        (6, "so " + asked.lower()),
+        (7, told), (8, told.upper()), (9, "THIS TEXT IS ALL IN CAPITALS AND HAS NOTHING OF THE ITEMS IN IT AT ALL " * 4), (10, "all small green boats drift away"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1)}
+
+
 # --- 10 chat ---
 def test_reply_trees(spark):
     rows = [
