@@ -6,7 +6,9 @@
    code long enough.
 2. The code is cut into substrings, one for each table. Vectors with an equal substring meet
    in the table's bucket. The substrings' length follows the number of vectors, and the
-   number of tables follows from it and the target recall at the threshold.
+   number of tables follows from it and the target recall at the threshold, as found with pairs
+   at the threshold made from the sample: centring widens their angles where vectors have a common
+   direction. If that takes more tables, substrings get shorter as long as this costs less.
 3. Buckets are compared in blocks of bounded size with the original vectors, in double
    precision. A pair that meets in several tables counts in the first alone. Blocks
    give each vector's number of links and a forest of its links; pairs are never listed.
@@ -44,11 +46,76 @@ def substring_bits(count: int, params: EmbeddingParams) -> int:
 
 
 def table_count(bits: int, params: EmbeddingParams) -> int:
-    """Tables with which a pair at the threshold has an equal substring in one with the target probability."""
+    """Tables with which a pair at the threshold has an equal substring in one with the target probability, if centring leaves angles as they are."""
     equal = (1 - math.acos(min(1.0, params.threshold)) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - params.recall) / math.log(1 - equal)))
 
 
+def threshold_pairs(sample: np.ndarray, mean: np.ndarray, params: EmbeddingParams, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector of the sample one at the threshold from it, as far from the mean where that can be; apart from this it differs in the direction of another vector of the sample."""
+    cosine = min(1.0, params.threshold)
+    sine = math.sqrt(1 - cosine * cosine)
+
+    def across(x: np.ndarray, *axes: np.ndarray) -> np.ndarray:
+        """x without its parts along the axes, at length 1; rows of nothing stay nothing."""
+        for axis in axes:
+            x = x - np.einsum("ij,ij->i", x, axis)[:, None] * axis
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(size > 1e-9, x / np.maximum(size, 1e-9), 0.0)
+
+    towards = across(np.broadcast_to(mean, sample.shape), sample)
+    along = sample @ mean
+    reach = np.einsum("ij,j->i", towards, mean) * sine
+    part = np.clip((1 - cosine) * along / np.where(reach > 1e-12, reach, 1.0), -1.0, 1.0) * (reach > 1e-12)
+    aside = across(sample[rng.permutation(len(sample))] - sample, sample, towards)
+    # a vector that met its own copy differs in any direction
+    aside = np.where(aside.any(1, keepdims=True), aside, across(rng.standard_normal(sample.shape), sample, towards))
+    return cosine * sample + sine * unit_or_zero(part[:, None] * towards + np.sqrt(1 - part**2)[:, None] * aside)
+
+
+def unit_or_zero(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(size > 1e-9, x / np.maximum(size, 1e-9), 0.0)
+
+
+#: What a row of a table costs, in comparisons of a pair.
+ROW_COST = 1000
+
+
+def _tables_for(equal_bit: np.ndarray, bits: int, recall: float) -> float:
+    """Tables that bring the mean probability over pairs, whose bits are equal with the given probabilities, to the recall; infinite beyond a million."""
+    equal = equal_bit**bits
+    low, high = 0, 1
+    while np.mean(1 - (1 - equal) ** high) < recall:
+        low, high = high, high * 2
+        if high > 1 << 20:
+            return math.inf
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if np.mean(1 - (1 - equal) ** middle) >= recall else (middle, high)
+    return high
+
+
+def plan_tables(sample: np.ndarray, pairs: np.ndarray, mean: np.ndarray, count: int, params: EmbeddingParams) -> tuple[int, int]:
+    """(bits, tables) for the angles that pairs at the threshold have after centring. With 0 bits all vectors meet, in one table."""
+    bits = substring_bits(count, params)
+    least = table_count(bits, params)
+    a, b = unit_or_zero(sample - mean), unit_or_zero(pairs - mean)
+    equal_bit = 1 - np.arccos(np.clip(np.einsum("ij,ij->i", a, b), -1.0, 1.0)) / math.pi
+    if not len(sample) or _tables_for(equal_bit, bits, params.recall) <= 1.25 * least:
+        return bits, least
+    needed = {n: _tables_for(equal_bit, n, params.recall) for n in range(bits + 1)}
+    bits = min(needed, key=lambda n: (needed[n] * (ROW_COST + count / 2.0**n), n))
+    return bits, int(needed[bits])
+
+
+def found_share(quantiser: Quantiser, sample: np.ndarray, pairs: np.ndarray) -> float:
+    """The share of the pairs that have an equal substring in some table."""
+    step = max(1, 4_000_000 // max(1, quantiser.bits * quantiser.tables))
+    met = [(quantiser.substrings(sample[i : i + step]) == quantiser.substrings(pairs[i : i + step])).any(1) for i in range(0, len(sample), step)]
+    return float(np.concatenate(met).mean()) if met else 1.0
+
+
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, iterations: int) -> np.ndarray:
     """Alternates codes and rotation: for fixed codes the best rotation is the orthogonal Procrustes solution."""
     width = x.shape[1]
@@ -76,13 +143,22 @@ class Quantiser:
 
 def learn(sample: np.ndarray, count: int, width: int, params: EmbeddingParams) -> Quantiser:
     rng = np.random.default_rng(params.seed)
-    bits = substring_bits(count, params)
-    tables = table_count(bits, params)
     mean = sample.mean(0) if len(sample) else np.zeros(width)
     # a code bit for each direction; a mean that is most of every vector would make codes alike, so it is taken off
     centred = sample - mean
-    rotations = [learn_rotation(centred, rng, params.iterations if len(sample) else 0) for _ in range(-(-bits * tables // width))]
-    return Quantiser(mean, np.array(rotations), bits, tables)
+    pairs = threshold_pairs(sample, mean, params, np.random.default_rng(params.seed + 1))
+    bits, tables = plan_tables(sample, pairs, mean, count, params)
+    rotations: list[np.ndarray] = []
+    while True:
+        rotations += [learn_rotation(centred, rng, params.iterations if len(sample) else 0) for _ in range(max(1, -(-bits * tables // width)) - len(rotations))]
+        made = Quantiser(mean, np.array(rotations), bits, tables)
+        # learned rotations are not independent: tables are added until the codes themselves find the pairs
+        if bits == 0 or found_share(made, sample, pairs) >= params.recall:
+            return made
+        if tables * (ROW_COST + count / 2.0**bits) > ROW_COST + count:
+            bits, tables = 0, 1
+        else:
+            tables += -(-tables // 8)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -306,6 +306,35 @@ def test_learned_codes_are_balanced():
     assert np.abs(signs.mean(0) - 0.5).max() < 0.15 and np.allclose(q.rotations[0] @ q.rotations[0].T, np.eye(16))
 
 
+def threshold_twins(norm, n, width=64, seed=0):
+    """n vectors whose mean has the given norm, and for each one at cosine 0.951."""
+    rng = np.random.default_rng(seed)
+    mean, (r, z) = np.zeros(width), rng.standard_normal((2, n, width))
+    mean[0], r[:, 0], z[:, 0] = norm, 0, 0
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    z -= (z * r).sum(1, keepdims=True) * r
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = max(-1.0, (0.951 - norm**2) / (1 - norm**2))
+    return mean + np.sqrt(1 - norm**2) * r, mean + np.sqrt(1 - norm**2) * (c * r + np.sqrt(1 - c * c) * z)
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.7, 0.85, 0.9, 0.97])
+def test_tables_find_pairs_of_off_centre_vectors(norm):
+    learned = embeddings.learn(threshold_twins(norm, 3000)[0], 1_000_000, 64, embeddings.EmbeddingParams())
+    one, two = threshold_twins(norm, 3000, seed=5)
+    assert (learned.substrings(one) == learned.substrings(two)).any(1).mean() > 0.99
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.85])
+def test_recall_against_brute_force(spark, norm):
+    x = np.concatenate(threshold_twins(norm, 1500)).astype(np.float32)
+    got = embeddings.linked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = int((y @ y.T >= 0.95).sum()) - len(y)
+    assert links >= 3000 and 0.99 * links < sum(r.n_links for r in got) <= links
+
+
 # --- 7 languages ---
 def test_languages(spark, docs, odd):
     model = langid.fit(docs.filter(~common.held_out("doc_id")))
