@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +23,69 @@ WORD_LIMIT = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only on a single machine a temporary one will do where none is set; elsewhere that raises ValueError."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors could not share what is written")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skyquery-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
+#: The session setting with which Spark drops an execution's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it an execution's shuffle files are dropped at its end: for plans whose rows are written and read from there only."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, with no lineage behind them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_end(df.sparkSession):
+        # a plan of its own, made under the setting
+        return df.select("*").checkpoint(eager=True)
+
+
+_scopes: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: columnar, so later readers can prune."""
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` within it are deleted at its end: for results that are written inside."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, *, outlives: bool = False) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: columnar, so later readers can prune. The ``scope`` it is made in deletes it, unless it ``outlives`` that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skyquery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _scopes and not outlives:
+        _scopes[-1].append(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,14 +111,6 @@ def dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.repartition(n, key).sortWithinPartitions(key, *order)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def held_out(doc_id: Column | str) -> Column:
     """True for the documents that no model may learn from: crc32 of the id as text leaves 2 modulo 4."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -249,17 +284,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     """(node, root): each node of the edges (u, v) with the smallest node of its component.
 
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join;
     what is left after every round is cut to the shared folder. A node with very many
     neighbours is a hot join key, which adaptive execution splits; minima are
-    aggregated before the shuffle.
+    aggregated before the shuffle. The rounds needed grow with the logarithm of the longest
+    chain; edges that have not settled after ``rounds`` raise RuntimeError.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _state(e)
-    for _ in range(60):
+    for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written first: a join straight on shuffles is one whose hot keys can be split
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -272,5 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,9 +12,13 @@ word the longest suffix that occurred before is known (the matching statistic),
 is repeated exactly if that suffix is at least as long as the window. The windows that are
 repeated make the maximal spans that are removed.
 
+A shard of more than ``hot`` distinct spans is dealt to finer shards, by minimisers of longer
+runs, down to whole windows; their automata tell the same. So no task gets more than so many
+spans, whatever a passage is repeated with.
+
 Broadcasting all shards to all documents would cost shards times documents; here documents'
 spans are dealt to the shard that can match them. ``removed_by_reference`` broadcasts
-the automaton of one bounded reference.
+the automata of an outside reference, one for each of its shards.
 """
 
 from __future__ import annotations
@@ -28,18 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, HashedWords, mapped, release, runs, slices, stored
+from .common import dealt, HashedWords, mapped, runs, slices, stored
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``hot``: distinct spans of a shard beyond which they are split into windows, so that no task gets them all."""
+    """``hot``: distinct spans of a shard beyond which it is dealt to finer shards; ``salts``: parts in which the spans of such shards are counted and marked; ``reference``: words of an outside reference in one broadcast automaton."""
 
     length: int = 20
     anchor: int = 6
     hot: int = 2000
+    salts: int = 128
+    reference: int = 200_000
+
+    @property
+    def anchors(self) -> tuple[int, ...]:
+        """Words of the runs whose minimisers name the shards, level by level; the last are whole windows."""
+        first = min(self.anchor, self.length)
+        return tuple(sorted({first, (first + self.length + 1) // 2, self.length}))
 
 
 class SuffixAutomaton:
@@ -117,9 +129,8 @@ def _run_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-def _minimisers(h: np.ndarray, counts: np.ndarray, params: SubstringParams) -> tuple[np.ndarray, ...]:
-    """Spans of texts with word hashes h: text, first window, number of windows, minimiser, hash of the words, and whether the minimiser occurs in the span twice."""
-    length, k = params.length, params.anchor
+def _minimisers(h: np.ndarray, counts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Spans of texts with word hashes h, by the minimisers of runs of k words: text, first window, number of windows, minimiser, hash of the words, and whether the minimiser occurs in the span twice."""
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(h) < length:
         return none
@@ -157,7 +168,7 @@ def _spans(docs: DataFrame, params: SubstringParams) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = HashedWords()
         for part, texts in slices(batches):
-            text, start, windows, low, key, twice = _minimisers(*hashed(texts), params)
+            text, start, windows, low, key, twice = _minimisers(*hashed(texts), params.length, params.anchors[0])
             for i in range(0, len(text), 50_000):
                 k = slice(i, i + 50_000)
                 which = pa.array(text[k])
@@ -197,7 +208,22 @@ def _texts(found: DataFrame, params: SubstringParams) -> DataFrame:
     return mapped(found, task, f"doc {_kind(found, 'doc')}, mark long, start int, shard long, key long, hot boolean, content binary")
 
 
-def _repeats(contents: DataFrame, params: SubstringParams) -> DataFrame:
+def _marked_hot(distinct: DataFrame, params: SubstringParams) -> DataFrame:
+    """The distinct spans of the shards that hold more than one kind, or one twice in itself, with ``hot``: the shard is to be dealt anew.
+
+    The spans of hot shards are marked in ``salts`` parts each, so that no task gets a whole one. There are at most count / hot such shards.
+    """
+    kinds = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any_twice")).filter("n > 1 or any_twice")
+    parts = kinds.filter(F.col("n") > params.hot).select("shard", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt"), F.lit(True).alias("hot"))
+    salted = distinct.withColumn("salt", F.pmod("key", F.lit(params.salts)).cast("int")).join(parts, ["shard", "salt"], "left").drop("salt")
+    cold = salted.filter("hot is null").join(kinds.filter(F.col("n") <= params.hot).select("shard"), "shard")
+    return cold.withColumn("hot", F.lit(False)).unionByName(salted.filter("hot"))
+
+
+_HITS = "shard long, key long, hits array<int>"
+
+
+def _by_automaton(contents: DataFrame, params: SubstringParams) -> DataFrame:
     """(shard, key, hits) of distinct contents, given with their first occurrences: the windows that occurred before, counted from the content's first."""
     rows = dealt(contents.select("shard", "doc", "mark", "start", "key", "content"), "shard", "doc", "mark", "start")
 
@@ -217,16 +243,49 @@ def _repeats(contents: DataFrame, params: SubstringParams) -> DataFrame:
                 shards, keys, hits = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(keys, pa.int64()), pa.array(hits, pa.list_(pa.int32()))], names=["shard", "key", "hits"])
 
-    return mapped(rows, task, "shard long, key long, hits array<int>")
+    return mapped(rows, task, _HITS)
 
 
-def _hot_repeats(contents: DataFrame, params: SubstringParams) -> DataFrame:
-    """As ``_repeats`` for shards of very many distinct contents, which are split down to single windows: there only equality is left to tell."""
-    words = F.split(F.col("content").cast("string"), " ")
-    each = contents.withColumn("w", words).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - params.length)))
-    each = each.select("shard", "key", "at", F.struct("doc", "mark", (F.col("start") + F.col("at")).alias("start")).alias("place"), F.unhex(F.md5(F.array_join(F.slice("w", F.col("at") + 1, params.length), " ").cast("binary"))).alias("window"))
-    first = each.groupBy("window").agg(F.min("place").alias("first"))
-    return each.join(first, "window").filter(~F.col("place").eqNullSafe(F.col("first"))).groupBy("shard", "key").agg(F.collect_list("at").alias("hits"))
+def _dealt_anew(contents: DataFrame, params: SubstringParams, anchor: int) -> DataFrame:
+    """(shard, key, part, own, at, doc, mark, start, windows, twice, content): the contents cut into spans of finer shards ``part``, with their hashes ``own`` and places ``at`` in the content."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = HashedWords()
+        for rows, texts in slices(batches, "content"):
+            text, at, windows, low, own, twice = _minimisers(*hashed(texts), params.length, anchor)
+            words, which = [t.split() for t in texts], pa.array(text)
+            content = [b" ".join(words[i][a : a + n + params.length - 1]) for i, a, n in zip(text.tolist(), at.tolist(), windows.tolist(), strict=True)]
+            start = rows.column("start").take(which).to_numpy() + at
+            kept = [rows.column(c).take(which) for c in ("shard", "key", "doc", "mark")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(low), pa.array(own), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(twice.astype(bool)), pa.array(content, pa.binary())],
+                names=["shard", "key", "doc", "mark", "part", "own", "at", "start", "windows", "twice", "content"],
+            )
+
+    return mapped(contents.select("shard", "key", "doc", "mark", "start", "content"), task, f"shard long, key long, doc {_kind(contents, 'doc')}, mark long, part long, own long, at int, start int, windows int, twice boolean, content binary")
+
+
+def _repeats(contents: DataFrame, params: SubstringParams, level: int = 0) -> DataFrame:
+    """(shard, key, hits) of the contents marked ``hot`` or not, as ``_by_automaton`` for their shard or its finer parts."""
+    told = _by_automaton(contents.filter("not hot"), params)
+    if level + 1 == len(params.anchors):
+        # a part is one window: its contents differ no more
+        return told.unionByName(_by_automaton(contents.filter("hot"), params))
+    spans = stored(_dealt_anew(contents.filter("hot"), params, params.anchors[level + 1]), f"spans-{level + 1}")
+    place = F.struct("doc", "mark", "start")
+    distinct = spans.groupBy(F.col("part").alias("shard"), F.col("own").alias("key")).agg(F.min(place).alias("first"), F.max("twice").alias("twice"), F.first("content").alias("content"))
+    distinct = stored(distinct, f"distinct-spans-{level + 1}")
+    inner = _repeats(_marked_hot(distinct, params).select("shard", "key", "hot", "first.doc", "first.mark", "first.start", "content"), params, level + 1)
+    known = distinct.select(F.col("shard").alias("part"), F.col("key").alias("own"), "first").join(inner.select(F.col("shard").alias("part"), F.col("key").alias("own"), "hits"), ["part", "own"], "left")
+    found = spans.drop("content").join(stored(known, f"repeats-{level + 1}"), ["part", "own"])
+    return told.unionByName(_windows(found, "at", place).groupBy("shard", "key").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("hits")))
+
+
+def _windows(found: DataFrame, at: str, place) -> DataFrame:
+    """The spans that have repeated windows, with these as ``w``: those of ``hits`` in the first occurrence of their words, and all in others. They are counted from ``at``."""
+    own = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda h: h + F.col(at))
+    every = F.sequence(F.col(at), F.col(at) + F.col("windows") - 1)
+    return found.withColumn("w", F.when(place.eqNullSafe(F.col("first")), own).otherwise(every)).filter(F.size("w") > 0)
 
 
 def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -237,7 +296,6 @@ def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_
     is smallest), or in the same one. Documents that share an id are ordered by a hash of their
     texts; rows that repeat id and text alike are one document, and all get its result.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     source = source.withColumn("mark", F.xxhash64("text"))
     same = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
@@ -245,22 +303,14 @@ def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_
     spans = _spans(source, params)
     shared = spans.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("any_twice")).filter("size > 1 or any_twice").select("shard")
     occurs = stored(spans.join(shared, "shard"), "spans")
-    release(spark)
     # distinct spans with their first occurrence, and of those the ones that are not all their shard has
     distinct = stored(occurs.groupBy("shard", "key").agg(F.min(F.struct("doc", "mark", "start")).alias("first"), F.max("windows").alias("windows"), F.max("twice").alias("twice")), "distinct-spans")
-    kinds = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any_twice")).filter("n > 1 or any_twice")
-    mixed = distinct.join(kinds.select("shard", (F.col("n") > params.hot).alias("hot")), "shard")
+    mixed = _marked_hot(distinct, params)
     by_doc = mixed.groupBy("first.doc", "first.mark").agg(F.collect_list(F.struct("first.start", "windows", "shard", "key", "hot")).alias("spans"))
     contents = stored(_texts(source.alias("d").join(by_doc.alias("s"), same("d", "s")).select("d.doc", "d.mark", "d.text", "s.spans"), params), "span-texts")
-    release(spark)
-    hits = _repeats(contents.filter("not hot"), params).unionByName(_hot_repeats(contents.filter("hot"), params))
-    known = stored(distinct.select("shard", "key", "first").join(hits, ["shard", "key"], "left"), "repeats")
-    release(spark)
+    known = stored(distinct.select("shard", "key", "first").join(_repeats(contents, params), ["shard", "key"], "left"), "repeats")
     found = occurs.select("doc", "mark", "start", "windows", "shard", "key").join(known, ["shard", "key"])
-    is_first = F.struct("doc", "mark", "start").eqNullSafe(F.col("first"))
-    own = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda h: h + F.col("start"))
-    every = F.sequence(F.col("start"), F.col("start") + F.col("windows") - 1)
-    windows = found.select("doc", "mark", F.when(is_first, own).otherwise(every).alias("w")).filter(F.size("w") > 0)
+    windows = _windows(found, "start", F.struct("doc", "mark", "start"))
     gone = windows.groupBy("doc", "mark").agg(F.flatten(F.collect_list("w")).alias("gone"))
     return _cut_out(source.alias("d").join(gone.alias("g"), same("d", "g"), "left").select("d.doc", "d.text", "g.gone"), params)
 
@@ -297,35 +347,51 @@ def _cut_out(rows: DataFrame, params: SubstringParams) -> DataFrame:
     return mapped(rows, task, f"doc_id {_kind(rows, 'doc')}, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>")
 
 
-#: Words of one reference whose automaton may be broadcast.
-MOST_REFERENCE_WORDS = 500_000
+def _reference_shards(reference: DataFrame, params: SubstringParams) -> tuple[DataFrame, int]:
+    """(words, shard) of the reference's texts, cut where they are long into pieces that overlap by a window less a word, and the number of shards."""
+    words = reference.select(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= params.length)
+    total = words.agg(F.sum(F.size("w"))).first()[0] or 0
+    step = max(params.length, params.reference // 4)
+    pieces = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - params.length, F.lit(step)), lambda i: F.slice("w", i + 1, step + params.length - 1))).alias("words"))
+    shards = max(1, -(-int(total) // params.reference))
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards))), shards
 
 
 def removed_by_reference(docs: DataFrame, reference: DataFrame, params: SubstringParams = SubstringParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """As ``removed``, but of the windows that occur in a reference (column ``text``), whose automaton is broadcast.
+    """As ``removed``, but of the windows that occur in a reference (column ``text``), in shards whose automata are broadcast one after another.
 
-    A reference of more than MOST_REFERENCE_WORDS words raises ValueError.
+    Each shard has about ``params.reference`` words and costs one pass over the documents, so this is for
+    references that stay small beside them. Null texts of the reference have no windows.
     """
-    counted = reference.select(F.sum(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    if counted > MOST_REFERENCE_WORDS:
-        raise ValueError(f"the reference has {counted} words; at most {MOST_REFERENCE_WORDS} can be broadcast")
-    texts = [(r[0] or "").encode() for r in reference.select("text").collect()]
-    automaton, number = SuffixAutomaton(), {}
-    for i, text in enumerate(texts):
-        automaton.extend(-1 - i)
-        for word in text.split():
-            automaton.extend(number.setdefault(word, len(number)))
-    shared = docs.sparkSession.sparkContext.broadcast((automaton.next, automaton.link, automaton.len, number))
-    source = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = SuffixAutomaton()
-        a.next, a.link, a.len, number = shared.value
-        for part, found in slices(batches):
-            hits = []
-            for text in found:
-                sizes = a.match([number.get(w, -(10**9)) for w in text.split()])
-                hits.append([i - params.length + 1 for i, n in enumerate(sizes) if n >= params.length])
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), pa.array(hits, pa.list_(pa.int32()))], names=["doc", "text", "gone"])
-
-    return _cut_out(mapped(source, task, f"doc {_kind(source, 'doc')}, text string, gone array<int>"), params)
+    source = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    kind = _kind(source, "doc")
+    pieces, shards = _reference_shards(reference, params)
+    hits = None
+    for k in range(shards):
+        automaton, number = SuffixAutomaton(), {}
+        for i, (words,) in enumerate(pieces.filter(F.col("shard") == k).select("words").toLocalIterator()):
+            automaton.extend(-1 - i)
+            for word in words:
+                automaton.extend(number.setdefault(word.encode(), len(number)))
+        shared = docs.sparkSession.sparkContext.broadcast((automaton.next, automaton.link, automaton.len, number))
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            a = SuffixAutomaton()
+            a.next, a.link, a.len, number = shared.value
+            for part, texts in slices(batches):
+                which, hits = [], []
+                for i, text in enumerate(texts):
+                    sizes = a.match([number.get(w, -(10**9)) for w in text.split()])
+                    found = [i - params.length + 1 for i, n in enumerate(sizes) if n >= params.length]
+                    if found:
+                        which.append(i)
+                        hits.append(found)
+                at = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("mark").take(at), pa.array(hits, pa.list_(pa.int32()))], names=["doc", "mark", "w"])
+
+        made = stored(mapped(source, task, f"doc {kind}, mark long, w array<int>"), f"reference-hits-{k}")
+        shared.destroy()
+        hits = made if hits is None else hits.unionByName(made)
+    gone = hits.groupBy("doc", "mark").agg(F.flatten(F.collect_list("w")).alias("gone"))
+    same = F.col("d.doc").eqNullSafe(F.col("g.doc")) & (F.col("d.mark") == F.col("g.mark"))
+    return _cut_out(source.alias("d").join(gone.alias("g"), same, "left").select("d.doc", "d.text", "g.gone"), params)

@@ -378,8 +378,9 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [2000, 20, 1])
 def test_substrings(spark, hot):
+    """Also where shards are dealt anew, once or down to whole windows."""
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(40)]
     passages = [" ".join(rng.choice(words, 30)) for _ in range(4)]
@@ -410,15 +411,23 @@ def test_suffix_automaton():
     assert a.match([1, 2, 3, 9, 3, 1, 2, 2]) == [1, 2, 3, 0, 1, 2, 3, 1]
 
 
-def test_reference_is_broadcast(spark, monkeypatch):
-    passage = " ".join(f"w{i}" for i in range(25))
-    frame = spark.createDataFrame([(1, f"x y {passage} z"), (2, "nothing"), (3, None)], "doc_id long, text string")
-    reference = spark.createDataFrame([(f"before {passage} after",), (None,)], "text string")
-    got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.removed_by_reference(frame, reference).collect()}
-    assert got == {1: (25, "x y z"), 2: (0, "nothing"), 3: (0, "")}
-    monkeypatch.setattr(substrings, "MOST_REFERENCE_WORDS", 3)
-    with pytest.raises(ValueError):
-        substrings.removed_by_reference(frame, reference)
+@pytest.mark.parametrize("words", [200_000, 40])
+def test_reference_is_broadcast(spark, words):
+    """In one shard, and in several, with a text that is cut."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"w{i}" for i in rng.integers(0, 60, 70)) for _ in range(4)]
+    rows = [(1, f"x y {passages[0]} z"), (2, "nothing"), (3, None), (4, " ".join(passages[1].split()[30:60]) + " end"), (5, " ".join(passages[2].split()[:19])), (1, "another text"), (6, passages[3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    reference = spark.createDataFrame([(f"before {p} after",) for p in passages[:3]] + [(None,), ("",)], "text string")
+    known = {tuple(w[i : i + 20]) for p in passages[:3] for w in [["before", *p.split(), "after"]] for i in range(len(w) - 19)}
+    expected = []
+    for _, text in rows:
+        w = (text or "").split()
+        gone = {j for i in range(len(w) - 19) if tuple(w[i : i + 20]) in known for j in range(i, i + 20)}
+        expected.append((len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = substrings.removed_by_reference(frame, reference, substrings.SubstringParams(reference=words)).collect()
+    assert sorted((r.n_removed, r.kept) for r in got) == sorted(expected) and expected[0] == (70, "x y z")
+    assert substrings.removed_by_reference(frame, reference.limit(0)).filter("n_removed > 0").count() == 0
 
 
 # --- 9 decontamination ---
