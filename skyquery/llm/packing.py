@@ -7,6 +7,9 @@
    the next configuration); fractional remainders are packed by best fit.
 3. The actual pieces replace the rounded ones, longest first.
 4. The small pieces go by best fit, longest first, into the space that is left.
+5. Sequences that are not full are opened again, the loosest alone or more of them, and their
+   pieces put by best fit; the plan of the fewest sequences is taken. As the last choice opens
+   all, there are never more than best fit of all pieces, longest first, would make.
 
 All of it works on the histogram of lengths, which has at most ``capacity`` entries however
 many documents there are, and yields *runs*: a list of piece lengths and how many sequences
@@ -34,12 +37,12 @@ from .tokens import Encoder
 
 @dataclass(frozen=True)
 class PackingParams:
-    """``large``: the shortest length that is grouped; ``groups``: into how many groups of equal cardinality."""
+    """``large``: the shortest length that is grouped (more than a third of the capacity, so that configurations stay small); ``groups``: into how many groups of equal cardinality."""
 
     capacity: int = 4096
     end_id: int = 1
-    large: int = 410
-    groups: int = 40
+    large: int = 1366
+    groups: int = 20
     rounds: int = 400
 
 
@@ -243,15 +246,23 @@ def plan(histogram: dict[int, int], params: PackingParams = PackingParams()) ->
             _best_fit(space, n, rest[n], params.capacity)
     for n in sorted((n for n in histogram if n < params.large), reverse=True):
         _best_fit(space, n, histogram[n], params.capacity)
-    # sequences that stayed more than a third empty are opened again, and their pieces put where room is left
-    loose = Counter()
-    for free in [f for f in space.free if f > params.capacity // 3]:
-        while space.runs[free]:
-            held, count = space.take(free)
-            for n, each in held:
-                loose[n] += each * count
+    made = [run for free in sorted(space.runs) for run in space.runs[free]]
+    plans = [made, *(_reopened(made, limit, params.capacity) for limit in (params.capacity // 3, params.capacity // 30, 0, -1))]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _reopened(made: list[tuple[list[tuple[int, int]], int]], limit: int, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The runs after those with more space than the limit are opened and their pieces put, longest first, where they leave the least. With -1 this is best fit of all pieces."""
+    space, loose = _Space(), Counter()
+    for held, count in made:
+        free = capacity - sum(n * each for n, each in held)
+        if free <= limit:
+            space.add(free, held, count)
+            continue
+        for n, each in held:
+            loose[n] += each * count
     for n in sorted(loose, reverse=True):
-        _best_fit(space, n, loose[n], params.capacity)
+        _best_fit(space, n, loose[n], capacity)
     return [run for free in sorted(space.runs) for run in space.runs[free]]
 
 
