@@ -159,7 +159,7 @@ def test_near_duplicates(spark):
     rows += [(n, rows[0][1]), (n + 1, rows[0][1])]
     links, root = brute_classes(rows)
     # small chunks, so that clusters go through several blocks
-    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupParams(chunk=4, verify_chunk=3)).collect()}
+    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupParams(chunk=4, weight=200)).collect()}
     assert {k: r.n_links for k, r in got.items()} == {k: len(v) for k, v in links.items()}
     assert {k: r.class_id for k, r in got.items()} == root
 
@@ -172,7 +172,53 @@ def test_near_duplicates_odd_inputs(spark, odd):
         by[r.doc_id].append(r)
     assert by[1][0].n_links == 4 and {r.class_id for r in by[2]} == {1} and by[3][0].class_id == 3 and by[5][0].n_links == 0 and by[8][0].class_id == 1
     assert neardup.classes(odd.limit(0)).count() == 0
-    assert neardup.forest_depth(neardup.NearDupParams()) == 4
+
+
+def test_near_duplicates_at_other_thresholds(spark):
+    """Pairs below the usual bounds, and parameters that cannot reach the recall."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        base = [f"x{w}" for w in rng.integers(0, 4000, 60)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:48] + [f"y{w}" for w in rng.integers(0, 4000, int(rng.integers(6, 14)))]))]
+    links, root = brute_classes(rows, 0.5)
+    assert sum(map(len, links.values())) >= 70
+    params = neardup.NearDupParams(threshold=0.5, trees=24, depth=4)
+    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()}
+    assert {k: r.n_links for k, r in got.items()} == {k: len(v) for k, v in links.items()} and {k: r.class_id for k, r in got.items()} == root
+    with pytest.raises(ValueError):
+        neardup.forest_depth(neardup.NearDupParams(threshold=0.1))
+
+
+def test_forest_shortens_where_it_is_cheap():
+    params = neardup.NearDupParams()
+    assert neardup.forest_depth(params) == 4 and neardup.levels(params) == [8, 6, 4]
+    sizes = np.ones((3, 16, 3), np.int64)
+    sizes[1, :5] = [1, 50, 900]
+    sizes[2] = [3, 3, 3]
+    level = neardup.shortened(sizes, params)
+    # the crowded trees keep longer prefixes than the others, and pairs at the threshold meet all the same
+    assert level[1, :5].max() < 2 and (level[1, 5:] == 2).all()
+    for row in level:
+        assert 1 - np.prod(1 - 0.8 ** np.array([8, 6, 4])[row]) >= 0.999
+
+
+def test_labels_sort_like_their_minima():
+    params = neardup.NearDupParams()
+    low = np.arange(128, dtype=np.uint32) * np.uint32(2654435761)
+    high, rest = neardup.labels(low, params).view(np.uint64)
+    short = ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).reshape(16, 8).tolist()
+    whole = [(int(a) << 64) | int(b) for a, b in zip(high, rest, strict=True)]
+    assert whole == [sum(x << 16 * (7 - i) for i, x in enumerate(row)) for row in short]
+
+
+def test_long_near_duplicates(spark):
+    """Texts whose shingles fill several blocks."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 9000, 30000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:15000], "new", *words[15000:]])), (2, " ".join(words[:26000])), (3, " ".join(words[:9000]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupParams(weight=20_000)).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 0)}
 
 
 # --- 4 packing ---
