@@ -9,7 +9,7 @@
    number of tables follows from it and the target recall at the threshold, as found with pairs
    at the threshold made from the sample: centring widens their angles where vectors have a common
    direction. If that takes more tables, substrings get shorter as long as this costs less.
-3. Buckets are compared in blocks of bounded size with the original vectors, in double
+3. Equal vectors are one node with a count, so that copies never meet. Buckets are compared in blocks of bounded size with the original vectors, in double
    precision. A pair that meets in several tables counts in the first alone. Blocks
    give each vector's number of links and a forest of its links; pairs are never listed.
 """
@@ -202,31 +202,29 @@ def linked(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams(), *, i
     Vectors that are null, empty, zero or hold a null or non-finite component link with
     nothing, nor do rows with a null id. Vectors of different widths are never compared. Rows
     that repeat an id get one result, of the smallest of their vectors, and are no links of
-    one another. An empty table gives an empty result.
+    one another. Equal vectors are linked. Ids may be of any type with an order. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_column].dataType.simpleString()
-    good = valid_vectors(vectors, id_column, vector_column)
-    widths = sorted((r[0], r[1]) for r in good.groupBy(F.size("v")).count().collect())
-    parts = [_linked_width(good.filter(F.size("v") == width), width, count, params) for width, count in widths]
-    ids = vectors.select(F.col(id_column).alias("vec_id"))
-    none = spark.createDataFrame([], f"node {kind}, links long, root {kind}")
-    links = none
-    for part in parts:
-        links = links.unionByName(part)
+    # two hashes stand for the vector: 128 bits
+    good = stored(valid_vectors(vectors, id_column, vector_column).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit(1), "v")), "vectors")
+    nodes = stored(good.groupBy("a", "b").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-nodes")
+    of = good.select("vec_id", "a", "b").join(nodes.select("a", "b", "node", "copies"), ["a", "b"]).select("vec_id", "node", "copies")
+    widths = sorted((r[0], r[1]) for r in nodes.groupBy(F.size("v")).count().collect())
+    links = spark.createDataFrame([], f"node {kind}, links long, root {kind}")
+    for width, count in widths:
+        links = links.unionByName(_linked_width(nodes.filter(F.size("v") == width).select(F.col("node").alias("vec_id"), "copies", "v"), width, count, params))
     links = stored(links, "vector-links")
-    # every row of the valid vectors is one of equal vectors: links within them, and to others, by their first
-    roots = components(links.filter("root is not null").select(F.col("node").alias("u"), F.col("root").alias("v"))) if parts else None
+    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    out = ids.join(counted, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"))
-    if roots is None:
-        return out.select("vec_id", "n_links", F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    out = out.join(roots, F.col("vec_id") == F.col("node"), "left")
-    return out.select("vec_id", "n_links", F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.col("root") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    known = of.join(counted, "node", "left").join(roots, "node", "left")
+    known = known.select(F.col("vec_id").alias("id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
+    out = vectors.select(F.col(id_column).alias("vec_id")).join(known, F.col("vec_id") == F.col("id"), "left")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.col("root") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingParams) -> DataFrame:
-    """(node, links, root) for each block and vector of one width with a link."""
+    """(node, links, root) for each block and vector of one width with a link, given with the number of its copies."""
     spark = good.sparkSession
     share = min(1.0, params.sample / count)
     found = good.filter(hash_share(F.col("vec_id"), params.seed) < share).select("v").toArrow()
@@ -247,7 +245,7 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
     shared_buckets = spread.groupBy("tab", "code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = spread.join(shared_buckets, ["tab", "code"])
     blocks = block_rows(members, ["tab", "code"], "size", "vec_id", params.chunk)
-    rows = dealt(blocks.select("blk", "vec_id", "tab", "side", "same").join(good, "vec_id"), "blk")
+    rows = dealt(blocks.select("blk", "vec_id", "tab", "side", "same").join(good.select("vec_id", "copies", "v"), "vec_id"), "blk")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser = shared.value
@@ -268,7 +266,8 @@ def _linked_width(good: DataFrame, width: int, count: int, params: EmbeddingPara
             order = np.argsort(ids, kind="stable")
             place = np.empty(len(ids), np.int64)
             place[order] = np.arange(len(ids))
-            n = np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
+            copies = block.column("copies").to_numpy()
+            n = (np.bincount(u, weights=copies[v], minlength=len(ids)) + np.bincount(v, weights=copies[u], minlength=len(ids))).astype(np.int64)
             some = np.flatnonzero(n)
             nodes.append(ids[some])
             links.append(n[some])

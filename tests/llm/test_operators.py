@@ -352,6 +352,16 @@ def test_embeddings(spark):
     assert embeddings.linked(frame.limit(0)).count() == 0
 
 
+def test_equal_vectors_and_text_ids(spark):
+    """Copies are counted without being compared; ids that are texts are ordered as texts."""
+    rng = np.random.default_rng(6)
+    one, two = rng.standard_normal((2, 8))
+    rows = [(f"k{i:04}", one.tolist()) for i in range(600)] + [("a", (one + 0.01 * two).tolist()), ("z", two.tolist())]
+    got = {r.vec_id: r for r in embeddings.linked(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), embeddings.EmbeddingParams(chunk=16)).collect()}
+    assert {got[f"k{i:04}"].n_links for i in range(600)} == {600} and got["a"].n_links == 600 and got["z"].n_links == 0
+    assert {got[k].component_id for k in got if k != "z"} == {"a"} and sorted(k for k in got if got[k].kept) == ["a", "z"]
+
+
 def test_learned_codes_are_balanced():
     rng = np.random.default_rng(0)
     x = embeddings.unit_rows(rng.standard_normal((2000, 16)) + 0.3)
