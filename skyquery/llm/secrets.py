@@ -1,9 +1,10 @@
 """Secret scans, with DataFrame operations only.
 
-Three patterns give the base spans. Besides, strings of key-like characters are compared by
-two character Markov models, of random strings and of ordinary identifiers: a string whose
-mean log-likelihood ratio lies above the trained threshold is a span of kind ``random``.
-The models are first-order, trained from labelled samples.
+Three patterns give the base spans. Besides, runs of key-like characters outside them are compared by
+two character Markov models, of random strings and of ordinary identifiers: a run, or a part of it between
+separators, whose mean log-likelihood ratio lies above the trained threshold of its length is a span of kind ``random``.
+The models are first-order, interpolated with single characters, and trained from labelled samples;
+the thresholds come from samples that the models have not seen.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_share
@@ -25,7 +26,11 @@ BASE = (
 KINDS = ("assign", "access", "hex", "random")
 #: Characters that the models know; all of a candidate are among them.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: A part of a candidate between separators.
+PART = r"[A-Za-z0-9+]{12,}"
+#: The least lengths of the classes that have thresholds of their own.
+LENGTHS = (12, 16, 20, 28, 40)
 MASK = "[SECRET]"
 #: Entries that are added at a time when lengths are summed up.
 _STEP = 64
@@ -51,7 +56,8 @@ def _before(numbers: Column) -> Column:
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """The pattern's leftmost non-overlapping matches: structs of start, end (code points), text, and length of the group."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found, measured = F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    measured = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
 
     def build(x: Column) -> Column:
         sizes = F.transform(x["m"], lambda m: F.length(m))
@@ -86,10 +92,17 @@ def base_spans(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class SecretModel:
-    """``table``: log-likelihood ratio of each pair of characters, random against ordinary, in thousandths; ``threshold``: of the mean."""
+    """``table``: log-likelihood ratio of each pair of characters, random against ordinary, in thousandths; ``thresholds``: of the mean, for each class of LENGTHS."""
 
     table: tuple[int, ...]
-    threshold: float
+    thresholds: tuple[float, ...]
+
+    def likely(self, text: Column) -> Column:
+        """Whether a string of the alphabet, of the least candidate's length or longer, is above its threshold."""
+        limit = F.lit(self.thresholds[0])
+        for least, t in zip(LENGTHS[1:], self.thresholds[1:], strict=True):
+            limit = F.when(F.length(text) >= least, t).otherwise(limit)
+        return mean_ratio(text, self.table) > limit
 
 
 def _codes(text: Column) -> Column:
@@ -108,65 +121,120 @@ def mean_ratio(text: Column, table: tuple[int, ...]) -> Column:
 
 
 def random_spans(text: Column, model: SecretModel, base: Column) -> Column:
-    """Candidates above the threshold that overlap no base span."""
-    likely = _spans(text, CANDIDATE, 3, lambda x: mean_ratio(x["text"], model.table) > model.threshold)
-    apart = lambda bs: F.filter(likely, lambda x: ~F.exists(bs, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.when(text.rlike(CANDIDATE), let(base, apart)).otherwise(F.array().cast(_SPAN))
+    """Candidates above the threshold, or else their parts that are, in what the base spans do not cover."""
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+    none = F.array().cast(_SPAN)
+
+    def judged(x: Column) -> Column:
+        parts = F.filter(matches(x["text"], PART), lambda y: model.likely(y["text"]))
+        inner = F.transform(parts, lambda y: span(x["start"] + y["start"], x["start"] + y["end"])).cast(_SPAN)
+        return F.when(model.likely(x["text"]), F.array(span(x["start"], x["end"])).cast(_SPAN)).when(x["text"].rlike(r"[/_=-]"), inner).otherwise(none)
+
+    rest = redacted(text, base, " ", stretched=True)
+    return F.when(text.rlike(CANDIDATE), F.flatten(let(rest, lambda t: F.transform(matches(t, CANDIDATE), judged)))).otherwise(none)
 
 
-def labelled_samples(docs: DataFrame, *, documents: int = 400, strings: int = 4000, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Strings (text, random): digests in several alphabets, and identifiers made of the documents' own plain words.
+def labelled_samples(docs: DataFrame, *, documents: int = 400, strings: int = 8000, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Strings (text, random): digests in several alphabets and lengths, and identifiers made of the documents' own plain words.
 
     ``documents`` bounds the sample of documents (expected number, by a hash of the id),
     ``strings`` the random strings. Words of letters alone are ordinary; they are taken
-    single, and in pairs the way identifiers are written.
+    single, and two to four of them the way identifiers, constants, types, paths and assignments are
+    written. Numbers, dates and rulers are ordinary too.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
-    letters = F.base64(F.unhex(digest))
-    upper = F.upper(F.regexp_replace(letters, "[^A-Za-z0-9]", ""))
-    shape = F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 4 == 1, letters).when(F.col("id") % 4 == 2, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)))
-    random = spark.range(strings).select(shape.otherwise(F.regexp_replace(letters, "[^A-Za-z0-9]", "")).alias("text"), F.lit(True).alias("random"))
+    letters = F.concat(F.base64(F.unhex(digest)), F.base64(F.unhex(F.sha2(digest, 256))))
+    plain = F.regexp_replace(letters, "[^A-Za-z0-9]", "")
+    size = (F.lit(12) + F.pmod(F.xxhash64("id"), F.lit(33))).cast("int")
+    styles = [F.concat(digest, digest), F.upper(digest), F.regexp_replace(letters, "=", ""), F.translate(F.regexp_replace(letters, "=", ""), "+/", "-_"), plain, plain, F.lower(plain), F.concat(F.lit("AKIA"), F.upper(plain))]
+    shape = F.element_at(F.array(*[F.substring(x, F.lit(1), size) for x in styles]), (F.col("id") % len(styles) + 1).cast("int"))
+    random = spark.range(strings).select(shape.alias("text"), F.lit(True).alias("random"))
     share = min(1.0, documents / max(1, docs.count()))
     words = docs.filter(hash_share(F.col(id_column), 5) < share).select(F.filter(F.split(text_column, r"[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w"))
-    words = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p")).select(F.col("p")["a"].alias("a"), F.coalesce(F.col("p")["b"], F.lit("value")).alias("b"))
-    kind = F.pmod(F.xxhash64("a", "b"), F.lit(5))
-    written = (
-        F.when(kind == 0, F.col("a")).when(kind == 1, F.concat_ws("_", F.lower("a"), F.lower("b"))).when(kind == 2, F.concat(F.lower("a"), F.initcap("b")))
-        .when(kind == 3, F.concat_ws("-", "a", "b")).otherwise(F.concat("a", F.lit("_"), F.pmod(F.xxhash64("a"), F.lit(100)).cast("string")))
-    )
-    return random.union(words.select(written, F.lit(False)))
-
-
-def train(samples: DataFrame, *, smoothing: float = 0.5) -> SecretModel:
+    words = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, F.lit(4)))).alias("w")).filter("size(w) > 0")
+    low, big = (F.transform("w", f) for f in (lambda x: F.lower(x), lambda x: F.initcap(x)))
+    two = F.slice(low, F.lit(1), F.lit(2))
+    number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")
+    written = [
+        F.element_at("w", 1), F.array_join(two, "_"), F.array_join("w", "-"), F.concat(F.element_at(low, 1), F.array_join(F.slice(big, F.lit(2), F.lit(3)), "")), F.array_join(big, ""), F.upper(F.array_join("w", "_")), F.array_join(low, "_"),
+        F.concat(F.lit("/"), F.array_join(low, "/")), F.array_join(low, ""), F.concat(F.array_join(two, "_"), F.lit("_"), number), F.concat(F.array_join(low, "_"), F.lit("=")), F.concat(F.array_join(two, "/"), F.lit("-"), number), F.upper(F.array_join("w", "")),
+    ]
+    named = words.select(F.element_at(F.array(*written), (F.pmod(F.xxhash64("w"), F.lit(len(written))) + 1).cast("int")), F.lit(False))
+    count = F.abs(F.xxhash64("id")).cast("string")
+    figures = spark.range(strings // 8).select(F.when(F.col("id") % 2 == 0, F.substring(count, F.lit(1), (F.lit(12) + F.col("id") % 8).cast("int"))).otherwise(F.concat_ws("-", F.substring(count, 1, 4), F.substring(count, 5, 2), F.substring(count, 7, 2), F.substring(count, 9, 6))), F.lit(False))
+    rulers = spark.range(400).select(F.repeat(F.element_at(F.split(F.lit("- = _ / + -= ab x 0"), " "), (F.col("id") % 9 + 1).cast("int")), (F.lit(12) + F.col("id") % 60).cast("int")), F.lit(False))
+    return random.union(named).union(figures).union(rulers)
+
+
+def _rates(counts: list[float], k: int) -> list[float]:
+    """Probability of each second character after each first, interpolated with that of the character alone by how many kinds have followed."""
+    single = [sum(counts[i * k + j] for i in range(k)) for j in range(k)]
+    total = sum(single)
+    alone = [(c + 0.5) / (total + 0.5 * k) for c in single]
+    out = []
+    for i in range(k):
+        row = counts[i * k : i * k + k]
+        n, kinds = sum(row), sum(c > 0 for c in row)
+        out += [(c + kinds * a) / (n + kinds) if n else a for c, a in zip(row, alone, strict=True)]
+    return out
+
+
+def _usable(samples: DataFrame) -> DataFrame:
+    return samples.filter(F.col("text").rlike(r"^[A-Za-z0-9+/_=-]{2,}$")).withColumn("kept_back", F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+
+
+def train(samples: DataFrame) -> SecretModel:
     """Counts pairs of neighbours by label and compares the two models' transition probabilities.
 
-    The threshold lies between the labels' means of the sample scores, at the value that
-    splits the distance by the labels' spreads, and never below 0.35. Without samples of
+    A quarter of the samples, chosen by a hash of the string, is kept back for the thresholds. A class's
+    threshold lies above all but a thousandth of its ordinary strings: a little, or half way to the
+    lowest twentieth of the random ones where that is higher. Without samples of
     either label every pair is even, and nothing is found.
     """
     k = len(ALPHABET)
-    rows = samples.filter(F.col("text").rlike(r"^[A-Za-z0-9+/_=-]{2,}$"))
+    rows = _usable(samples)
     pair = let(_codes(F.col("text")), lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: x * k + y))
-    counted = rows.select("random", F.explode(pair).alias("pair")).groupBy("random", "pair").count().collect()
-    counts = {True: [smoothing] * (k * k), False: [smoothing] * (k * k)}
+    counted = rows.filter("not kept_back").select("random", F.explode(pair).alias("pair")).groupBy("random", "pair").count().collect()
+    counts = {True: [0.0] * (k * k), False: [0.0] * (k * k)}
     for random, p, n in counted:
         counts[bool(random)][p] += n
-    rates = {label: [c / sum(row) for i in range(k) for row in [x[i * k : i * k + k]] for c in row] for label, x in counts.items()}
+    rates = {label: _rates(x, k) for label, x in counts.items()}
     table = tuple(round(1000 * math.log(a / b)) for a, b in zip(rates[True], rates[False], strict=True))
-    scored = rows.filter(F.length("text") >= 12).select("random", mean_ratio(F.col("text"), table).alias("r")).groupBy("random").agg(F.avg("r"), F.coalesce(F.stddev_pop("r"), F.lit(0.0))).collect()
-    by = {bool(x[0]): (x[1], x[2]) for x in scored}
-    if len(by) < 2:
-        return SecretModel(table, math.inf)
-    (high, wide), (low, narrow) = by[True], by[False]
-    return SecretModel(table, max(0.35, low + (high - low) * narrow / max(1e-9, wide + narrow)))
+    if not any(counts[True]) or not any(counts[False]):
+        return SecretModel(table, (math.inf,) * len(LENGTHS))
+    scored = rows.filter(F.col("kept_back") & (F.length("text") >= LENGTHS[0])).select("random", _length_class(F.col("text")).alias("c"), mean_ratio(F.col("text"), table).alias("r"))
+    found = scored.groupBy("c").agg(F.percentile(F.when(~F.col("random"), F.col("r")), F.lit(0.999)).alias("top"), F.percentile(F.when(F.col("random"), F.col("r")), F.lit(0.05)).alias("low")).collect()
+    limits = {r.c: (r.top + 0.05 if r.low is None else max(r.top + 0.05, (r.top + r.low) / 2)) for r in found if r.top is not None}
+    # a class without ordinary strings has the highest threshold of the others
+    most = max(limits.values(), default=math.inf)
+    return SecretModel(table, tuple(float(limits.get(c, most)) for c in range(len(LENGTHS))))
+
 
+def _length_class(text: Column) -> Column:
+    at = F.lit(0)
+    for c, least in enumerate(LENGTHS[1:], 1):
+        at = F.when(F.length(text) >= least, c).otherwise(at)
+    return at
 
-def scan(docs: DataFrame, model: SecretModel, *, text_column: str = "text") -> DataFrame:
-    """The rows with ``base_spans`` and ``secret_spans``: arrays of (start, kind, end) by start, then kind; code points, end exclusive. Null text has none."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    found = docs.withColumn("base_spans", base_spans(text))
-    return found.withColumn("secret_spans", F.array_sort(F.concat("base_spans", random_spans(text, model, F.col("base_spans")))))
+
+def measured(samples: DataFrame, model: SecretModel) -> DataFrame:
+    """(least, random, n, flagged) for each class of lengths and label, over the samples that were kept back: what precision and recall follow from."""
+    rows = _usable(samples).filter(F.col("kept_back") & (F.length("text") >= LENGTHS[0]))
+    least = F.element_at(F.array(*[F.lit(x) for x in LENGTHS]), _length_class(F.col("text")) + 1)
+    return rows.groupBy(least.alias("least"), "random").agg(F.count(F.lit(1)).alias("n"), F.count_if(model.likely(F.col("text"))).alias("flagged"))
+
+
+def scan(docs: DataFrame, model: SecretModel, *, text_column: str = "text", base_column: str = "base_spans", spans_column: str = "secret_spans") -> DataFrame:
+    """The rows with ``base_spans`` and ``secret_spans``: arrays of (start, kind, end) by start, then kind; code points, end exclusive.
+
+    Null and empty texts have none. Rows are independent: repeated rows get equal results, an empty table an empty one. Input columns of
+    the two names are replaced; other names can be given for the results.
+    """
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    found = docs.withColumn(base_column, base_spans(text))
+    base = F.col(f"`{base_column}`")
+    return found.withColumn(spans_column, F.array_sort(F.concat(base, random_spans(text, model, base))))
 
 
 def joined(spans: Column) -> Column:
@@ -174,18 +242,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with every span, or union of overlapping ones, replaced by the mask."""
+def redacted(text: Column, spans: Column, mask: str = MASK, *, stretched: bool = False) -> Column:
+    """The text with every span, or union of overlapping ones, replaced by the mask; ``stretched``: by a mask for each character."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
+        first = F.greatest(a["at"], s["start"])
+        hidden = F.repeat(F.lit(mask), s["end"] - first) if stretched else F.when(s["start"] >= a["at"], F.lit(mask)).otherwise("")
+        new = F.concat(a["out"], F.substring(text, a["at"] + 1, first - a["at"]), hidden)
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] > a["at"], new).otherwise(a["out"]).alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, put, rest)).otherwise(text)
-
-
-def default_model(spark: SparkSession, docs: DataFrame) -> SecretModel:
-    del spark
-    return train(labelled_samples(docs))

@@ -301,8 +301,60 @@ def brute_secrets(text):
     return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[1]))))
 
 
-def test_secrets(spark, docs, odd):
-    model = secrets.train(secrets.labelled_samples(docs, documents=60, strings=800))
+def brute_random(text, model):
+    """All spans, from the pairs of characters one at a time."""
+    base = [x.split(":") for x in brute_secrets(text).split(",") if x]
+    rest = list(text)
+    for _, s, e in base:
+        rest[int(s) : int(e)] = " " * (int(e) - int(s))
+    rest = "".join(rest)
+
+    def likely(x):
+        at = [secrets.ALPHABET.index(c) for c in x]
+        ratio = sum(model.table[a * len(secrets.ALPHABET) + b] for a, b in zip(at, at[1:])) / 1000.0 / (len(at) - 1)
+        return ratio > model.thresholds[max(k for k, least in enumerate(secrets.LENGTHS) if least <= len(x))]
+
+    found = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in base]
+    for m in re.finditer(secrets.CANDIDATE, rest):
+        if likely(m[0]):
+            found.append((m.start(), 3, m.end()))
+        elif re.search("[/_=-]", m[0]):
+            found += [(m.start() + p.start(), 3, m.start() + p.end()) for p in re.finditer(secrets.PART, m[0]) if likely(p[0])]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+@pytest.fixture(scope="module")
+def secret_model(docs):
+    return secrets.train(secrets.labelled_samples(docs))
+
+
+def test_secret_models_on_strings_kept_back(docs, secret_model):
+    """Precision and recall on the samples that the models have not seen."""
+    found = secrets.measured(secrets.labelled_samples(docs), secret_model).collect()
+    right, wrong, all_ = (sum(f(r) for r in found) for f in (lambda r: r.flagged * r.random, lambda r: r.flagged * (not r.random), lambda r: r.n * r.random))
+    assert right / all_ > 0.97 and right / (right + wrong) > 0.99
+
+
+def test_random_spans_against_brute_force(spark, docs, secret_model):
+    rng = np.random.default_rng(4)
+    token = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    plain = ["-" * 28, "DEFAULT_CONNECTION_TIMEOUT_SECONDS", "AbstractSingletonProxyFactoryBean", "/usr/local/share/applications/config", "9807915762804490", "a_perfectly_ordinary_long_identifier_name", "=" * 300, "internationalization"]
+    made = [f"é {token(16)} x", f"four_words_of_text={token(20)}", f"{token(14)}/{'-' * 40}/some/ordinary/path/with/{token(24)}", f"token={token(10)}/{token(30)} {token(40)}", "AKIA" + "Q7" * 12 + "-" + token(18), token(3000), " ".join(token(12) for _ in range(300))]
+    texts = [*plain, *made, *[r.text or "" for r in docs.limit(60).collect()]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.s for r in secrets.scan(frame, secret_model).select("i", secrets.joined(F.col("secret_spans")).alias("s")).collect()}
+    assert all(got[i] == brute_random(x, secret_model) for i, x in enumerate(texts))
+    assert not any(got[i] for i in range(len(plain))) and all(got[len(plain) + i] for i in range(len(made)))
+
+
+def test_secret_columns_may_have_other_names(spark, secret_model):
+    frame = spark.createDataFrame([("token = abcdef123", 1, 2)], "text string, base_spans int, secret_spans int")
+    r = secrets.scan(frame, secret_model, base_column="b", spans_column="s").first()
+    assert (r.base_spans, r.secret_spans, len(r.b), len(r.s)) == (1, 2, 1, 1) and len(secrets.scan(frame, secret_model).first().secret_spans) == 1
+
+
+def test_secrets(spark, docs, odd, secret_model):
+    model = secret_model
     hexes = "0123456789abcdef" * 2
     texts = [
         'token = "abcdef123456"', "token=token:abcdefgh password: x secret = longenough1", "é😀 api_key:ABCDEF12 APIKEY='zzzzzz'", f"{hexes} {hexes}x{hexes[:23]}", "AKIA" + "A" * 16 + " AKIA" + "B" * 15 + " xAKIA" + "C" * 30, "passwd='a' Passwd  =  'abcdefg'", "", "plain words only here",
