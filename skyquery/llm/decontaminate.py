@@ -4,19 +4,19 @@ Words lose case and outer punctuation; numbers, units behind numbers, and names
 capital inside a sentence) become typed placeholders, so that a question with other
 parameters has the same template. A capital at the start of a sentence, or in a word like O'Neil,
 McKay, USA or J., may or may not be a name: windows over such words are hashed in both readings on
-both sides. Windows of template words of each benchmark item are
-hash-joined with those of all documents: the items are a stated query set, taken in blocks of
-bounded size, each broadcast as a hash table. For each document and item the matched windows
-are aligned, and their slots must be consistent: a value of the item always stands for
-one value in the document, and two values for two. Windows with a slot that breaks this
+both sides. The items' windows of template words become a table of hashes. Each document is read once; those
+of its windows that may be in the table, by a broadcast bitmap of fixed size, are hash-joined with it. For each document and
+item the matched windows are aligned, and their slots must be consistent: a value of the item always stands for
+one value in the document, and two values for two, in one alignment and in all that are
+taken together. Windows with a slot that breaks this
 do not count. A document is contaminated by an item if enough of its windows are left, or if nearly all
 of its words stand in the document in aligned runs, so that a replaced word costs that word and not
-all windows over it. Items of few words have shorter windows for finding these runs.
+all windows over it. Items of few words have shorter windows for finding these runs; items of fewer than
+``least`` words say too little as templates and are matched whole, with their values.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, mapped, slices, WordTable
+from .common import Grown, mapped, slices, stored, WordTable
 
 # Written numbers, and units that may follow a number.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -45,18 +45,18 @@ PLAIN, NUMBER, NAME, UNIT, MEASURE, NOTHING, LOOSE = range(7)
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``window``: template words in a window (an item of fewer, but ``least``, is one window); ``share``: of an item's windows that must be found; ``block``: words of the benchmark in one broadcast block.
+    """``window``: template words in a window (an item of fewer is one window; of fewer than ``least``, one with its values); ``share``: of an item's windows that must be found.
 
-    ``covered``: of an item's words that must be found in aligned runs of ``run`` words or more, where fewer windows than ``share`` are; ``fixed``: words that a window must keep when capitals of either kind are read as names.
+    ``covered``: of an item's words that must be found in aligned runs of ``run`` words or more, where fewer windows than ``share`` are; ``fixed``: words that a window must keep when capitals of either kind are read as names; ``bits``: of a hash that the bitmap tells apart.
     """
 
     window: int = 8
     least: int = 5
     share: float = 0.5
-    block: int = 500_000
     covered: float = 0.8
     run: int = 3
     fixed: int = 3
+    bits: int = 24
 
 
 def describe(word: bytes) -> tuple[int, int, int, bool]:
@@ -126,6 +126,8 @@ class Templates:
         return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner)
 
 
+#: Sets windows of values apart from windows of templates.
+_VALUES = np.uint64(0x5851F42D4C957F2D)
 _FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -144,25 +146,26 @@ def window_hashes(template: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def readings(words: Words, n: int, fixed: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def readings(words: Words, n: int, params: LeakParams, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the windows of n words within one text, each with every choice of its loose words as names that leaves ``fixed`` words without a slot.
 
-    ``keep``: a table of the first 22 bits of hashes; readings of other hashes are left out.
+    Windows of fewer than ``least`` words have one reading, their values. ``keep``: a table of the first bits of hashes; readings of other hashes are left out.
     """
-    first = window_hashes(words.template, n)
+    whole, shift = n < params.least, np.uint64(64 - params.bits)
+    first = window_hashes(words.value, n) ^ _VALUES if whole else window_hashes(words.template, n)
     count = len(first)
     inside = words.owner[:count] == words.owner[n - 1 : n - 1 + count]
-    listed = lambda h: slice(None) if keep is None else keep[(h >> np.uint64(42)).astype(np.int64)]
+    listed = lambda h: slice(None) if keep is None else keep[(h >> shift).astype(np.int64)]
     at = np.flatnonzero(inside)
     places, hashes = [at[listed(first[at])]], [first[at][listed(first[at])]]
     before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     loose, slots = before(words.loose), before(words.slot > 0)
-    some = at[loose[at + n] > loose[at]]
+    some = at[(loose[at + n] > loose[at]) & (not whole)]
     change = (_mixed(np.full(1, NAME, np.uint64)) - _mixed(words.template)) * words.loose
     # texts all in capitals have many readings: few windows at a time
     for i in range(0, len(some), 20_000):
         place = some[i : i + 20_000]
-        h, left = first[place], n - (slots[place + n] - slots[place]) - fixed
+        h, left = first[place], n - (slots[place + n] - slots[place]) - params.fixed
         for k in range(n):
             other = np.flatnonzero(words.loose[place + k] & (left > 0))
             if not len(other):
@@ -175,34 +178,30 @@ def readings(words: Words, n: int, fixed: int, keep: np.ndarray | None = None) -
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def item_lengths(size: int, params: LeakParams) -> tuple[int, ...]:
+    """The window lengths of an item of so many template words, the one that is counted first."""
+    if size < params.least:
+        return (size,) if size else ()
+    n = min(params.window, size)
+    # of an item with one word replaced a half is left whole: items too short for a window in it have shorter ones besides
+    return (n, *({min(n, max(params.least, size // 2))} - {n}))
+
+
 @dataclass
-class Block:
-    """Items of one block: for each window hash the (item, position, length), and for each item its words, its window length, its windows' hashes as they stand, and the distinct windows it has."""
-
-    windows: dict[int, list[tuple[int, int, int]]]
-    words: dict[int, Words]
-    length: dict[int, int]
-    own: dict[int, np.ndarray]
-    total: dict[int, int]
-
-
-def make_block(items: list[tuple[int, str]], params: LeakParams) -> Block:
-    block = Block(defaultdict(list), {}, {}, {}, {})
-    templates = Templates()
-    for item, text in items:
-        words = templates([(text or "").encode()])
-        size = len(words.template)
-        if size < params.least:
-            continue
-        n = min(params.window, size)
-        # of an item with one word replaced a half is left whole: items too short for a window in it have shorter ones besides
-        for m in {n, min(n, max(params.least, size // 2))}:
-            for at, h in zip(*(x.tolist() for x in readings(words, m, params.fixed)), strict=True):
-                block.windows[h].append((item, at, m))
-        block.words[item], block.length[item], block.own[item] = words, n, window_hashes(words.template, n)
-        # a window that repeats in the item is found once
-        block.total[item] = len(set(block.own[item].tolist()))
-    return block
+class Item:
+    """An item's words, the length of its counted windows, their hashes as they stand, and how many differ: a window that repeats in the item is found once."""
+
+    words: Words
+    length: int
+    own: np.ndarray
+    total: int
+
+    @staticmethod
+    def of(text: bytes, params: LeakParams) -> Item:
+        words = Templates()([text])
+        n = item_lengths(len(words.template), params)[0]
+        own = window_hashes(words.value if n < params.least else words.template, n)
+        return Item(words, n, own, len(set(own.tolist())))
 
 
 def _in_runs(agree: np.ndarray, least: int) -> np.ndarray:
@@ -214,93 +213,163 @@ def _in_runs(agree: np.ndarray, least: int) -> np.ndarray:
     return kept
 
 
-def _consistent(block: Block, item: int, hits: list[tuple[int, int, int]], words: Words, begin: int, end: int, params: LeakParams) -> tuple[set[int], float]:
+class _Binding:
+    """Alignments whose slots agree: what each value of the item stands for, the item's windows found, and its words in runs."""
+
+    def __init__(self, size: int):
+        self.stands: dict[int, int] = {}
+        self.back: dict[int, int] = {}
+        self.windows: set[int] = set()
+        self.covered = np.zeros(size, bool)
+
+    def takes(self, stands: dict[int, int]) -> bool:
+        return all(self.stands.get(a, b) == b and self.back.get(b, a) == a for a, b in stands.items())
+
+    def add(self, stands: dict[int, int], windows: set[int], covered: np.ndarray) -> None:
+        self.stands.update(stands)
+        self.back.update({b: a for a, b in stands.items()})
+        self.windows |= windows
+        self.covered |= covered
+
+
+def consistent(item: Item, hits: list[tuple[int, int, int]], words: Words, params: LeakParams) -> tuple[int, float]:
     """Of the hits (position in the item, position in the document, length) the item's windows whose slots agree with the others', and the share of the item's words in aligned runs.
 
-    ``begin`` and ``end``: where the document's words lie. An occurrence of the item is judged by itself: hits on one diagonal. Runs count if no slot on their diagonal breaks the rule.
+    An occurrence of the item is judged by itself: hits on one diagonal. A slot that contradicts most of its diagonal takes its
+    windows away, and the runs of that diagonal do not count. Diagonals count together as far as their slots agree, the fullest first.
     """
-    n, own, size = block.length[item], block.words[item], len(block.words[item].value)
+    n, own, size, end = item.length, item.words, len(item.words.value), len(words.value)
     named = (own.slot == NAME) | own.loose
-    best: set[int] = set()
-    covered = np.zeros(size, bool)
     diagonals: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at, d, m in hits:
         diagonals[d - at].append((at, m))
+    found = []
     for diagonal, some in diagonals.items():
-        low, high = max(0, begin - diagonal), min(size, end - diagonal)
+        low, high = max(0, -diagonal), min(size, end - diagonal)
         item_at, doc_at = slice(low, high), slice(low + diagonal, high + diagonal)
         other = words.value[doc_at]
         agree = np.zeros(size, bool)
         agree[item_at] = (own.value[item_at] == other) | ((own.slot[item_at] > 0) & (own.slot[item_at] == words.slot[doc_at])) | (named[item_at] & ((words.slot[doc_at] == NAME) | words.loose[doc_at]))
-        agree = _in_runs(agree, params.run)
+        agree = _in_runs(agree, min(params.run, n))
         places = np.flatnonzero(agree & ((own.slot > 0) | own.loose)).tolist()
         there: dict[int, Counter] = defaultdict(Counter)
         for p in places:
             there[int(own.value[p])][int(words.value[p + diagonal])] += 1
         stands = {a: c.most_common(1)[0][0] for a, c in there.items()}
         taken = Counter(stands.values())
-        wrong = {p for p in places if int(words.value[p + diagonal]) != stands[int(own.value[p])] or taken[stands[int(own.value[p])]] > 1}
-        best |= {at for at, m in some if m == n and not any(p in wrong for p in range(at, at + n))}
-        if not wrong:
-            covered |= agree
-    return best, float(covered.mean())
+        stands = {a: b for a, b in stands.items() if taken[b] == 1}
+        wrong = {p for p in places if stands.get(int(own.value[p])) != int(words.value[p + diagonal])}
+        good = {at for at, m in some if m == n and not any(p in wrong for p in range(at, at + n))}
+        # slots outside the good windows bind nothing where the diagonal breaks the rule
+        if wrong:
+            used = {int(own.value[p]) for p in places if any(p - n < at <= p for at in good)}
+            stands = {a: b for a, b in stands.items() if a in used}
+        found.append((len(good), int(agree.sum()) * (not wrong), -diagonal, stands, good, agree & (not wrong)))
+    bindings: list[_Binding] = []
+    for *_, stands, good, agree in sorted(found, key=lambda x: x[:3], reverse=True):
+        if not good and not agree.any():
+            continue
+        taker = next((b for b in bindings if b.takes(stands)), None)
+        if taker is None:
+            bindings.append(taker := _Binding(size))
+        taker.add(stands, good, agree)
+    # windows with equal hashes count once
+    return max((len({int(item.own[p]) for p in b.windows}) for b in bindings), default=0), max((float(b.covered.mean()) for b in bindings), default=0.0)
+
+
+def _windows_of_items(items: DataFrame, params: LeakParams) -> DataFrame:
+    """(hash, item, at, length) of all readings of the items' windows (item, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
+        for part, texts in slices(batches):
+            words = templates(texts)
+            sizes = np.bincount(words.owner, minlength=len(texts))
+            lengths = [item_lengths(int(n), params) for n in sizes]
+            for m in sorted({m for some in lengths for m in some}):
+                place, h = readings(words, m, params)
+                wanted = np.array([m in some for some in lengths], bool)[words.owner[place]]
+                place, h = place[wanted], h[wanted]
+                owner = words.owner[place]
+                at = place - np.searchsorted(words.owner, owner)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("item").take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), m, np.int32))], names=["hash", "item", "at", "length"])
+
+    return mapped(items, task, f"hash long, item {items.schema['item'].dataType.simpleString()}, at int, length int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """(doc_id, item_id, windows, found, share) for each document and item that contaminates it.
 
-    Every whole text is compared with every item. Null or empty texts and items, and items of
-    fewer than ``least`` words, match nothing. ``share`` is of the item's windows, also where it
+    Every whole text is compared with every item; ids may be of any type. Null texts and ids of items, and texts and items without a
+    word, match nothing; an item of few words is in every text that has these words, with the same values, in a row. ``share`` is of the item's windows, also where it
     is the item's words in aligned runs that decide; of rows that repeat an id each gives its own
-    pairs, equal pairs once. An empty benchmark or table gives no rows.
+    pairs, equal pairs once, and of items that repeat an id each text is an item. An empty benchmark or table gives no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text")).dropna().distinct()
-    words = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(words) // params.block))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = None
-    for k in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(pickle.dumps(make_block([(r[0], r[1]) for r in some], params)))
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block: Block = pickle.loads(shared.value)
-            templates, lengths = Templates(), sorted({m for entries in block.windows.values() for _, _, m in entries})
-            listed = np.fromiter(block.windows, np.uint64, len(block.windows))
-            listed.sort()
-            seen = np.zeros(1 << 22, bool)
-            seen[(listed >> np.uint64(42)).astype(np.int64)] = True
-            for part, texts in slices(batches, "_text"):
-                words = templates(texts)
-                hits: dict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)
-                for n in lengths:
-                    place, h = readings(words, n, params.fixed, seen)
-                    near = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-                    known = np.flatnonzero(listed[near] == h)
-                    for at, one in zip(place[known].tolist(), h[known].tolist(), strict=True):
-                        for item, p, m in block.windows[one]:
-                            hits[int(words.owner[at]), item].add((p, at, m))
-                out = []
-                for (doc, item), pairs in hits.items():
-                    begin, end = np.searchsorted(words.owner, [doc, doc + 1]).tolist()
-                    good, covered = _consistent(block, item, sorted(pairs), words, begin, end, params)
-                    # positions of windows with equal hashes count once
-                    different = len({int(block.own[item][p]) for p in good})
-                    share = different / block.total[item]
+    items = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).alias("text")).dropna().distinct().withColumn("item_mark", F.xxhash64("text"))
+    listed = stored(_windows_of_items(items.select(F.struct("item", "item_mark").alias("item"), "text"), params).select("hash", "item.*", "at", "length"), "item-windows")
+    lengths = sorted(r[0] for r in listed.select("length").distinct().collect())
+    # at most 2 ** bits numbers, however many items there are
+    first = listed.select(F.shiftrightunsigned("hash", 64 - params.bits).cast("int").alias("first")).distinct().toArrow().column(0).to_numpy()
+    bitmap = np.zeros(1 << params.bits, bool)
+    bitmap[first] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    source = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")).filter("text is not null").withColumn("mark", F.xxhash64("text"))
+    kind = source.schema["doc"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, seen = Templates(), np.unpackbits(shared.value).view(bool)
+        for part, texts in slices(batches):
+            words = templates(texts)
+            for n in lengths:
+                place, h = readings(words, n, params, seen)
+                owner = words.owner[place]
+                which, at = pa.array(owner), place - np.searchsorted(words.owner, owner)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(which), part.column("mark").take(which), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64))],
+                    names=["doc", "mark", "place", "length", "hash"],
+                )
+
+    # written first: a join straight on shuffles is one whose hot keys, windows of a common passage, can be split
+    maybe = stored(mapped(source, search, f"doc {kind}, mark long, place int, length int, hash long"), "document-windows")
+    hits = maybe.join(listed, ["hash", "length"]).groupBy("doc", "mark", "item", "item_mark").agg(F.collect_set(F.struct("at", "place", "length")).alias("hits"))
+    met = stored(hits, "item-hits").join(items, ["item", "item_mark"])
+    by_doc = stored(met.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", F.col("text").alias("item_text"), "hits")).alias("met")), "documents-met")
+    same = F.col("d.doc").eqNullSafe(F.col("m.doc")) & (F.col("d.mark") == F.col("m.mark"))
+    pairs = source.alias("d").join(by_doc.alias("m"), same).select("d.doc", "d.text", "m.met")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, known = Templates(), {}
+        for part, texts in slices(batches):
+            which, ids, out = [], [], []
+            for i, (text, met) in enumerate(zip(texts, part.column("met"), strict=True)):
+                words = templates([text])
+                entries = met.values
+                for j, (content, found) in enumerate(zip(entries.field("item_text").to_pylist(), entries.field("hits").to_pylist(), strict=True)):
+                    if content not in known:
+                        if len(known) > 5000:
+                            known.clear()
+                        known[content] = Item.of(content.encode(), params)
+                    item = known[content]
+                    different, covered = consistent(item, sorted((x["at"], x["place"], x["length"]) for x in found), words, params)
+                    share = different / item.total
                     if share >= params.share or covered >= params.covered:
-                        out.append((doc, item, block.total[item], different, share))
-                if out:
-                    d, item, total, n, share = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(total, pa.int32()), pa.array(n, pa.int32()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "windows", "found", "share"])
-
-        made = mapped(rows, task, f"doc_id {kind}, item_id long, windows int, found int, share double")
-        found = made if found is None else found.unionByName(made)
-    return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max("share").alias("share"))
+                        which.append(i)
+                        ids.append(entries.field("item")[j])
+                        out.append((item.total, different, share))
+            if out:
+                total, n, share = zip(*out, strict=True)
+                id_type = part.schema.field("met").type.value_type.field("item").type
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(pa.array(which, pa.int64())), pa.array([x.as_py() for x in ids], id_type), pa.array(total, pa.int32()), pa.array(n, pa.int32()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "windows", "found", "share"]
+                )
+
+    item_kind = items.schema["item"].dataType.simpleString()
+    made = mapped(pairs, judge, f"doc_id {kind}, item_id {item_kind}, windows int, found int, share double")
+    best = F.max(F.struct("share", "found", "windows")).alias("best")
+    return made.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.found", "best.share")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), *, id_column: str = "doc_id") -> DataFrame:
-    """The documents that no item contaminates. Rows with a null id stay."""
+    """The documents that no item contaminates, in their columns. Rows with a null id stay."""
     leaks = find_leaks(docs, benchmark, params, id_column=id_column).select(F.col("doc_id").alias(id_column)).distinct()
     return docs.join(leaks, id_column, "left_anti")

@@ -546,22 +546,88 @@ def test_reference_is_broadcast(spark, words):
     assert substrings.removed_by_reference(frame, reference.limit(0)).filter("n_removed > 0").count() == 0
 
 
-# --- 9 decontamination ---
+# --- 9 decontamination
 def test_leaks(spark, odd):
     question = "a farmer named Alice has 12 apples and gives 5 apples to her friend Bob who lives 30 km away from town"
     other = question.replace("Alice", "Clara").replace("Bob", "Peter").replace("12", "45").replace(" 5 ", " 9 ").replace("30", "8")
-    twisted = other.replace("9 apples", "45 apples")  # two values of the item as one
-    benchmark = spark.createDataFrame([(1, question), (2, "completely different words that never occur in any of the documents at all here"), (3, None), (4, "too short")], "item_id long, text string")
-    rows = [(10, f"some words before. {question} and after"), (11, f"Intro text here. {other}. The end"), (12, "nothing to see " * 9), (13, None), (14, ""), (15, question[:40]), (16, f"Intro text here. {twisted}. The end"), (17, "too short")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
+    twisted = other.replace("9 apples", "45 apples").replace("8 km", "45 km").replace("Peter", "Clara")  # several values of the item as one
+    benchmark = spark.createDataFrame([(1, question), (2, "completely different words that never occur in any of the documents at all here"), (3, None), (4, "What is 12?"), (5, "..."), (None, question)], "item_id long, text string")
+    rows = [(10, f"some words before. {question} and after"), (11, f"Intro text here. {other}. The end"), (12, "nothing to see " * 9), (13, None), (14, ""), (15, question[:40]), (16, f"Intro text here. {twisted}. The end"), (17, "They ask: what is 12? ..."), (18, "What is 13?"), (None, "what is 12")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("hash", F.lit("x")).withColumn("item", F.lit(2))
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame, benchmark).collect()}
-    assert {(10, 1), (11, 1)} <= set(got) and set(got) <= {(10, 1), (11, 1), (16, 1)}
-    if (16, 1) in got:
-        assert got[16, 1].share < got[11, 1].share
-    blocks = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, decontaminate.LeakParams(block=10)).collect()}
-    assert blocks == set(got)
-    assert {r.doc_id for r in decontaminate.without_leaks(frame, benchmark).collect()} >= {12, 13, 14, 15, 17}
+    # a short item is matched with its values, a template not where its slots contradict one another
+    assert set(got) == {(10, 1), (11, 1), (17, 4), (None, 4)}
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, benchmark).collect()} == {12, 13, 14, 15, 16, 18, None}
     assert decontaminate.find_leaks(odd, benchmark.limit(0)).count() == 0 and decontaminate.find_leaks(odd.limit(0), benchmark).count() == 0 and decontaminate.find_leaks(odd, benchmark).count() == 0
+    named = decontaminate.find_leaks(frame.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), benchmark.withColumn("item_id", F.concat(F.lit("i"), "item_id"))).collect()
+    assert {(r.doc_id, r.item_id) for r in named} == {("d10", "i1"), ("d11", "i1"), ("d17", "i4"), (None, "i4")}
+    # few bits let more windows through to the join, which tells them apart
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, decontaminate.LeakParams(bits=4)).collect()} == set(got)
+
+
+def test_one_binding_for_a_document_and_item(spark):
+    """Halves of an item with other values each do not count together; the same values do."""
+    first = "in the small shop 12 boxes of ripe fruit were brought by Bob to the old market square"
+    second = "while the good friend of Bob and of Alice sold the other 12 boxes on the far side of town"
+    swap = lambda text, *pairs: " ".join(dict(pairs).get(w, w) for w in text.split())
+    between = " and then something else was said for a while before it went on with the rest of it " * 2
+    one = swap(first, ("12", "45"), ("Bob", "Peter"))
+    same = swap(second, ("12", "45"), ("Bob", "Peter"), ("Alice", "Eva"))
+    apart = swap(second, ("12", "77"), ("Bob", "Karl"), ("Alice", "Eva"))
+    benchmark = spark.createDataFrame([(1, f"{first} {second} and nobody knew what the price of it all would be when the long day was over at last for them")], "item_id long, text string")
+    rows = [(1, one + between + same), (2, one + between + apart)]
+    got = {r.doc_id: r.share for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, decontaminate.LeakParams(share=0.05)).collect()}
+    assert got[1] > 1.6 * got[2]
+
+
+def brute_leaks(docs, items, window=8, share=0.5, run=3):
+    """Items with plain words, numbers and names inside sentences only, word by word: for each the best place in the document. A value stands for what it most often meets there, in runs of agreeing words; what two values stand for does not count."""
+    kind = lambda w: "#" if w.isdigit() else "@" if w[:1].isupper() else w
+    out = set()
+    for d, text in docs:
+        w = text.split()
+        for k, item in items:
+            x = item.split()
+            for at in range(-len(x) + 1, len(w)):
+                ok = [0 <= at + i < len(w) and kind(a) == kind(w[at + i]) for i, a in enumerate(x)]
+                ok = [any(all(ok[j : j + run]) for j in range(max(0, i - run + 1), i + 1) if j + run <= len(x)) for i in range(len(x))]
+                slots = [i for i, a in enumerate(x) if ok[i] and kind(a) != a]
+                met = defaultdict(list)
+                for i in slots:
+                    met[x[i]].append(w[at + i])
+                stands = {a: max(bs, key=lambda b: (bs.count(b), -bs.index(b))) for a, bs in met.items()}
+                stands = {a: b for a, b in stands.items() if list(stands.values()).count(b) == 1}
+                for i in slots:
+                    ok[i] = stands.get(x[i]) == w[at + i]
+                good = sum(all(ok[i : i + window]) for i in range(len(x) - window + 1))
+                if good >= share * (len(x) - window + 1):
+                    out.add((d, k))
+    return out
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{c}{d}" for c in "abcdefghijklmnop" for d in "qrstuvwxyz"]
+    names, numbers = ["Anna", "Bert", "Carl", "Dora", "Emil", "Fritz"], [str(n) for n in range(10, 99)]
+
+    def text(n):
+        return [str(rng.choice(names) if (r := rng.random()) < 0.1 else rng.choice(numbers) if r < 0.2 else rng.choice(words)) for _ in range(n)]
+
+    items = [(k, " ".join(["start", *text(int(rng.integers(14, 40)))])) for k in range(25)]
+    docs = []
+    for d in range(150):
+        body = text(int(rng.integers(0, 60)))
+        if d % 3:
+            item = items[int(rng.integers(0, 25))][1].split()
+            swap = dict(zip([*names, *numbers], [*rng.permutation(names).tolist(), *rng.permutation(numbers).tolist()], strict=True))
+            copy = [swap.get(w, w) for w in item]
+            if d % 3 == 2:
+                copy = [str(rng.choice(names)) if w in names else str(rng.choice(numbers)) if w in numbers else w for w in item]
+            body += copy + text(10)
+        docs.append((d, " ".join(["begin", *body])))
+    expected = brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), decontaminate.LeakParams(covered=2.0)).collect()}
+    assert len(expected) > 50 and any(d % 3 == 2 for d, _ in expected) and got == expected
 
 
 def test_leaks_in_documents(spark, docs, data):
