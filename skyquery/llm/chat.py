@@ -32,11 +32,17 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """One message (tree, node, parent, role, text, score) for each tree and node: of rows that repeat them the smallest. Rows without a node are left out."""
+    kept = F.min(F.struct("parent", "role", "text", F.col("score").cast("double").alias("score"))).alias("m")
+    return messages.filter("node is not null").groupBy("tree", "node").agg(kept).select("tree", "node", "m.*")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for each leaf of the messages (tree, node, parent) and each node from it to its root; ``up`` counts from the leaf.
 
     A message whose parent is null, itself or not in the tree is a root. Node ids must be
-    unique in a tree. Circular replies raise ValueError. Null trees are one tree.
+    unique in a tree, as ``one_each`` makes them. Circular replies raise ValueError. Null trees are one tree.
     """
     nodes = messages.select("tree", "node", "parent")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
@@ -72,8 +78,10 @@ def format_trees(messages: DataFrame, *, top: int | None = None, learn_from: str
     Returns tree, leaf, rank (1: the branch of highest total score; ties go to the smaller
     leaf), score, formatted, turn_starts (code points) and loss_spans: for each turn of role
     ``learn_from`` its number, and where its escaped text begins and ends. ``top`` keeps so many branches of a tree.
-    Null roles and texts are empty, null scores 0. Other columns are ignored; no messages give no rows.
+    Null roles and texts are empty, null scores 0. Of rows that repeat a tree and node the smallest counts, and rows
+    without a node do not. Other columns are ignored; no messages give no rows.
     """
+    messages = cut(one_each(messages))
     m = messages.select(
         F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"),

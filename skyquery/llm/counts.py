@@ -2,18 +2,20 @@
 
 Changes - inserted, deleted and revised documents - become signed counts, which are summed by
 source, language and tokenizer version and committed as batches. Totals are sums of batches,
-so nothing is ever counted anew. A batch is a folder named after its id: Spark's commit marker
-appears in it when it is whole, a batch that is there is not written again, and one that was
-broken off is overwritten, so that commits can be repeated at will.
+so nothing is ever counted anew. A batch is a folder named after its id. It is written aside and renamed when
+it is whole, which fails if the batch is there: commits can be repeated at will, and of two at once one
+counts. ``fold`` sums batches up, so that totals read few files however many batches there have been.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,27 +72,79 @@ class Rollup:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _exists(self, path: str) -> bool:
+        fs, p = self._path(path)
+        return bool(fs.exists(p))
+
+    def _names(self, prefix: str) -> list[str]:
+        fs, path = self._path(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+    def _publish(self, folder: str, **tables: DataFrame) -> bool:
+        """Writes the tables below a folder of another name and renames it; False if the folder has been there first."""
+        sc = self.spark.sparkContext
+        fs, aside = self._path(f"{self.root}/_aside-{uuid.uuid4().hex}")
+        for name, table in tables.items():
+            table.write.parquet(f"{aside.toString()}/{name}")
+        target = self._path(folder)[1]
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(aside).toUri(), sc._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(target), sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            fs.delete(aside, True)
+            if not fs.exists(target):
+                raise
+            return False
+        return True
+
+    def _folded(self) -> tuple[str | None, set[str]]:
+        """The latest fold's folder and the batches in it."""
+        folds = self._names("fold=")
+        if not folds:
+            return None, set()
+        latest = f"{self.root}/fold={folds[-1]}"
+        return latest, {r[0] for r in self.spark.read.schema("batch string").parquet(f"{latest}/batches").collect()}
+
     def committed(self, batch: str) -> bool:
-        fs, path = self._path(f"{self._folder(batch)}/_SUCCESS")
-        return bool(fs.exists(path))
+        return self._exists(self._folder(batch)) or batch in self._folded()[1]
 
     def batches(self) -> list[str]:
-        fs, path = self._path(self.root)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(b for b in (n.removeprefix("batch=") for n in names if n.startswith("batch=")) if self.committed(b))
+        """All batches ever committed."""
+        return sorted({*self._names("batch="), *self._folded()[1]})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Sums the signed changes and writes them as one batch; False, with nothing done, if the batch is there. Null keys are groups of their own."""
+        """Sums the signed changes and writes them as one batch; False, with nothing done, if the batch is there. Null keys are groups of their own; no changes are a batch as well."""
+        folder = self._folder(batch)
         if self.committed(batch):
             return False
-        summed = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
-        summed.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        return self._publish(folder, changes=_summed(changes).coalesce(1))
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all committed batches, without groups that have come to nothing."""
-        parts = [self._folder(b) for b in self.batches()]
+        latest, folded = self._folded()
+        parts = [f"{latest}/totals"] * (latest is not None) + [f"{self._folder(b)}/changes" for b in self._names("batch=") if b not in folded]
         rows = self.spark.read.schema(CHANGE).parquet(*parts) if parts else self.spark.createDataFrame([], CHANGE)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
+        return _summed(rows)
+
+    def fold(self) -> bool:
+        """Sums the batches up in one table and remembers their ids; totals stay as they are. False if there is nothing new or another fold was first."""
+        _, folded = self._folded()
+        every = {*self._names("batch="), *folded}
+        if every == folded:
+            return False
+        number = int(max(self._names("fold="), default="0")) + 1
+        ids = self.spark.createDataFrame([(b,) for b in sorted(every)], "batch string")
+        return self._publish(f"{self.root}/fold={number:09}", totals=self.totals().coalesce(1), batches=ids.coalesce(1))
+
+    def purge(self) -> None:
+        """Deletes the folders of folded batches and of earlier folds: for when nobody reads totals made before the latest fold."""
+        latest, folded = self._folded()
+        old = [self._folder(b) for b in self._names("batch=") if b in folded] + [f for f in (f"{self.root}/fold={n}" for n in self._names("fold=")) if f != latest]
+        for folder in old:
+            fs, path = self._path(folder)
+            fs.delete(path, True)
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")

@@ -3,10 +3,10 @@
 Words (runs of letters, in lower case, with a boundary on both sides) are predicted
 character by character from up to ``order - 1`` characters before, inside the word. The
 distinct character strings of a bounded sample of labelled documents are counted in Spark;
-the driver turns the counts into interpolated Kneser-Ney probabilities. For each order they
-are kept in arrays sorted by a 64-bit hash of the string, with a column of log-probabilities
+the driver turns the counts into interpolated Kneser-Ney probabilities, a block of a few languages at a
+time. For each order a block's are kept in arrays sorted by a 64-bit hash of the string, with a column of log-probabilities
 for each language; a string that a language lacks has its backed-off probability, so that
-one search serves all languages.
+one search serves all languages of the block. What is held grows with the languages, not with their square.
 
 A document's language is that of the lowest cross-entropy per character. Scores are
 calibrated on labelled documents apart from the fitted ones, which also give each language
@@ -26,22 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, hash_share, mapped, slices, spare_name, WordTable
+from .common import Grown, hash_share, mapped, slices, spare_name, stored, WordTable
 
 EDGE = " "
+#: Rows of three values each that may be broadcast.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 _MULTIPLY = np.uint64(0x100000001B3)
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``sample``: labelled documents of each language that are fitted to (expected number); ``calibration``: further ones for the scores."""
+    """``sample``: labelled documents of each language that are fitted to (expected number); ``calibration``: further ones for the scores; ``block``: languages that share arrays."""
 
     order: int = 5
     sample: int = 600
     calibration: int = 150
     seed: int = 11
     rejected: float = 0.002
+    block: int = 8
 
 
 def letter_runs(word: bytes) -> list[str]:
@@ -148,7 +151,7 @@ def _hash_all(strings: list[str], n: int) -> np.ndarray:
 
 
 @dataclass
-class LanguageModel:
+class LanguageBlock:
     """Sorted hashes and log-probabilities (a column for each language) by order; the same of the contexts' back-off weights."""
 
     languages: list[str]
@@ -156,11 +159,9 @@ class LanguageModel:
     strings: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: np.ndarray
-    sharpness: float = 20.0
-    limits: np.ndarray | None = None
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the log-probability in each language, and the number of characters predicted."""
+        """For each word the log-probability in each language of the block, and the number of characters predicted."""
         runs = [letter_runs(w) for w in words]
         count = np.fromiter((sum(len(r) + 1 for r in rs) for rs in runs), np.int64, len(runs))
         total = np.zeros((len(words), len(self.languages)))
@@ -199,6 +200,22 @@ class LanguageModel:
             total[:, j] = np.bincount(word[scored], weights=logp[scored, j], minlength=len(words))
         return total, count
 
+
+@dataclass
+class LanguageModel:
+    blocks: list[LanguageBlock]
+    sharpness: float = 20.0
+    limits: np.ndarray | None = None
+
+    @property
+    def languages(self) -> list[str]:
+        return [lang for block in self.blocks for lang in block.languages]
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the log-probability in each language, and the number of characters predicted."""
+        found = [block.words(words) for block in self.blocks] or [LanguageBlock([], 1, [], [], np.zeros(0)).words(words)]
+        return np.concatenate([logp for logp, _ in found], 1), found[0][1]
+
     def posterior(self, entropy: np.ndarray) -> np.ndarray:
         z = -self.sharpness * (entropy - entropy.min(1, keepdims=True))
         p = np.exp(z)
@@ -212,24 +229,25 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[where] == wanted, where
 
 
-def build(counts: dict[str, dict[str, int]], order: int) -> LanguageModel:
-    """The models of all languages from their strings' counts."""
+def build(counts: dict[str, dict[str, int]], order: int, characters: int) -> LanguageBlock:
+    """The models of some languages from their strings' counts; ``characters``: how many there are in all languages."""
     languages = sorted(counts)
-    characters = len({c for strings in counts.values() for s in strings for c in s}) + 1
     models = [KneserNey(counts[lang], order, characters) for lang in languages]
-    strings, contexts = [(np.zeros(0, np.uint64), np.zeros((0, len(languages))))], [(np.zeros(0, np.uint64), np.zeros((0, len(languages))))]
+    strings, contexts = [(np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32))], [(np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32))]
     for k in range(1, order + 1):
         for out, every, value, n in (
             (strings, {s for m in models for s in m.p[k]}, lambda m, s: m.of(s), k),
             (contexts, {c for m in models for c in m.back[k]}, lambda m, c, k=k: m.back[k].get(c, 1.0), k - 1),
         ):
-            listed = sorted(every)
+            listed = list(every)
             hashes = _hash_all(listed, n)
-            values = np.log(np.array([[value(m, s) for m in models] for s in listed]).reshape(len(listed), len(languages)))
+            values = np.empty((len(listed), len(languages)), np.float32)
+            for j, m in enumerate(models):
+                values[:, j] = np.log(np.fromiter((value(m, s) for s in listed), np.float64, len(listed)))
             by = np.argsort(hashes, kind="stable")
             out.append((hashes[by], values[by]))
     empty = np.array([math.log(m.back[1].get("", 1.0) * m.base) for m in models])
-    return LanguageModel(languages, order, strings, contexts, empty)
+    return LanguageBlock(languages, order, strings, contexts, empty)
 
 
 class Identifier:
@@ -266,16 +284,23 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams(), *, id_column
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).dropna()
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return build({}, params.order)
+        return LanguageModel([])
     # the calibration documents have the highest hashes, the fitted ones the lowest, a third of all at least
     shares = [(lang, min(params.sample / n, 0.75), max(1 - params.calibration / n, 0.75)) for lang, n in sizes.items()]
-    limits = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, low double, high double"))
-    chosen = rows.withColumn("_h", hash_share(F.col("_id"), params.seed)).join(limits, "lang")
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for lang, s, n in zip(*count_strings(chosen.filter("_h < low"), params).toArrow().to_pydict().values(), strict=True):
-        counts[lang][s] = n
-    model = build({lang: c for lang, c in counts.items() if c}, params.order)
-    if model.languages:
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, low double, high double")
+    chosen = rows.withColumn("_h", hash_share(F.col("_id"), params.seed)).join(F.broadcast(limits) if len(shares) <= MOST_BROADCAST else limits, "lang")
+    strings = stored(count_strings(chosen.filter("_h < low"), params), "language-strings")
+    characters = strings.select(F.expr("right(string, 1)").alias("c")).distinct().count() + 1
+    blocks, languages = [], sorted(sizes)
+    for i in range(0, len(languages), params.block):
+        counts: dict[str, dict[str, int]] = defaultdict(dict)
+        # as much as the samples of a block's languages hold
+        for lang, s, n in zip(*strings.filter(F.col("lang").isin(languages[i : i + params.block])).toArrow().to_pydict().values(), strict=True):
+            counts[lang][s] = n
+        if counts:
+            blocks.append(build(counts, params.order, characters))
+    model = LanguageModel(blocks)
+    if blocks:
         _calibrate(model, chosen.filter("_h >= high"), params)
     return model
 

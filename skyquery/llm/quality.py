@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its features: hashed words, hashed byte
+A document is the mean of learned vectors of its features: hashed words, hashed character
 n-grams inside words, and hashed pairs of neighbouring words (a word that repeats its
 predecessor gives one common feature). A softmax over two outputs, trained together with
 the vectors by stochastic gradient descent in numpy, tells label 1 from label 0.
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, hash_share, mapped, slices, spare_name, word_hashes, WordTable
+from .common import Grown, hash_share, mapped, slices, spare_name, stored, word_hashes, WordTable
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x100000001B3)
 
 
 @dataclass(frozen=True)
@@ -48,16 +49,16 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 def word_features(words: list[bytes], params: QualityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all features of the words, the word of each, and the words' 64-bit hashes."""
     hashes = word_hashes(words)
-    flat = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8)
-    owner = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    texts = [f"<{w.decode(errors='replace')}>" for w in words]
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, texts), np.int64, len(texts)))
     buckets, owners = [_bucket(hashes, params.buckets)], [np.arange(len(words))]
     low, high = params.grams
-    code = flat.astype(np.uint64)
-    rolled = code.copy()
+    rolled = code
     for n in range(2, high + 1):
         if len(rolled) < 2:
             break
-        rolled = (rolled[:-1] << np.uint64(8)) | code[n - 1 :]
+        rolled = rolled[:-1] * _STEP + code[n - 1 :]
         if n >= low:
             inside = owner[: len(rolled)] == owner[n - 1 :]
             buckets.append(_bucket(rolled[inside] + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)), params.buckets))
@@ -139,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     """
     given = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label")).dropna()
     share = min(1.0, params.sample / max(1, given.count()))
-    given = given.filter(hash_share(F.col("_id"), params.seed) < share).groupBy("_id").agg(F.max("_label").alias("_label"))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).dropna().join(F.broadcast(given), "_id")
+    # written first: its size, about ``sample`` rows, is then known when the join is planned
+    given = stored(given.filter(hash_share(F.col("_id"), params.seed) < share).groupBy("_id").agg(F.max("_label").alias("_label")), "labels")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).dropna().join(given, "_id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((i, t, y) for b in batches for i, t, y in zip(b.column("_id").to_pylist(), b.column("text").to_pylist(), b.column("_label").to_pylist(), strict=True))

@@ -32,22 +32,26 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, counted in tokens and in characters as the table states them; exact copies of earlier documents
-    are deleted; stated character counts that differ from the texts are revised; the deletes are committed once more, to no effect."""
+    """All documents are inserted, counted in tokens and in characters as the table states them; exact copies of earlier documents (a null id
+    is neither copy nor original) are deleted; stated character counts that differ from the texts are revised; the deletes are committed once more, to no
+    effect; batches are folded; the copies are inserted again, with their true lengths. The totals are of the whole table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     docs = docs.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     counted = stored(counts.count_tokens(docs, tokenizer_path()), "token-counts")
     # written first: a join straight on shuffles is one whose hot keys, texts of very many copies, can be split
     first = cut(counted.groupBy("mark").agg(F.min("doc_id").alias("first")))
-    copies = counted.join(first, "mark").filter("doc_id > first")
+    joined = counted.join(first, "mark")
+    copies = joined.filter("doc_id > first")
     of = lambda rows, version, tokens: rows.select("source", "lang", F.lit(version).alias("version"), F.col(tokens).alias("tokens"))
-    both = lambda rows: of(rows, "word_bpe_49k", "tokens").unionByName(of(rows, "characters", "n_chars"))
-    wrong = counted.join(first, "mark").filter("not doc_id > first and n_chars is distinct from length")
+    both = lambda rows, length: of(rows, "word_bpe_49k", "tokens").unionByName(of(rows, "characters", length))
+    wrong = joined.filter("coalesce(doc_id > first, false) = false and n_chars is distinct from length")
     rollup = counts.Rollup(spark, f"{shared_dir(spark).rstrip('/')}/skyquery/rollup-{uuid.uuid4().hex}")
-    rollup.commit("1-load", counts.inserted(both(counted)))
-    rollup.commit("2-copies", counts.deleted(both(copies)))
+    rollup.commit("1-load", counts.inserted(both(counted, "n_chars")))
+    rollup.commit("2-copies", counts.deleted(both(copies, "n_chars")))
     rollup.commit("3-lengths", counts.revised(of(wrong, "characters", "n_chars"), of(wrong, "characters", "length")))
-    rollup.commit("2-copies", counts.deleted(both(copies)))
+    rollup.commit("2-copies", counts.deleted(both(copies, "n_chars")))
+    rollup.fold()
+    rollup.commit("4-copies-again", counts.inserted(both(copies, "length")))
     return rollup.totals()
 
 
