@@ -97,11 +97,17 @@ def spare_name(columns: list[str], name: str = "_text") -> str:
 
 
 def mapped(df: DataFrame, task, schema) -> DataFrame:
-    """``mapInArrow`` in batches of a few megabytes, as texts need: with the default number of rows two tasks' batches alone fill an executor."""
+    """``mapInArrow`` in batches of a few megabytes, as texts need: with the default number of rows two tasks' batches alone fill an executor.
+
+    It lowers the session's Arrow batch settings, which are read when a plan runs, and so cannot be set for it alone. Names
+    with a dot, which ``mapInArrow`` does not take, reach the task with another character in its place.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_MB}m")
+    if any("." in c for c in df.columns):
+        df = df.toDF(*[c.replace(".", "\u2024") for c in df.columns])
     return df.mapInArrow(task, schema)
 
 

@@ -183,26 +183,29 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text", keep: list[str] | None = None, threshold: float | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, model: QualityModel, *, text_column: str = "text", keep: list[str] | None = None, threshold: float | None = None, score_column: str = "score", predicted_column: str = "predicted"
+) -> DataFrame:
     """``keep`` columns (default: all) with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on).
 
     Every whole text is scored; a null or empty text has no features and gets the model's
-    bias. Columns of the input called score or predicted are replaced.
+    bias. Columns of the input called score or predicted are replaced; other names can be given for the results.
     """
+    added = [score_column, predicted_column]
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     threshold = model.params.threshold if threshold is None else threshold
     # the text goes to the workers once, also if it is kept
     source = text_column if text_column in keep else spare_name(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if source == text_column else [F.col(text_column).alias(source)]))
     shared, params = spark.sparkContext.broadcast(model.pack()), model.params
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({score_column: F.lit(0.0), predicted_column: F.lit(0)}).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(QualityModel.unpack(shared.value, params))
         for part, texts in slices(batches, source):
             s = scorer(texts)
             columns = [part.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *added])
 
     return mapped(rows, task, schema)

@@ -151,8 +151,8 @@ def labelled_samples(docs: DataFrame, *, documents: int = 400, strings: int = 80
     shape = F.element_at(F.array(*[F.substring(x, F.lit(1), size) for x in styles]), (F.col("id") % len(styles) + 1).cast("int"))
     random = spark.range(strings).select(shape.alias("text"), F.lit(True).alias("random"))
     share = min(1.0, documents / max(1, docs.count()))
-    words = docs.filter(hash_share(F.col(id_column), 5) < share).select(F.filter(F.split(text_column, r"[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w"))
-    words = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, F.lit(4)))).alias("w")).filter("size(w) > 0")
+    words = docs.filter(hash_share(F.col(id_column), 5) < share).select(F.filter(F.split(text_column, r"[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w")).filter("size(w) > 0")
+    words = words.select(F.explode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.lit(4)))).alias("w"))
     low, big = (F.transform("w", f) for f in (lambda x: F.lower(x), lambda x: F.initcap(x)))
     two = F.slice(low, F.lit(1), F.lit(2))
     number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")
