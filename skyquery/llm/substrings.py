@@ -43,8 +43,8 @@ class SubstringParams:
 
     length: int = 20
     anchor: int = 6
-    hot: int = 2000
-    salts: int = 128
+    hot: int = 500
+    salts: int = 64
     reference: int = 200_000
 
     @property
