@@ -313,7 +313,10 @@ def differences(texts: DataFrame, params: NearDupParams) -> DataFrame:
     rows = texts.select("cluster", "size", "node", "n", "copies", "text")
     # written first: a join straight on shuffles is one whose hot keys, clusters of very many nodes, can be split
     sets = stored(mapped(rows, shingle, "cluster long, size long, node long, n int, copies long, shingles binary"), "shingles")
-    base = sets.filter("node = cluster").dropDuplicates(["cluster"]).select("cluster", F.col("shingles").alias("base"))
+    # the representative's set goes to each part of its cluster, so that no task gets the whole one
+    parts = (F.col("size") / F.lit(params.chunk)).cast("int")
+    base = sets.filter("node = cluster").dropDuplicates(["cluster"]).select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("shingles").alias("base"))
+    sets = sets.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +325,7 @@ def differences(texts: DataFrame, params: NearDupParams) -> DataFrame:
             kept = ["cluster", "size", "node", "n", "copies"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(diff, pa.binary())], names=[*kept, "diff"])
 
-    return mapped(sets.join(base, "cluster"), differ, "cluster long, size long, node long, n int, copies long, diff binary")
+    return mapped(sets.join(base, ["cluster", "part"]), differ, "cluster long, size long, node long, n int, copies long, diff binary")
 
 
 def verified(texts: DataFrame, params: NearDupParams) -> DataFrame:
