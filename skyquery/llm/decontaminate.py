@@ -5,7 +5,7 @@ capital inside a sentence) become typed placeholders, so that a question with ot
 parameters has the same template. A capital at the start of a sentence, or in a word like O'Neil,
 McKay, USA or J., may or may not be a name: windows over such words are hashed in both readings on
 both sides. The items' windows of template words become a table of hashes. Each document is read once; those
-of its windows that may be in the table, by a broadcast bitmap of fixed size, are hash-joined with it. For each document and
+of its windows that may be in the table, by broadcast bitmaps of fixed size of its words and its hashes, are hash-joined with it. For each document and
 item the matched windows are aligned, and their slots must be consistent: a value of the item always stands for
 one value in the document, and two values for two, in one alignment and in all that are
 taken together. Windows with a slot that breaks this
@@ -83,37 +83,39 @@ def describe(word: bytes) -> tuple[int, int, int, bool]:
 
 @dataclass
 class Words:
-    """Template words of texts: hash, hash of the value, kind of slot (0 for none), whether a word without a slot may be a name, and the text of each."""
+    """Template words of texts: hash, hash of the value, kind of slot (0 for none), whether a word without a slot may be a name, the text of each, and whether windows over it may be wanted."""
 
     template: np.ndarray
     value: np.ndarray
     slot: np.ndarray
     loose: np.ndarray
     owner: np.ndarray
+    wanted: np.ndarray
 
 
 class Templates:
-    """Texts to template words."""
+    """Texts to template words. ``vocabulary``: a table of the first bits of the hashes of words; other words, but for slots and possible names, are in no window that is wanted."""
 
-    def __init__(self):
-        self.table, self.resets = WordTable(), 0
-        self.kind, self.hash, self.ends = Grown(np.int8), Grown(np.uint64), Grown(bool)
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.table, self.resets, self.vocabulary = WordTable(), 0, vocabulary
+        self.kind, self.hash, self.ends, self.known = Grown(np.int8), Grown(np.uint64), Grown(bool), Grown(bool)
 
     def __call__(self, texts: list[bytes | None]) -> Words:
         ids, counts = self.table.ids(texts)
         if self.table.resets != self.resets:
             self.resets = self.table.resets
-            for grown in (self.kind, self.hash, self.ends):
+            for grown in (self.kind, self.hash, self.ends, self.known):
                 grown.clear()
         if fresh := self.table.take_fresh():
             kinds, hashes, _, ends = zip(*map(describe, fresh), strict=True)
             self.kind.extend(np.array(kinds, np.int8))
             self.hash.extend(np.array(hashes, np.uint64))
             self.ends.extend(np.array(ends, bool))
+            self.known.extend(np.ones(len(fresh), bool) if self.vocabulary is None else _listed(self.vocabulary, np.array(hashes, np.uint64)))
         owner = np.repeat(np.arange(len(texts)), counts)
         kind, value, ends = self.kind.data[ids], self.hash.data[ids], self.ends.data[ids]
         some = kind != NOTHING
-        kind, value, ends, owner = kind[some], value[some], ends[some], owner[some]
+        kind, value, ends, owner, known = kind[some], value[some], ends[some], owner[some], self.known.data[ids][some]
         begins = np.ones(len(kind), bool)
         begins[1:] = owner[1:] != owner[:-1]
         after_end, after_number = begins.copy(), np.zeros(len(kind), bool)
@@ -123,7 +125,12 @@ class Templates:
         slot = np.where((kind == NAME) & ~after_end, NAME, slot)
         slot = np.where((kind == UNIT) & after_number, UNIT, slot)
         loose = ((kind == NAME) & after_end) | (kind == LOOSE)
-        return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner)
+        return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner, known | (slot > 0) | loose)
+
+
+def _listed(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the first bits of the hashes are in a table of a power of two entries."""
+    return table[(h >> np.uint64(65 - len(table).bit_length())).astype(np.int64)]
 
 
 #: Sets windows of values apart from windows of templates.
@@ -151,14 +158,15 @@ def readings(words: Words, n: int, params: LeakParams, keep: np.ndarray | None =
 
     Windows of fewer than ``least`` words have one reading, their values. ``keep``: a table of the first bits of hashes; readings of other hashes are left out.
     """
-    whole, shift = n < params.least, np.uint64(64 - params.bits)
+    whole = n < params.least
     first = window_hashes(words.value, n) ^ _VALUES if whole else window_hashes(words.template, n)
     count = len(first)
     inside = words.owner[:count] == words.owner[n - 1 : n - 1 + count]
-    listed = lambda h: slice(None) if keep is None else keep[(h >> shift).astype(np.int64)]
-    at = np.flatnonzero(inside)
-    places, hashes = [at[listed(first[at])]], [first[at][listed(first[at])]]
+    listed = lambda h: slice(None) if keep is None else _listed(keep, h)
     before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    unwanted = before(~words.wanted)
+    at = np.flatnonzero(inside & (unwanted[n : n + count] == unwanted[:count]))
+    places, hashes = [at[listed(first[at])]], [first[at][listed(first[at])]]
     loose, slots = before(words.loose), before(words.slot > 0)
     some = at[(loose[at + n] > loose[at]) & (not whole)]
     change = (_mixed(np.full(1, NAME, np.uint64)) - _mixed(words.template)) * words.loose
@@ -278,7 +286,7 @@ def consistent(item: Item, hits: list[tuple[int, int, int]], words: Words, param
 
 
 def _windows_of_items(items: DataFrame, params: LeakParams) -> DataFrame:
-    """(hash, item, at, length) of all readings of the items' windows (item, text)."""
+    """(hash, item, at, length) of all readings of the items' windows (item, text), and of their single words with length 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -293,6 +301,8 @@ def _windows_of_items(items: DataFrame, params: LeakParams) -> DataFrame:
                 owner = words.owner[place]
                 at = place - np.searchsorted(words.owner, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("item").take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), m, np.int32))], names=["hash", "item", "at", "length"])
+            none = pa.array(np.zeros(len(words.value), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(words.value.view(np.int64)), part.column("item").take(pa.array(words.owner)), none, none], names=["hash", "item", "at", "length"])
 
     return mapped(items, task, f"hash long, item {items.schema['item'].dataType.simpleString()}, at int, length int")
 
@@ -307,35 +317,47 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     """
     items = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).alias("text")).dropna().distinct().withColumn("item_mark", F.xxhash64("text"))
     listed = stored(_windows_of_items(items.select(F.struct("item", "item_mark").alias("item"), "text"), params).select("hash", "item.*", "at", "length"), "item-windows")
-    lengths = sorted(r[0] for r in listed.select("length").distinct().collect())
-    # at most 2 ** bits numbers, however many items there are
-    first = listed.select(F.shiftrightunsigned("hash", 64 - params.bits).cast("int").alias("first")).distinct().toArrow().column(0).to_numpy()
-    bitmap = np.zeros(1 << params.bits, bool)
-    bitmap[first] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    lengths = sorted(r[0] for r in listed.select("length").distinct().collect() if r[0])
+
+    def bitmap(rows: DataFrame) -> np.ndarray:
+        # at most 2 ** bits numbers, however many items there are
+        first = rows.select(F.shiftrightunsigned("hash", 64 - params.bits).cast("int").alias("first")).distinct().toArrow().column(0).to_numpy()
+        table = np.zeros(1 << params.bits, bool)
+        table[first] = True
+        return np.packbits(table)
+
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(listed.filter("length > 0")), bitmap(listed.filter("length = 0"))))
     source = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")).filter("text is not null").withColumn("mark", F.xxhash64("text"))
     kind = source.schema["doc"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, seen = Templates(), np.unpackbits(shared.value).view(bool)
+        seen, vocabulary = (np.unpackbits(x).view(bool) for x in shared.value)
+        templates = Templates(vocabulary)
         for part, texts in slices(batches):
             words = templates(texts)
-            for n in lengths:
-                place, h = readings(words, n, params, seen)
-                owner = words.owner[place]
-                which, at = pa.array(owner), place - np.searchsorted(words.owner, owner)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(which), part.column("mark").take(which), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64))],
-                    names=["doc", "mark", "place", "length", "hash"],
-                )
-
-    # written first: a join straight on shuffles is one whose hot keys, windows of a common passage, can be split
-    maybe = stored(mapped(source, search, f"doc {kind}, mark long, place int, length int, hash long"), "document-windows")
-    hits = maybe.join(listed, ["hash", "length"]).groupBy("doc", "mark", "item", "item_mark").agg(F.collect_set(F.struct("at", "place", "length")).alias("hits"))
+            found = [readings(words, n, params, seen) for n in lengths]
+            place = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
+            if not len(place):
+                continue
+            size = np.repeat(np.array(lengths, np.int32), [len(p) for p, _ in found])
+            owner = words.owner[place]
+            order = np.argsort(owner, kind="stable")
+            which, first = np.unique(owner[order], return_index=True)
+            at = (place - np.searchsorted(words.owner, owner))[order].astype(np.int32)
+            hits = pa.StructArray.from_arrays([pa.array(at), pa.array(size[order]), pa.array(np.concatenate([h for _, h in found])[order].view(np.int64))], names=["place", "length", "hash"])
+            some = pa.array(which)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(some) for c in ("doc", "mark", "text")), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), hits)], names=["doc", "mark", "text", "maybe"]
+            )
+
+    # written, with their texts, so that documents are read once; a join straight on shuffles, moreover, is one whose hot keys, windows of a common passage, can be split
+    maybe = stored(mapped(source, search, f"doc {kind}, mark long, text string, maybe array<struct<place: int, length: int, hash: long>>"), "documents-maybe")
+    each = maybe.select("doc", "mark", F.explode("maybe").alias("x")).select("doc", "mark", "x.*")
+    hits = each.join(listed.filter("length > 0"), ["hash", "length"]).groupBy("doc", "mark", "item", "item_mark").agg(F.collect_set(F.struct("at", "place", "length")).alias("hits"))
     met = stored(hits, "item-hits").join(items, ["item", "item_mark"])
     by_doc = stored(met.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", F.col("text").alias("item_text"), "hits")).alias("met")), "documents-met")
     same = F.col("d.doc").eqNullSafe(F.col("m.doc")) & (F.col("d.mark") == F.col("m.mark"))
-    pairs = source.alias("d").join(by_doc.alias("m"), same).select("d.doc", "d.text", "m.met")
+    pairs = maybe.alias("d").join(by_doc.alias("m"), same).select("d.doc", "d.text", "m.met")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, known = Templates(), {}
