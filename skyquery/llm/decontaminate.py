@@ -37,6 +37,7 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons mph kph hz khz mhz ghz w kw volt volts "
     "percent dollar dollars cent cents euro euros degree degrees".split()
 )
+_KNOWN_WORDS = frozenset(w.encode() for w in NUMBER_WORDS | UNITS)
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\d|\d")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°%]+)")
 _OUTER = re.compile(r"^\W+|\W+$")
@@ -61,6 +62,9 @@ class LeakParams:
 
 def describe(word: bytes) -> tuple[int, int, int, bool]:
     """Kind of a word, hash as a template word, hash of its value, and whether it ends a sentence."""
+    if word.isalpha() and word.islower() and word not in _KNOWN_WORDS:
+        value = xxhash.xxh3_64_intdigest(word)
+        return PLAIN, value, value, False
     text = word.decode()
     bare = _OUTER.sub("", text)
     ends = text.rstrip("\"')]}%$&#*|")[-1:] in (".", "!", "?", ":") if text else False
@@ -90,7 +94,7 @@ class Words:
     slot: np.ndarray
     loose: np.ndarray
     owner: np.ndarray
-    wanted: np.ndarray
+    known: np.ndarray
 
 
 class Templates:
@@ -125,7 +129,7 @@ class Templates:
         slot = np.where((kind == NAME) & ~after_end, NAME, slot)
         slot = np.where((kind == UNIT) & after_number, UNIT, slot)
         loose = ((kind == NAME) & after_end) | (kind == LOOSE)
-        return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner, known | (slot > 0) | loose)
+        return Words(np.where(slot > 0, slot.astype(np.uint64), value), value, slot, loose, owner, known)
 
 
 def _listed(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -164,18 +168,31 @@ def readings(words: Words, n: int, params: LeakParams, keep: np.ndarray | None =
     inside = words.owner[:count] == words.owner[n - 1 : n - 1 + count]
     listed = lambda h: slice(None) if keep is None else _listed(keep, h)
     before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-    unwanted = before(~words.wanted)
-    at = np.flatnonzero(inside & (unwanted[n : n + count] == unwanted[:count]))
+    within = lambda flags: (total := before(flags))[n : n + count] - total[:count]
+    slot = words.slot > 0
+    at = np.flatnonzero(inside & (within(~words.known & ~slot) == 0))
     places, hashes = [at[listed(first[at])]], [first[at][listed(first[at])]]
-    loose, slots = before(words.loose), before(words.slot > 0)
-    some = at[(loose[at + n] > loose[at]) & (not whole)]
+    # a possible name that no item has as a word can be but a name
+    forced = words.loose & ~words.known
+    free = words.loose & words.known
+    room = n - within(slot | forced) - params.fixed
+    some = np.flatnonzero(inside & (within(~words.known & ~slot & ~words.loose) == 0) & (within(words.loose) > 0) & (room >= 0) & (not whole))
     change = (_mixed(np.full(1, NAME, np.uint64)) - _mixed(words.template)) * words.loose
+    must = within(forced)
     # texts all in capitals have many readings: few windows at a time
     for i in range(0, len(some), 20_000):
         place = some[i : i + 20_000]
-        h, left = first[place], n - (slots[place + n] - slots[place]) - params.fixed
+        h, left = first[place], room[place]
+        if must[place].any():
+            for k in range(n):
+                h = h + change[place + k] * forced[place + k] * _FACTORS[k]
+            own = must[place] > 0
+            p, g = place[own], h[own]
+            wanted = listed(g)
+            places.append(p[wanted])
+            hashes.append(g[wanted])
         for k in range(n):
-            other = np.flatnonzero(words.loose[place + k] & (left > 0))
+            other = np.flatnonzero(free[place + k] & (left > 0))
             if not len(other):
                 continue
             p, g = place[other], h[other] + change[place[other] + k] * _FACTORS[k]
