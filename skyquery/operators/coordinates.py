@@ -80,9 +80,62 @@ class Codes:
         return out
 
 
+def _mollweide(lat: Column) -> Column:
+    """The auxiliary angle g with 2g + sin 2g = pi sin(lat), by Newton's method from a start that keeps its side."""
+    target = F.sin(lat) * math.pi
+    step = lambda u, _: u - F.when(F.cos(u) > -1 + 1e-12, (u + F.sin(u) - target) / (1 + F.cos(u))).otherwise(0.0)
+    return F.aggregate(F.array_repeat(F.lit(0), 24), 2 * F.asin(lat * (2 / math.pi)), step) / 2
+
+
+def _from_radius(theta):
+    """A projection about the pole: distance from it to native latitude, and azimuth to native longitude."""
+    return lambda x, y: (F.atan2(x, -y), theta(F.hypot(x, y)))
+
+
+def _to_radius(radius):
+    return lambda phi, theta: (radius(theta) * F.sin(phi), -radius(theta) * F.cos(phi))
+
+
+def _ait_out(x: Column, y: Column) -> tuple[Column, Column]:
+    z = F.sqrt(1 - x * x / 16 - y * y / 4)
+    return 2 * F.atan2(z * x / 2, 2 * z * z - 1), F.asin(y * z)
+
+
+def _ait_in(phi: Column, theta: Column) -> tuple[Column, Column]:
+    g = F.sqrt(2 / (1 + F.cos(theta) * F.cos(phi / 2)))
+    return 2 * g * F.cos(theta) * F.sin(phi / 2), g * F.sin(theta)
+
+
+def _mol_out(x: Column, y: Column) -> tuple[Column, Column]:
+    g = F.asin(y / math.sqrt(2))
+    return x * math.pi / (2 * math.sqrt(2) * F.cos(g)), F.asin((2 * g + F.sin(2 * g)) / math.pi)
+
+
+_HALF = math.pi / 2
+#: Projections about the pole of their native sphere: plane to sphere, sphere to plane, in radians.
+ZENITHAL = {
+    "SIN": (_from_radius(F.acos), _to_radius(F.cos)),
+    "TAN": (_from_radius(lambda r: F.atan2(F.lit(1.0), r)), _to_radius(lambda t: F.cos(t) / F.sin(t))),
+    "STG": (_from_radius(lambda r: _HALF - 2 * F.atan(r / 2)), _to_radius(lambda t: 2 * F.tan((_HALF - t) / 2))),
+    "ARC": (_from_radius(lambda r: _HALF - r), _to_radius(lambda t: _HALF - t)),
+    "ZEA": (_from_radius(lambda r: _HALF - 2 * F.asin(r / 2)), _to_radius(lambda t: 2 * F.sin((_HALF - t) / 2))),
+}
+#: Projections about the origin of their native sphere.
+EQUATORIAL = {
+    "CAR": (lambda x, y: (x, y), lambda p, t: (p, t)),
+    "CEA": (lambda x, y: (x, F.asin(y)), lambda p, t: (p, F.sin(t))),
+    "MER": (lambda x, y: (x, 2 * F.atan(F.exp(y)) - _HALF), lambda p, t: (p, F.log(F.tan((_HALF + t) / 2)))),
+    "SFL": (lambda x, y: (x / F.cos(y), y), lambda p, t: (p * F.cos(t), t)),
+    "PAR": (lambda x, y: (x / (1 - 4 * (y / math.pi) * (y / math.pi)), 3 * F.asin(y / math.pi)), lambda p, t: (p * (2 * F.cos(2 * t / 3) - 1), math.pi * F.sin(t / 3))),
+    "MOL": (_mol_out, lambda p, t: (p * (2 * math.sqrt(2) / math.pi) * F.cos(_mollweide(t)), math.sqrt(2) * F.sin(_mollweide(t)))),
+    "AIT": (_ait_out, _ait_in),
+}
+PROJECTIONS = {**ZENITHAL, **EQUATORIAL}
+
+
 @dataclass(frozen=True)
 class Direction:
-    """Two axes on the sky in radians: SIN, TAN or CAR projection about a reference."""
+    """Two axes on the sky in radians, in one of PROJECTIONS about a reference. The native sphere lies as usual for the kind of projection."""
 
     longitude: float
     latitude: float
@@ -91,33 +144,42 @@ class Direction:
     projection: str = "SIN"
 
     def __post_init__(self):
-        if self.projection not in ("SIN", "TAN", "CAR"):
+        if self.projection not in PROJECTIONS:
             raise ValueError(f"projection {self.projection} is not known")
 
+    def _pole(self) -> tuple[float, float, float]:
+        """Longitude and latitude of the native pole, and the native longitude of the sky's pole."""
+        lon, lat = self.longitude, self.latitude
+        if self.projection in ZENITHAL:
+            return lon, lat, 0.0 if lat >= _HALF else math.pi
+        if lat == 0:
+            return lon - math.pi, _HALF, 0.0
+        return (lon + math.pi, _HALF - lat, 0.0) if lat > 0 else (lon, _HALF + lat, math.pi)
+
     def to_world(self, px: Column, py: Column) -> tuple[Column, Column]:
         x, y = (px - self.reference_pixel[0]) * self.increment[0], (py - self.reference_pixel[1]) * self.increment[1]
-        s0, c0 = math.sin(self.latitude), math.cos(self.latitude)
-        if self.projection == "CAR":
-            return F.pmod(x + self.longitude, F.lit(2 * math.pi)), y + self.latitude
-        if self.projection == "TAN":
-            lon = F.atan2(x, c0 - y * s0)
-            return F.pmod(lon + self.longitude, F.lit(2 * math.pi)), F.atan2((s0 + y * c0) * F.cos(lon), c0 - y * s0)
-        z = F.sqrt(1 - x * x - y * y)
-        return F.pmod(F.atan2(x, z * c0 - y * s0) + self.longitude, F.lit(2 * math.pi)), F.asin(y * c0 + z * s0)
+        phi, theta = PROJECTIONS[self.projection][0](x, y)
+        lon, lat, at = self._pole()
+        s, c = math.sin(lat), math.cos(lat)
+        turn = phi - at
+        out = F.atan2(-F.cos(theta) * F.sin(turn), F.sin(theta) * c - F.cos(theta) * s * F.cos(turn))
+        return F.pmod(out + lon, F.lit(2 * math.pi)), _asin(F.sin(theta) * s + F.cos(theta) * c * F.cos(turn))
 
     def to_pixel(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        s0, c0 = math.sin(self.latitude), math.cos(self.latitude)
-        d = lon - self.longitude
-        if self.projection == "CAR":
-            x, y = F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi, lat - self.latitude
-        else:
-            x, y = F.cos(lat) * F.sin(d), F.sin(lat) * c0 - F.cos(lat) * s0 * F.cos(d)
-            if self.projection == "TAN":
-                w = F.sin(lat) * s0 + F.cos(lat) * c0 * F.cos(d)
-                x, y = x / w, y / w
+        l0, b0, at = self._pole()
+        s, c = math.sin(b0), math.cos(b0)
+        d = lon - l0
+        phi = F.atan2(-F.cos(lat) * F.sin(d), F.sin(lat) * c - F.cos(lat) * s * F.cos(d)) + at
+        # native longitudes run from minus to plus half a turn
+        phi = F.pmod(phi + math.pi, F.lit(2 * math.pi)) - math.pi
+        x, y = PROJECTIONS[self.projection][1](phi, _asin(F.sin(lat) * s + F.cos(lat) * c * F.cos(d)))
         return x / self.increment[0] + self.reference_pixel[0], y / self.increment[1] + self.reference_pixel[1]
 
 
+def _asin(x: Column) -> Column:
+    return F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x)))
+
+
 _KINDS = {c.__name__: c for c in (Linear, Spectral, Tabular, Codes, Direction)}
 
 

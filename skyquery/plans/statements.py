@@ -413,12 +413,12 @@ class Session:
                 raise QueryError(f"{len(columns)} columns, but {len(rows.columns)} values")
             rows = rows.toDF(*columns)
         else:
-            compiler, rows = Compiler(Scope(self.spark.range(1))), None
+            compiler, made = Compiler(Scope(self.spark.range(1))), []
             for row in given["rows"]:
                 if len(row) != len(columns):
                     raise QueryError(f"{len(columns)} columns, but {len(row)} values")
-                one = self.spark.range(1).select(*[compiler(x).col.cast(schema[c]).alias(c) for c, x in zip(columns, row, strict=True)])
-                rows = one if rows is None else rows.unionByName(one)
+                made.append(F.struct(*[compiler(x).col.cast(schema[c]).alias(c) for c, x in zip(columns, row, strict=True)]))
+            rows = self.spark.range(1).select(F.inline(F.array(*made)))
         return self._rows(target.append(rows))
 
     def _create(self, given: dict) -> DataFrame:
@@ -465,8 +465,12 @@ class Session:
         return self._rows(t.frame().count())
 
     def _drop(self, given: dict) -> DataFrame:
-        for name in given["tables"]:
-            self._managed(name).drop()
+        tables = {name: self._managed(name) for name in given["tables"]}
+        for name, t in tables.items():
+            if t.is_locked():
+                raise QueryError(f"table {name} is locked")
+        for name, t in tables.items():
+            t.drop()
             del self.tables[name]
         return self._rows(len(given["tables"]))
 

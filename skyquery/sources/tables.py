@@ -2,15 +2,19 @@
 
 Every change writes a new version beside the old one and then replaces the metadata, which
 names the current version, in one rename. Readers see the old or the new table, never a part
-of either.
+of either; the version before the current one is kept for readers that have begun, and older ones go. Metadata are read
+anew for each change, and of several writers whose changes start from one version one succeeds, so that no change is lost.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +96,7 @@ class Table:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._meta = self._read()
+        self._based = self._meta["version"]
 
     # --- opening and creating ---
     @classmethod
@@ -118,8 +123,8 @@ class Table:
     @classmethod
     def _begin(cls, spark: SparkSession, folder: str, frame: DataFrame, keywords: dict, columns: dict) -> Table:
         out = object.__new__(cls)
-        out.spark, out.folder = spark, folder
-        out._meta = {"version": None, "keywords": keywords, "columns": columns, "info": {"type": "", "subtype": ""}, "rows": 0}
+        out.spark, out.folder, out._based = spark, folder, None
+        out._meta = {"version": None, "before": None, "keywords": keywords, "columns": columns, "info": {"type": "", "subtype": ""}, "rows": 0}
         out.replace(frame, renumber=ROWNR not in frame.columns)
         return out
 
@@ -143,44 +148,72 @@ class Table:
         options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(temporary, target, options)
 
+    def _change(self, change: Callable[[dict], None], seconds: float = 30.0) -> None:
+        """Applies a change to the metadata as they are now, while no other handle does."""
+        fs, path = _fs(self.spark, f"{self.folder}/.commit")
+        until = time.monotonic() + seconds
+        while True:
+            try:
+                if fs.createNewFile(path):
+                    break
+            except Py4JJavaError as e:
+                raise QueryError(f"the table cannot be written: {e.java_exception.getMessage()}") from None
+            if time.monotonic() > until:
+                raise QueryError(f"another writer holds {self.folder}/.commit")
+            time.sleep(0.05)
+        try:
+            if self._meta["version"] is not None or self._there():
+                self._meta = self._read()
+            change(self._meta)
+            self._write()
+        finally:
+            fs.delete(path, False)
+
+    def _there(self) -> bool:
+        fs, path = _fs(self.spark, f"{self.folder}/table.json")
+        return bool(fs.exists(path))
+
+    def _now(self) -> dict:
+        self._meta = self._read()
+        return self._meta
+
     def keywords(self) -> dict:
-        return {**self._meta["keywords"], "_columns": self._meta["columns"]}
+        meta = self._now()
+        return {**meta["keywords"], "_columns": meta["columns"]}
 
     def keyword(self, name: str):
-        if name not in self._meta["keywords"]:
-            raise QueryError(f"there is no keyword {name}")
-        return self._meta["keywords"][name]
+        return _known(self._now(), name)
 
     def set_keyword(self, name: str, value) -> None:
-        self._meta["keywords"][name] = value
-        self._write()
+        self._change(lambda meta: meta["keywords"].__setitem__(name, value))
 
     def drop_keyword(self, name: str) -> None:
-        self.keyword(name)
-        del self._meta["keywords"][name]
-        self._write()
+        def change(meta: dict) -> None:
+            _known(meta, name)
+            del meta["keywords"][name]
+
+        self._change(change)
 
     def column_keywords(self, column: str) -> dict:
-        return self._meta["columns"].get(column, {})
+        return self._now()["columns"].get(column, {})
 
     def set_column_keyword(self, column: str, name: str, value) -> None:
-        self._meta["columns"].setdefault(column, {})[name] = value
-        self._write()
+        self._change(lambda meta: meta["columns"].setdefault(column, {}).__setitem__(name, value))
 
     def info(self) -> dict:
-        return dict(self._meta["info"])
+        return dict(self._now()["info"])
 
     def set_info(self, kind: str = "", subtype: str = "") -> None:
-        self._meta["info"] = {"type": kind, "subtype": subtype}
-        self._write()
+        self._change(lambda meta: meta.__setitem__("info", {"type": kind, "subtype": subtype}))
 
     # --- rows ---
     def frame(self) -> DataFrame:
-        """The rows, with their numbers in a hidden column."""
-        return self.spark.read.parquet(f"{self.folder}/{self._meta['version']}")
+        """The rows as they are now, with their numbers in a hidden column. What is written next is taken to start from them."""
+        self._based = self._now()["version"]
+        return self.spark.read.parquet(f"{self.folder}/{self._based}")
 
     def count(self) -> int:
-        return self._meta["rows"]
+        return self._now()["rows"]
 
     def row(self, number: int) -> dict:
         found = self.frame().filter(F.col(ROWNR) == number).first()
@@ -191,9 +224,12 @@ class Table:
     def cell(self, column: str, number: int):
         return self.row(number)[column]
 
-    def replace(self, frame: DataFrame, renumber: bool = False) -> None:
-        """Makes the frame's rows the table's. Renumbered rows keep their order and are numbered without gaps."""
-        version = f"v-{uuid.uuid4().hex}"
+    def replace(self, frame: DataFrame, renumber: bool = False, columns: dict | None = None) -> None:
+        """Makes the frame's rows the table's. Renumbered rows keep their order and are numbered without gaps.
+
+        ``columns``: keywords of new columns. If the table has another version than the one that ``frame`` last gave, nothing is changed and QueryError raised.
+        """
+        version, based = f"v-{uuid.uuid4().hex}", self._based
         if renumber:
             keyed = ordered(frame)
             held = f"{self.folder}/.sorted-{uuid.uuid4().hex}"
@@ -209,12 +245,23 @@ class Table:
             self._delete(held)
         else:
             frame.write.parquet(f"{self.folder}/{version}")
-        old = self._meta["version"]
-        self._meta["version"] = version
-        self._meta["rows"] = self.frame().count()
-        self._write()
-        if old:
-            self._delete(f"{self.folder}/{old}")
+        rows, gone = self.spark.read.parquet(f"{self.folder}/{version}").count(), []
+
+        def change(meta: dict) -> None:
+            if meta["version"] != based:
+                raise QueryError("the table was changed by another writer meanwhile")
+            gone.append(meta.get("before"))
+            meta["before"], meta["version"], meta["rows"] = meta["version"], version, rows
+            meta["columns"].update(columns or {})
+
+        try:
+            self._change(change)
+        except QueryError:
+            self._delete(f"{self.folder}/{version}")
+            raise
+        self._based = version
+        if gone[0]:
+            self._delete(f"{self.folder}/{gone[0]}")
 
     def _delete(self, path: str) -> None:
         fs, p = _fs(self.spark, path)
@@ -254,8 +301,7 @@ class Table:
     def add_column(self, spec: T.StructField) -> None:
         if spec.name in self.frame().columns:
             raise QueryError(f"column {spec.name} exists")
-        self._meta["columns"][spec.name] = spec.metadata
-        self.replace(self.frame().withColumn(spec.name, F.lit(None).cast(spec.dataType)))
+        self.replace(self.frame().withColumn(spec.name, F.lit(None).cast(spec.dataType)), columns={spec.name: spec.metadata})
 
     # --- locks: advisory ---
     def lock(self, owner: str = "") -> bool:
@@ -282,6 +328,12 @@ class Table:
         self._delete(self.folder)
 
 
+def _known(meta: dict, name: str):
+    if name not in meta["keywords"]:
+        raise QueryError(f"there is no keyword {name}")
+    return meta["keywords"][name]
+
+
 def difference(a: Table, b: Table) -> list[str]:
     """How two tables differ in columns, types, numbers of rows, and keywords."""
     x, y = ({f.name: f.dataType.simpleString() for f in t.frame().schema if f.name != ROWNR} for t in (a, b))

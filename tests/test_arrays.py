@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquery.functions import sky, units
 from skyquery.operators import regions
-from skyquery.operators.coordinates import Codes, CoordinateSystem, Direction, Linear, Spectral, Tabular, beam_to_pixels
+from skyquery.operators.coordinates import Codes, CoordinateSystem, Direction, Linear, PROJECTIONS, Spectral, Tabular, beam_to_pixels
 from skyquery.operators.expressions import absolute, evaluate, form_complex, packed, real
 from skyquery.operators.image import Image
 from skyquery.operators.lattice import Lattice
@@ -109,13 +109,14 @@ def test_images(spark, a, tmp_path):
 
 def test_coordinates(spark):
     one = lambda *cols: list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first())
-    for kind in ("SIN", "TAN", "CAR"):
-        d = Direction(1.0, 0.5, (-1e-3, 1e-3), (10.0, 20.0), kind)
-        lon, lat = d.to_world(F.lit(15.0), F.lit(12.0))
-        assert one(*d.to_pixel(lon, lat)) == pytest.approx([15.0, 12.0])
-        assert one(*d.to_world(F.lit(10.0), F.lit(20.0))) == pytest.approx([1.0, 0.5])
+    for kind in PROJECTIONS:
+        for latitude in (0.5, -0.5, 0.0):
+            d = Direction(1.0, latitude, (-1e-2, 1e-2), (10.0, 20.0), kind)
+            for at in ((15.0, 12.0), (-20.0, 55.0), (60.0, -30.0)):
+                assert one(*d.to_pixel(*d.to_world(F.lit(at[0]), F.lit(at[1])))) == pytest.approx(at, abs=1e-6), kind
+            assert one(*d.to_world(F.lit(10.0), F.lit(20.0))) == pytest.approx([1.0, latitude], abs=1e-9), kind
     with pytest.raises(ValueError):
-        Direction(0, 0, (1, 1), (0, 0), "ZEA")
+        Direction(0, 0, (1, 1), (0, 0), "HPX")
     t = Tabular((0.0, 1.0, 3.0), (10.0, 20.0, 0.0))
     assert one(t.to_world(F.lit(0.5)), t.to_world(F.lit(2.0)), t.to_world(F.lit(4.0)), t.to_world(F.lit(-1.0))) == [15.0, 10.0, -10.0, 0.0]
     assert one(Codes((1, 5)).to_world(F.lit(1.2)), Codes((1, 5)).to_pixel(F.lit(5))) == [5, 1]

@@ -156,3 +156,37 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("w"), "window_start") == batch and [r[2] for r in batch] == [3.0, 4.0]
     assert windows.sessions(frame, "ts", "10 seconds", total, keys=["k"]).count() == 2
     assert windows.first_seen(frame, "k", "ts", "1 minute").count() == 2
+
+
+def test_two_handles_lose_nothing(spark, tmp_path):
+    """A handle that was opened before a change sees it and keeps it; of two changes from one version the second is refused."""
+    warehouse = f"file://{tmp_path}/w"
+    first = managed.Table.save(spark.range(3).select(F.col("id").alias("a")), warehouse, "t")
+    second = managed.Table.open(spark, warehouse, "t")
+    first.add_rows(2)
+    second.set_keyword("k", 1)
+    assert first.count() == second.count() == second.frame().count() == 5 and first.keyword("k") == 1
+    mine, theirs = first.frame(), second.frame()
+    first.replace(mine.withColumn("a", F.lit(7).cast("long")))
+    with pytest.raises(QueryError):
+        second.replace(theirs.withColumn("a", F.lit(8).cast("long")))
+    # the version before is still there for those who read it
+    assert theirs.count() == 5 and {r.a for r in second.frame().collect()} == {7} and second.keyword("k") == 1
+    second.set_column_keyword("a", "unit", "m")
+    second.add_rows(1)
+    assert first.count() == 6 and first.column_keywords("a") == {"unit": "m"}
+
+
+def test_drop_of_several_tables_is_all_or_nothing(session):
+    session.sql("CREATE TABLE u (A INT)")
+    session.table("u").lock("me")
+    with pytest.raises(QueryError):
+        session.sql("DROP TABLE t, u")
+    assert session.sql("COUNT FROM t").first()[0] == 5
+    session.table("u").unlock()
+    session.sql("DROP TABLE t, u")
+
+
+def test_many_values_in_one_statement(session):
+    session.sql("INSERT INTO t (ID) VALUES " + ",".join(f"({i})" for i in range(100, 1100)))
+    assert session.sql("SELECT gcount() AS n, gsum(ID) AS s FROM t WHERE ID >= 100").first() == (1000, float(sum(range(100, 1100))))
