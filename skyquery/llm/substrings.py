@@ -247,22 +247,31 @@ def _by_automaton(contents: DataFrame, params: SubstringParams) -> DataFrame:
 
 
 def _dealt_anew(contents: DataFrame, params: SubstringParams, anchor: int) -> DataFrame:
-    """(shard, key, part, own, at, doc, mark, start, windows, twice, content): the contents cut into spans of finer shards ``part``, with their hashes ``own`` and places ``at`` in the content."""
+    """(shard, key, part, own, at, doc, mark, start, windows, twice, content, sure): the contents cut into spans of finer shards ``part``, with their hashes ``own`` and places ``at`` in the content.
+
+    A span that its content has had before is repeated and needs no row: its windows are listed in ``sure`` of the content's first row.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = HashedWords()
         for rows, texts in slices(batches, "content"):
             text, at, windows, low, own, twice = _minimisers(*hashed(texts), params.length, anchor)
+            fresh = np.sort(np.unique(np.stack([text, low, own], 1), axis=0, return_index=True)[1])
+            again = np.setdiff1d(np.arange(len(text)), fresh, assume_unique=True)
+            sure: dict[int, list[int]] = {}
+            for i, a, n in zip(text[again].tolist(), at[again].tolist(), windows[again].tolist(), strict=True):
+                sure.setdefault(i, []).extend(range(a, a + n))
+            text, at, windows, low, own, twice = (x[fresh] for x in (text, at, windows, low, own, twice))
             words, which = [t.split() for t in texts], pa.array(text)
             content = [b" ".join(words[i][a : a + n + params.length - 1]) for i, a, n in zip(text.tolist(), at.tolist(), windows.tolist(), strict=True)]
             start = rows.column("start").take(which).to_numpy() + at
             kept = [rows.column(c).take(which) for c in ("shard", "key", "doc", "mark")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(low), pa.array(own), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(twice.astype(bool)), pa.array(content, pa.binary())],
-                names=["shard", "key", "doc", "mark", "part", "own", "at", "start", "windows", "twice", "content"],
+                [*kept, pa.array(low), pa.array(own), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(twice.astype(bool)), pa.array(content, pa.binary()), pa.array([sure.pop(i, []) for i in text.tolist()], pa.list_(pa.int32()))],
+                names=["shard", "key", "doc", "mark", "part", "own", "at", "start", "windows", "twice", "content", "sure"],
             )
 
-    return mapped(contents.select("shard", "key", "doc", "mark", "start", "content"), task, f"shard long, key long, doc {_kind(contents, 'doc')}, mark long, part long, own long, at int, start int, windows int, twice boolean, content binary")
+    return mapped(contents.select("shard", "key", "doc", "mark", "start", "content"), task, f"shard long, key long, doc {_kind(contents, 'doc')}, mark long, part long, own long, at int, start int, windows int, twice boolean, content binary, sure array<int>")
 
 
 def _repeats(contents: DataFrame, params: SubstringParams, level: int = 0) -> DataFrame:
@@ -282,10 +291,11 @@ def _repeats(contents: DataFrame, params: SubstringParams, level: int = 0) -> Da
 
 
 def _windows(found: DataFrame, at: str, place) -> DataFrame:
-    """The spans that have repeated windows, with these as ``w``: those of ``hits`` in the first occurrence of their words, and all in others. They are counted from ``at``."""
+    """The spans that have repeated windows, with these as ``w``: those of ``hits`` in the first occurrence of their words, and all in others, and those that are ``sure`` besides. They are counted from ``at``."""
     own = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda h: h + F.col(at))
     every = F.sequence(F.col(at), F.col(at) + F.col("windows") - 1)
-    return found.withColumn("w", F.when(place.eqNullSafe(F.col("first")), own).otherwise(every)).filter(F.size("w") > 0)
+    w = F.when(place.eqNullSafe(F.col("first")), own).otherwise(every)
+    return found.withColumn("w", F.concat(w, "sure") if "sure" in found.columns else w).filter(F.size("w") > 0)
 
 
 def removed(docs: DataFrame, params: SubstringParams = SubstringParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
