@@ -35,7 +35,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """``depth``: minima in a label, 8 at most; ``recall``: probability that a pair at the threshold meets in a trie; ``chunk``, ``weight``: nodes of a block's side, and shingles of a verifying block's side."""
+    """``depth``: minima in a label, 8 at most; ``recall``: probability that a pair at the threshold meets in a trie; ``chunk``, ``verify_chunk``, ``weight``: nodes of a comparing and of a verifying block's side, and shingles of the latter."""
 
     words: int = 5
     threshold: float = 0.8
@@ -43,6 +43,7 @@ class NearDupParams:
     depth: int = 8
     recall: float = 0.999
     chunk: int = 400
+    verify_chunk: int = 100
     weight: int = 2_000_000
     seed: int = 9
 
@@ -314,7 +315,7 @@ def differences(texts: DataFrame, params: NearDupParams) -> DataFrame:
     # written first: a join straight on shuffles is one whose hot keys, clusters of very many nodes, can be split
     sets = stored(mapped(rows, shingle, "cluster long, size long, node long, n int, copies long, shingles binary"), "shingles")
     # the representative's set goes to each part of its cluster, so that no task gets the whole one
-    parts = (F.col("size") / F.lit(params.chunk)).cast("int")
+    parts = (F.col("size") / F.lit(params.verify_chunk)).cast("int")
     base = sets.filter("node = cluster").dropDuplicates(["cluster"]).select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("shingles").alias("base"))
     sets = sets.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
 
@@ -329,12 +330,12 @@ def differences(texts: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 def verified(texts: DataFrame, params: NearDupParams) -> DataFrame:
-    """Exact links within clusters of the rows (cluster, size, node, n, copies, text), where ``size`` tells by its multiple of ``chunk`` into how many parts the cluster is dealt.
+    """Exact links within clusters of the rows (cluster, size, node, n, copies, text), where ``size`` tells by its multiple of ``verify_chunk`` into how many parts the cluster is dealt.
 
     Returns for each block and node with a link: node, links (other documents, copies
     counted), root (the smallest node it is linked with in the block) and alone (the block is the whole cluster).
     """
-    blocks = block_rows(differences(texts, params), ["cluster"], "size", "node", params.chunk)
+    blocks = block_rows(differences(texts, params), ["cluster"], "size", "node", params.verify_chunk)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, "blk"):
@@ -387,8 +388,8 @@ def classes(docs: DataFrame, params: NearDupParams = NearDupParams(), *, id_colu
     clusters = components(likely_links(nodes, params)).select("node", F.col("root").alias("cluster"))
     inside = clusters.join(nodes.select("node", "first", "n", "copies"), "node")
     # into how many parts a cluster is dealt follows from its nodes, and from their shingles where texts are long
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(params.chunk)), F.ceil(F.sum("n") / F.lit(params.weight)))
-    inside = inside.join(inside.groupBy("cluster").agg((parts * params.chunk).alias("size")), "cluster")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(params.verify_chunk)), F.ceil(F.sum("n") / F.lit(params.weight)))
+    inside = inside.join(inside.groupBy("cluster").agg((parts * params.verify_chunk).alias("size")), "cluster")
     # one text of each node that is in a cluster: a row of its smallest id whose set it is
     bearer = made.select("doc_id", "mark", F.col("node").alias("of")).join(inside, (F.col("of") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")), "inner").dropDuplicates(["node"])
     marked = source.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_mark"))

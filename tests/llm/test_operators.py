@@ -213,7 +213,7 @@ def test_near_duplicates(spark):
     rows += [(n, rows[0][1]), (n + 1, rows[0][1])]
     links, root = brute_classes(rows)
     # small chunks, so that clusters go through several blocks
-    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupParams(chunk=4, weight=200)).collect()}
+    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupParams(chunk=4, verify_chunk=3, weight=200)).collect()}
     assert {k: r.n_links for k, r in got.items()} == {k: len(v) for k, v in links.items()}
     assert {k: r.class_id for k, r in got.items()} == root
 
@@ -573,7 +573,7 @@ def test_substrings(spark, hot):
     for i in range(60):
         parts = [" ".join(rng.choice(words, int(rng.integers(0, 25)))), str(rng.choice(passages)), " ".join(rng.choice(words, int(rng.integers(0, 25))))]
         rows.append((i, " ".join(parts)))
-    rows += [(60, rows[5][1]), (61, "same " * 90), (62, "a b " * 40), (63, None), (64, ""), (65, "short text")]
+    rows += [(60, rows[5][1]), (61, "same " * 90), (62, "a b " * 40), (66, "x " + "a b c d e " * 30), (67, "y z " + "b c d e a " * 20 + "q"), (68, passages[0] + " " + passages[0]), (63, None), (64, ""), (65, "short text")]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.removed(spark.createDataFrame(rows, "doc_id long, text string"), substrings.SubstringParams(hot=hot)).collect()}
     assert got == brute_removed(rows, 20)
 
