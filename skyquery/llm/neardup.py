@@ -43,7 +43,7 @@ class NearDupParams:
     depth: int = 8
     recall: float = 0.999
     chunk: int = 400
-    verify_chunk: int = 100
+    verify_chunk: int = 64
     weight: int = 2_000_000
     seed: int = 9
 
