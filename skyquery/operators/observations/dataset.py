@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.aggregates import ROWNR
 from ...sources import tables as managed
 from ...sources.tables import numbered
+from ..views import group_rows, group_sizes, groups
 from .schema import FOREIGN_KEYS, MAIN, REQUIRED, SUBTABLES
 
 
@@ -108,21 +109,39 @@ class Observation:
         return Observation(self.rows.withColumn("FLAG_ROW", F.when(condition, F.lit(flag)).otherwise(F.col("FLAG_ROW"))), self.sub)
 
     # --- chunks ---
+    CHUNK = ("ARRAY_ID", "FIELD_ID", "DATA_DESC_ID")
+
     def chunks(self) -> DataFrame:
-        """Rows by (ARRAY_ID, FIELD_ID, DATA_DESC_ID), in key order."""
-        keys = ["ARRAY_ID", "FIELD_ID", "DATA_DESC_ID"]
-        return self.rows.groupBy(*keys).agg(F.sort_array(F.collect_list(ROWNR)).alias("rows")).orderBy(*keys)
+        """Rows by (ARRAY_ID, FIELD_ID, DATA_DESC_ID), in key order. A chunk's numbers are one cell; ``chunk_sizes`` and ``chunk_rows`` take chunks of any size."""
+        return groups(self.main, list(self.CHUNK))
 
-    def time_chunks(self, interval: float) -> DataFrame:
-        """Rows by time: bins of the interval from the first time on; bins without rows are left out."""
+    def chunk_sizes(self) -> DataFrame:
+        """For each chunk how many rows it has (``n``), the ``first`` and the ``last``."""
+        return group_sizes(self.main, list(self.CHUNK))
+
+    def chunk_rows(self) -> DataFrame:
+        """Each row's chunk and number, in chunk order."""
+        return group_rows(self.main, list(self.CHUNK))
+
+    def _timed(self, interval: float) -> tuple[DataFrame, Column]:
+        """Rows with their bin, counted from the first time on, and the bin's centre."""
         if interval <= 0:
             raise ValueError("the interval must be above 0")
         first = self.main.agg(F.min("TIME")).first()[0]
         if first is None:
             first = 0.0
         bin_ = F.floor((F.col("TIME") - first) / interval).cast("long")
-        rows = self.rows.groupBy(bin_.alias("bin")).agg(F.sort_array(F.collect_list(ROWNR)).alias("rows"))
-        return rows.select("bin", (F.lit(first) + (F.col("bin") + 0.5) * interval).alias("centre"), "rows").orderBy("bin")
+        return self.rows.withColumn("bin", bin_), (F.lit(first) + (F.col("bin") + 0.5) * interval).alias("centre")
+
+    def time_chunks(self, interval: float) -> DataFrame:
+        """Rows by time: bins of the interval from the first time on; bins without rows are left out. A bin's numbers are one cell; ``time_chunk_sizes`` takes bins of any size."""
+        rows, centre = self._timed(interval)
+        return groups(rows, ["bin"]).select("bin", centre, "rows").orderBy("bin")
+
+    def time_chunk_sizes(self, interval: float) -> DataFrame:
+        """For each bin its centre, how many rows it has (``n``), the ``first`` and the ``last``."""
+        rows, centre = self._timed(interval)
+        return group_sizes(rows, ["bin"]).select("bin", centre, "n", "first", "last").orderBy("bin")
 
 
 def concatenate(a: Observation, b: Observation) -> Observation:

@@ -196,8 +196,7 @@ def _coordinates(spark, sf_dir):
 # --- array expressions, lattices, regions, images: the embeddings as element x row ---
 def _embedding_lattice(spark, sf_dir) -> Lattice:
     frame = table(spark, sf_dir, "embeddings")
-    rows = frame.agg(F.max("vec_id")).first()[0] or 0
-    width = frame.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows, width = (v or 0 for v in frame.agg(F.max("vec_id"), F.max(F.size("embedding"))).first())
     made = Lattice.from_arrays(frame.withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", (width, int(rows) + 1))
     return made.masked((F.col("i0") + F.col("i1")) % 4 != 0)
 
@@ -309,12 +308,12 @@ for _name, _given, _where in (
 
 @query("obs_chunks", f"SELECT CAST(0 AS INTEGER) AS ARRAY_ID, CAST(f AS INTEGER) AS FIELD_ID, CAST(dd AS INTEGER) AS DATA_DESC_ID, count(*) AS n, CAST(min(r) AS BIGINT) AS first FROM {_MAIN} GROUP BY 1,2,3")
 def _ms_chunks(spark, sf_dir):
-    return _observation(spark, sf_dir).chunks().select("ARRAY_ID", "FIELD_ID", "DATA_DESC_ID", F.size("rows").cast("long").alias("n"), F.element_at("rows", 1).alias("first"))
+    return _observation(spark, sf_dir).chunk_sizes().drop("last")
 
 
 @query("obs_time_chunks", f"SELECT CAST(date_diff('day', (SELECT min(l_shipdate) FROM lineitem), t) // 30 AS BIGINT) AS bin, count(*) AS n FROM {_MAIN} GROUP BY 1")
 def _ms_time_chunks(spark, sf_dir):
-    return _observation(spark, sf_dir).time_chunks(30 * 86400.0).select("bin", F.size("rows").cast("long").alias("n"))
+    return _observation(spark, sf_dir).time_chunk_sizes(30 * 86400.0).select("bin", "n")
 
 
 @query("obs_flags", f"SELECT count(*) AS rows, count(*) FILTER (WHERE flag OR scan = 1) AS flagged FROM {_MAIN}")
@@ -371,7 +370,7 @@ def _index_lookup(spark, sf_dir):
 def _as_of(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     clicks = events.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_id"))
-    return views.as_of_join(events.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "ts", ["last_id"]).select("event_id", "last_id")
+    return views.as_of_join(events.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "ts", ["last_id"], F.to_date).select("event_id", "last_id")
 
 
 @query("range_join", "SELECT count(*) AS n FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice*100 AND p_retailprice*100+500")
@@ -409,7 +408,7 @@ def _sessions(spark, sf_dir):
 @query("carried_forward", "SELECT event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),4) AS v FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS v FROM events)", 4)
 def _carried(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_type") == "purchase", F.col("value")))
-    return views.carried_forward(events, ["v"], ["ts", "event_id"], ["user_id"]).select("event_id", "v")
+    return views.carried_forward(events, ["v"], ["ts", "event_id"], ["user_id"], F.to_date("ts")).select("event_id", "v")
 
 
 def _register_others() -> None:

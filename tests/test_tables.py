@@ -1,5 +1,8 @@
 """Managed tables: statements that change them, keywords, locks; views; files; streams."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,6 +146,54 @@ def test_joins_on_ranges(spark):
     assert rows(views.range_join(left.select("t"), spans, "t", "lo", "hi", 4.0).select("t", "n"), "t", "n") == [(1.0, "p"), (5.0, "p"), (5.0, "q"), (9.0, "q")]
 
 
+def _pairs_of(frame, *cols):
+    return sorted(tuple(r) for r in frame.select(*cols).collect())
+
+
+@pytest.mark.parametrize("bucket", [None, 10.0, 1000.0])
+def test_as_of_of_hot_and_null_keys(spark, bucket):
+    rng = random.Random(3)
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    when = lambda: rng.choice([None, *[x / 2 for x in range(400)]])
+    left = [(i, key(), when()) for i in range(300)]
+    right = [(key(), t, f"v{i}") for i, t in enumerate(rng.sample([x / 2 for x in range(400)], 60))] + [(1, None, "never")]
+    cut = (lambda t: F.floor(t / bucket)) if bucket else None
+    got = views.as_of_join(spark.createDataFrame(left, "i int, k int, t double"), spark.createDataFrame(right, "k int, s double, v string"), ["k"], "t", "s", ["v"], cut)
+    best = lambda k, t: max(((s, v) for q, s, v in right if None not in (k, t, s) and q == k and s <= t), default=(0, None))[1]
+    assert {r.i: r.v for r in got.collect()} == {i: best(k, t) for i, k, t in left}
+    rows_ = [(i, key(), rng.choice([None, None, None, float(i)])) for i in range(300)]
+    got = views.carried_forward(spark.createDataFrame(rows_, "i int, k int, v double"), ["v"], ["i"], ["k"], F.floor(F.col("i") / bucket) if bucket else None)
+    assert got.columns == ["i", "k", "v"]
+    assert {r.i: r.v for r in got.collect()} == {i: next((w for j, q, w in reversed(rows_) if j <= i and q == k and w is not None), None) for i, k, _ in rows_}
+
+
+def test_range_join_of_long_and_endless_spans(spark):
+    rng = random.Random(4)
+    points = [rng.uniform(-500, 500) for _ in range(200)] + [0.0, 8.0, float("inf"), None]
+    spans = [(i, a, a + rng.choice([0.0, 1.0, 4.0, 9.0, 100.0, 800.0])) for i, a in enumerate(rng.uniform(-500, 500) for _ in range(80))] + [(100, float("-inf"), 3.0), (101, 5.0, float("inf")), (102, 9.0, 8.0), (103, None, 1.0), (104, 0.0, 8.0), (105, -1e300, 1e300)]
+    left, right = spark.createDataFrame([(x,) for x in points], "x double"), spark.createDataFrame(spans, "n int, lo double, hi double")
+    got = views.range_join(left, right, "x", "lo", "hi", 4.0)
+    assert got.columns == ["x", "n", "lo", "hi"]
+    assert _pairs_of(got, "n", "x") == sorted((n, x) for x in points for n, a, b in spans if None not in (x, a, b) and a <= x <= b)
+    assert views.range_join(left, right.limit(0), "x", "lo", "hi", 4.0).count() == 0
+
+
+def test_cone_join_over_the_whole_sky(spark):
+    rng = random.Random(5)
+    half = math.pi / 2
+    at = [(i, rng.uniform(-7, 14), rng.choice([rng.uniform(-half, half), half - 0.01, -half, 0.03 * rng.random()])) for i in range(600)] + [(600, None, 0.0), (601, 0.0, None)]
+    cones = [(i, rng.uniform(-7, 7), rng.choice([rng.uniform(-half, half), half, -half + 0.02]), rng.choice([0.05, 0.2, 0.0, 2.0])) for i in range(60)] + [(60, at[0][1], at[0][2], 0.001)]
+    got = views.cone_join(spark.createDataFrame(at, "p int, lon double, lat double"), spark.createDataFrame(cones, "c int, clon double, clat double, r double"), "lon", "lat", "clon", "clat", "r", 0.2)
+    far = lambda a, b, c, d: math.acos(max(-1.0, min(1.0, math.sin(b) * math.sin(d) + math.cos(b) * math.cos(d) * math.cos(a - c))))
+    expected = [(c, p) for p, a, b in at for c, x, y, r in cones if a is not None and b is not None and r > 0 and far(a, b, x, y) <= r]
+    assert len(expected) > 500 and _pairs_of(got.filter("r > 0"), "c", "p") == sorted(expected)
+
+
+def test_group_sizes_and_rows(spark, iter_table):
+    assert [tuple(r) for r in views.group_sizes(iter_table, ["FIELD_ID", "SCAN"]).collect()] == [(0, 1, 2, 0, 3), (0, 2, 2, 2, 6), (1, 1, 2, 1, 5), (1, 2, 2, 4, 7)]
+    assert [tuple(r) for r in views.group_rows(iter_table, ["SCAN"]).collect()] == [(1, 0), (1, 1), (1, 3), (1, 5), (2, 2), (2, 4), (2, 6), (2, 7)]
+
+
 def test_streams(spark, tmp_path):
     schema = "k string, ts timestamp, v double"
     frame = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:05', 1.0D), ('a', TIMESTAMP'2024-01-01 00:00:09', 2.0D), ('b', TIMESTAMP'2024-01-01 00:00:31', 4.0D) t(k, ts, v)")
