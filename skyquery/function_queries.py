@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .operators import regions
 from .operators.coordinates import Direction
-from .operators.expressions import absolute, arg, conj, evaluate, form_complex, imag, real
+from .operators.expressions import absolute, arg, conj, evaluate, form_complex, imag, real, reductions
 from .operators.image import Image
 from .operators.observations.selection import Selection
+from .plans.statements import Session
 from .queries import _E, _embedding_lattice, _LONG, _MAIN, _observation, query, statement, table
 
 # --- statements ---
@@ -47,6 +48,14 @@ for _name, _given, _where in (("array", {"array": "0"}, "true"), ("array_none",
     query(f"select_{_name}", f"SELECT CAST(r AS BIGINT) AS row FROM {_MAIN} WHERE {_where}")(lambda spark, sf_dir, given=_given: Selection(**given).row_numbers(_observation(spark, sf_dir)))
 
 
+@query("select_where_text", f"SELECT CAST(r AS BIGINT) AS row FROM {_MAIN} WHERE NOT (a1=0 OR a2=0) AND dd IN (0,2) AND scan IN (2,3,5) AND t >= TIMESTAMP '1994-01-01' AND sqrt(u*u+v*v) BETWEEN 5 AND 45 AND f <> 4")
+def _where_text(spark, sf_dir):
+    """A selection written out as the condition of a statement, which then chooses the rows."""
+    o = _observation(spark, sf_dir)
+    text = Selection(antenna="!ANT0", spw="1.0~2.0GHz", scan="2~3,5", time=">1993/12/31", uvdist="5~45m", field="!F4").where(o)
+    return Session(spark, {"main": o.rows}).sql(f"SELECT ROWNR() AS row FROM main WHERE {text}")
+
+
 # --- array expressions over lattices ---
 _OK = "(i0+i1)%4<>0"
 for _name, _text, _value, _mask in (
@@ -63,7 +72,7 @@ for _name, _text, _value, _mask in (
 @query("lattice_any_all", f"SELECT CAST(bool_or(v > 1) AS INTEGER)::DOUBLE AS a, CAST(bool_and(v > -100) AS INTEGER)::DOUBLE AS b, CAST(count(*) FILTER (WHERE NOT v > 0) AS DOUBLE) AS c FROM {_LONG} WHERE {_OK}")
 def _any_all(spark, sf_dir):
     e = {"e": _embedding_lattice(spark, sf_dir)}
-    return spark.range(1).select(*[F.lit(float(evaluate(text, e))).alias(n) for n, text in (("a", "any(e > 1)"), ("b", "all(e > -100)"), ("c", "nfalse(e > 0)"))])
+    return reductions({"a": "any(e > 1)", "b": "all(e > -100)", "c": "nfalse(e > 0)"}, e).select(*[F.col(c).cast("double").alias(c) for c in "abc"])
 
 
 @query("lattice_complex", f"SELECT round(sum(v),3) AS re, round(-sum(2*v),3) AS im, round(sum(sqrt(5)*abs(v)),3) AS a, round(sum(atan2(2*v, v)),3) AS g FROM {_LONG}", 3)

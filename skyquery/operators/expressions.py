@@ -315,15 +315,11 @@ def _grouped(name: str, v: Column) -> Column:
     }[name]()
 
 
-def evaluate(expression: str, lattices: dict[str, Lattice]) -> Lattice | float:
-    """The expression over lattices. One without a lattice outside reductions gives a number.
-
-    The lattices are joined once on their indices; each reduction is one aggregation over
-    the joined rows.
-    """
-    tree = parse(expression)
-    names = [n for n in dict.fromkeys(_used(tree)) if n in lattices]
-    if unknown := [n for n in _used(tree) if n not in lattices and n not in ("T", "F", "true", "false")]:
+def _joined(trees: list, lattices: dict[str, Lattice]) -> tuple[Lattice, DataFrame, dict[str, Element]]:
+    """The lattices that the trees name, joined once on their indices: the first of them, the rows, and the lattices as elements."""
+    used = list(dict.fromkeys(n for tree in trees for n in _used(tree)))
+    names = [n for n in used if n in lattices]
+    if unknown := [n for n in used if n not in lattices and n not in ("T", "F", "true", "false")]:
         raise QueryError(f"unknown lattice {unknown[0]}")
     if not names:
         raise QueryError("the expression has no lattice")
@@ -338,25 +334,61 @@ def evaluate(expression: str, lattices: dict[str, Lattice]) -> Lattice | float:
         frame = part if frame is None else frame.join(part, first.axes)
         kind = {"float": "float", "boolean": "bool"}.get(lat.frame.schema["value"].dataType.typeName(), "double")
         elements[n] = Element(F.col(f"_v{i}"), kind, F.col(f"_m{i}"))
+    return first, frame, elements
+
+
+def _reduced(name: str, x: Element) -> tuple[Column, str]:
+    """The aggregate over the elements that the mask leaves, and its kind."""
+    col = F.when(x.mask, x.col) if x.mask is not None else x.col
+    if name in ("ntrue", "nfalse", "any", "all"):
+        if x.kind != "bool":
+            raise QueryError(f"{name} of a {x.kind} lattice")
+        made = {"ntrue": lambda: F.count_if(col), "nfalse": lambda: F.count_if(~col), "any": lambda: F.coalesce(F.bool_or(col), F.lit(False)).cast("int"), "all": lambda: F.coalesce(F.bool_and(col), F.lit(True)).cast("int")}[name]()
+        return made.cast("double"), "float"
+    if x.kind == "bool":
+        raise QueryError(f"{name} of a bool lattice")
+    return _grouped(name, col), x.kind
+
+
+def _reducer(frame: DataFrame, elements: dict[str, Element]):
+    """Reductions inside an expression: each is one aggregation whose number goes into the expression."""
 
     def reduce_(name: str, inner) -> Element:
-        x = Evaluator(elements, reduce_)(inner)
-        rows = frame.filter(x.mask) if x.mask is not None else frame
-        if name in ("ntrue", "nfalse", "any", "all"):
-            if x.kind != "bool":
-                raise QueryError(f"{name} of a {x.kind} lattice")
-            col = {"ntrue": lambda: F.count_if(x.col).cast("double"), "nfalse": lambda: F.count_if(~x.col).cast("double"), "any": lambda: F.coalesce(F.bool_or(x.col), F.lit(False)).cast("int").cast("double"), "all": lambda: F.coalesce(F.bool_and(x.col), F.lit(True)).cast("int").cast("double")}[name]()
-            return Element(F.lit(rows.agg(col).first()[0]).cast("float"), "float", None, True)
-        if x.kind == "bool":
-            raise QueryError(f"{name} of a bool lattice")
-        return Element(F.lit(rows.agg(_grouped(name, x.col)).first()[0]).cast(x.kind), x.kind, None, True)
-
-    x = Evaluator(elements, reduce_)(tree)
+        col, kind = _reduced(name, Evaluator(elements, reduce_)(inner))
+        return Element(F.lit(frame.agg(col).first()[0]).cast(kind), kind, None, True)
+
+    return reduce_
+
+
+def evaluate(expression: str, lattices: dict[str, Lattice]) -> Lattice | float:
+    """The expression over lattices. One without a lattice outside reductions gives a number.
+
+    The lattices are joined once on their indices; each reduction is one aggregation over
+    the joined rows. For several numbers of the same lattices ``reductions`` takes one pass.
+    """
+    tree = parse(expression)
+    first, frame, elements = _joined([tree], lattices)
+    x = Evaluator(elements, _reducer(frame, elements))(tree)
     if x.scalar:
         return frame.sparkSession.range(1).select(x.col).first()[0]
     return Lattice(frame.select(*first.axes, x.col.alias("value"), (x.mask if x.mask is not None else F.lit(True)).alias("mask")), first.shape)
 
 
+def reductions(expressions: dict[str, str], lattices: dict[str, Lattice]) -> DataFrame:
+    """One row with a column for each of the named reductions, such as ``{"top": "max(e)", "n": "ntrue(e > 0)"}``: one aggregation for all.
+
+    Reductions of an expression that holds others still take an aggregation for each inner one.
+    """
+    trees = {n: parse(text) for n, text in expressions.items()}
+    for n, tree in trees.items():
+        if tree[0] != "call" or tree[1] not in REDUCTIONS or len(tree[2]) != 1:
+            raise QueryError(f"{expressions[n]!r} is no reduction")
+    _, frame, elements = _joined(list(trees.values()), lattices)
+    inner = Evaluator(elements, _reducer(frame, elements))
+    made = {n: _reduced(tree[1], inner(tree[2][0])) for n, tree in trees.items()}
+    return frame.agg(*[col.cast(kind).alias(n) for n, (col, kind) in made.items()])
+
+
 # --- complex lattices: values are structs of re and im ---
 def form_complex(re: Lattice, im: Lattice) -> Lattice:
     return re.combine(im, lambda a, b: F.struct(a.cast("double").alias("re"), b.cast("double").alias("im")))

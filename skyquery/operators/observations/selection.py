@@ -105,22 +105,25 @@ def _time(text: str) -> float:
     return days * 86400.0 + int(m[4] or 0) * 3600 + int(m[5] or 0) * 60 + float(m[6] or 0)
 
 
-def _bounded(text: str, number, of: Column, what: str, single: bool = False) -> Column:
+def _bounded(text: str, number, of: str, what: str) -> str:
     """``>a``, ``<b`` and ``a~b`` over a value; lists are alternatives."""
     found = []
     for part in _parts(text):
         if part[0] in "<>":
-            v = number(part[1:].strip())
-            found.append(of > v if part[0] == ">" else of < v)
+            found.append(f"{of} {part[0]} {number(part[1:].strip())!r}")
         elif "~" in part:
             low, _, high = part.partition("~")
             a, b = number(low.strip()), number(high.strip())
             if a > b:
                 raise SelectionError(f"range {part} runs backwards")
-            found.append(of.between(a, b))
+            found.append(f"{of} BETWEEN {a!r} AND {b!r}")
         else:
             raise SelectionError(f"{part!r} is no bound for {what}")
-    return reduce(Column.__or__, found)
+    return " OR ".join(found)
+
+
+def _listed(column: str, ids: list[int]) -> str:
+    return f"{column} IN [{', '.join(map(str, ids))}]" if ids else "FALSE"
 
 
 def _distance(text: str) -> float:
@@ -158,8 +161,8 @@ class Selection:
             setattr(self, c, "")
 
     # --- conditions ---
-    def conditions(self, o: Observation) -> tuple[dict[str, Column], list[str]]:
-        """The condition of each category that has one, and the errors of those that have not (collect_errors)."""
+    def texts(self, o: Observation) -> tuple[dict[str, str], list[str]]:
+        """The condition of each category that has one, in the query language, and the errors of those that have not (collect_errors)."""
         self._ids, self._channels = {}, []
         found, errors = {}, []
         for c in CATEGORIES:
@@ -176,10 +179,22 @@ class Selection:
                 errors.append(f"{c}: {e}")
         return found, errors
 
+    def where(self, o: Observation) -> str:
+        """The selection as the WHERE text of a statement; empty if it chooses all rows. It gives the rows that ``evaluate`` gives."""
+        return " AND ".join(f"({t})" for t in self.texts(o)[0].values())
+
+    def conditions(self, o: Observation) -> tuple[dict[str, Column], list[str]]:
+        """As ``texts``, compiled."""
+        o = Observation(o.rows, o.sub)
+        found, errors = self.texts(o)
+        compiler = Compiler(Scope.of(o.main))
+        return {c: compiler.condition(parse_expression(t)) for c, t in found.items()}, errors
+
     def condition(self, o: Observation) -> Column:
         return reduce(Column.__and__, self.conditions(o)[0].values(), F.lit(True))
 
     def evaluate(self, o: Observation) -> Selected:
+        o = Observation(o.rows, o.sub)
         found, errors = self.conditions(o)
         rows = o.rows.filter(reduce(Column.__and__, found.values(), F.lit(True)))
         return Selected(rows, dict(self._ids), list(self._channels), errors)
@@ -191,18 +206,18 @@ class Selection:
     def _names(o: Observation, table: str, column: str = "NAME") -> list[str]:
         return [r[0] for r in o.table(table).orderBy(ROWNR).select(column).collect()] if table in o.sub else []
 
-    def _pairs(self, text: str, one: str, two: str, names: list[str] | None, what: str, empty_is_all: bool) -> Column:
+    def _pairs(self, text: str, one: str, two: str, names: list[str] | None, what: str, empty_is_all: bool) -> str:
         """``a``: either end; ``a&b``: between; ``a&&b``: also of one with itself; ``a&&&``: with itself only."""
         negated = text.startswith("!")
         text = text[1:].strip() if negated else text
         count = range(len(names)) if names is not None else None
-        first, second = F.col(one), F.col(two)
+        either = lambda s: f"{_listed(one, s)} OR {_listed(two, s)}"
         m = re.fullmatch(r"([^&]*?)\s*(&{1,3})\s*([^&]*)", text)
         if m is None:
             if "&" in text:
                 raise SelectionError(f"too many & in {text!r}")
             s = self._note(what, _ids(text, count, names, what)[0])
-            made = first.isin(*s) | second.isin(*s)
+            made = either(s)
         else:
             left, sign, right = m.groups()
             if not left.strip():
@@ -211,54 +226,54 @@ class Selection:
             if sign == "&&&":
                 if right.strip():
                     raise SelectionError(f"something behind &&& in {text!r}")
-                made = (first == second) & (first.isin(*a) if a is not None else F.lit(True))
+                made = f"{one} = {two}" + (f" AND {_listed(one, a)}" if a is not None else "")
             else:
                 if not right.strip() and not empty_is_all:
                     raise SelectionError(f"nothing behind {sign} in {text!r}")
                 b = None if right.strip() in ("", "*") else self._note(what, _ids(right, count, names, what)[0])
-                inside = lambda c, s: c.isin(*s) if s is not None else F.lit(True)
-                made = (inside(first, a) & inside(second, b)) | (inside(first, b) & inside(second, a))
+                inside = lambda c, s: _listed(c, s) if s is not None else "TRUE"
+                made = f"{inside(one, a)} AND {inside(two, b)} OR {inside(one, b)} AND {inside(two, a)}"
                 if sign == "&":
-                    made = made & (first != second)
-        return ~made if negated else made
+                    made = f"({made}) AND {one} != {two}"
+        return f"NOT ({made})" if negated else made
 
     def _note(self, what: str, ids: set[int]) -> list[int]:
         self._ids[what] = sorted({*self._ids.get(what, []), *ids})
         return sorted(ids)
 
-    def _on_antenna(self, text: str, o: Observation) -> Column:
+    def _on_antenna(self, text: str, o: Observation) -> str:
         return self._pairs(text, "ANTENNA1", "ANTENNA2", self._names(o, "ANTENNA"), "antenna", False)
 
-    def _on_feed(self, text: str, o: Observation) -> Column:
+    def _on_feed(self, text: str, o: Observation) -> str:
         return self._pairs(text, "FEED1", "FEED2", None, "feed", True)
 
-    def _by_id(self, text: str, what: str, column: str, o: Observation, names: list[str] | None = None) -> Column:
+    def _by_id(self, text: str, what: str, column: str, o: Observation, names: list[str] | None = None) -> str:
         known = range(len(names)) if names is not None else None
         if known is None and re.search(r"[<>]", text):
             known = [r[0] for r in o.main.select(column).distinct().collect()]
         ids, negated = _ids(text, known, names, what)
-        made = F.col(column).isin(*self._note(what, ids)) if ids else F.lit(False)
-        return ~made if negated else made
+        made = _listed(column, self._note(what, ids))
+        return f"NOT ({made})" if negated else made
 
-    def _on_field(self, text: str, o: Observation) -> Column:
+    def _on_field(self, text: str, o: Observation) -> str:
         return self._by_id(text, "field", "FIELD_ID", o, self._names(o, "FIELD"))
 
-    def _on_scan(self, text: str, o: Observation) -> Column:
+    def _on_scan(self, text: str, o: Observation) -> str:
         return self._by_id(text, "scan", "SCAN_NUMBER", o)
 
-    def _on_observation(self, text: str, o: Observation) -> Column:
+    def _on_observation(self, text: str, o: Observation) -> str:
         return self._by_id(text, "observation", "OBSERVATION_ID", o)
 
-    def _on_array(self, text: str, o: Observation) -> Column:
+    def _on_array(self, text: str, o: Observation) -> str:
         return self._by_id(text, "array", "ARRAY_ID", o)
 
-    def _on_state(self, text: str, o: Observation) -> Column:
+    def _on_state(self, text: str, o: Observation) -> str:
         plain = [p for p in _parts(text.lstrip("! ")) if re.fullmatch(r"[A-Za-z_]\w*", p)]
         if plain:
             raise SelectionError(f"{plain[0]!r} is neither an id nor a pattern of modes")
         return self._by_id(text, "state", "STATE_ID", o, self._names(o, "STATE", "OBS_MODE"))
 
-    def _on_spw(self, text: str, o: Observation) -> Column:
+    def _on_spw(self, text: str, o: Observation) -> str:
         windows = [r.asDict() for r in o.table("SPECTRAL_WINDOW").orderBy(ROWNR).select("NAME", "NUM_CHAN", "REF_FREQUENCY").collect()]
         wanted: set[int] = set()
         for part in _parts(text):
@@ -285,18 +300,18 @@ class Selection:
                 self._channels += [(i, low, high) for i in sorted(hit)]
         ids = self._note("spw", wanted)
         described = [r[0] for r in o.table("DATA_DESCRIPTION").filter(F.col("SPECTRAL_WINDOW_ID").isin(*ids) if ids else F.lit(False)).select(F.col(ROWNR).cast("int")).collect()]
-        return F.col("DATA_DESC_ID").isin(*described) if described else F.lit(False)
+        return _listed("DATA_DESC_ID", sorted(described))
 
-    def _on_time(self, text: str, o: Observation) -> Column:
-        return _bounded(text, _time, F.col("TIME"), "time")
+    def _on_time(self, text: str, o: Observation) -> str:
+        return _bounded(text, _time, "TIME", "time")
 
-    def _on_uvdist(self, text: str, o: Observation) -> Column:
-        u, v = F.col("UVW")[0], F.col("UVW")[1]
-        return _bounded(text, _distance, F.sqrt(u * u + v * v), "uvdist")
+    def _on_uvdist(self, text: str, o: Observation) -> str:
+        return _bounded(text, _distance, "SQRT(UVW[0]*UVW[0] + UVW[1]*UVW[1])", "uvdist")
 
     def _on_correlation(self, text: str, o: Observation) -> None:
         """Correlations choose no rows; they are noted for who reads the data."""
         self._ids["correlation"] = _parts(text)
 
-    def _on_expr(self, text: str, o: Observation) -> Column:
-        return Compiler(Scope.of(o.rows)).condition(parse_expression(text))
+    def _on_expr(self, text: str, o: Observation) -> str:
+        Compiler(Scope.of(o.rows)).condition(parse_expression(text))
+        return text

@@ -214,9 +214,13 @@ class Compiler:
             raise QueryError("IN (SELECT ...) can stand in WHERE only, joined by AND")
         if not n.items:
             return Value(F.lit(n.negated), "bool")
+        items = [self(item) for item in n.items]
+        if x.kind in ("int", "string") and all(y.kind == x.kind and y.constant is not None for y in items):
+            # one list for Catalyst, which long ones become a set and a filter of the scan
+            found = x.col.isin(*[y.constant for y in items])
+            return Value(~found if n.negated else found, "bool")
         found = None
-        for item in n.items:
-            y = self(item)
+        for y in items:
             one = F.exists(y.col, lambda v: double(x) == v) if y.kind == "array" and x.kind != "array" else self.compare("=", x, y)
             found = one if found is None else found | one
         return Value(~found if n.negated else found, "bool")

@@ -16,7 +16,7 @@ from .functions import sky, units
 from .functions.aggregates import ROWNR
 from .operators import regions, views
 from .operators.coordinates import Codes, CoordinateSystem, Direction, Linear, Tabular
-from .operators.expressions import evaluate, packed
+from .operators.expressions import evaluate, packed, reductions
 from .operators.image import Image
 from .operators.lattice import Lattice
 from .operators.observations.dataset import Observation, concatenate, to_stokes
@@ -219,9 +219,9 @@ def _array_lattice(spark, sf_dir):
 
 @query("array_reductions", f"SELECT round(sum(v),4) AS sum, round(min(v),4) AS min, round(max(v),4) AS max, round(avg(v),4) AS mean, round(median(v),4) AS median, round(var_samp(v),4) AS variance, CAST(count(*) FILTER (WHERE v>0) AS DOUBLE) AS ntrue FROM {_LONG} WHERE (i0+i1)%4<>0", 4)
 def _array_reductions(spark, sf_dir):
-    e = {"e": _embedding_lattice(spark, sf_dir)}
-    values = {f: float(evaluate(f"{f}(e)", e)) for f in ("sum", "min", "max", "mean", "median", "variance")} | {"ntrue": float(evaluate("ntrue(e > 0)", e))}
-    return spark.range(1).select(*[F.lit(v).alias(f) for f, v in values.items()])
+    asked = {f: f"{f}(e)" for f in ("sum", "min", "max", "mean", "median", "variance")} | {"ntrue": "ntrue(e > 0)"}
+    made = reductions(asked, {"e": _embedding_lattice(spark, sf_dir)})
+    return made.select(*[F.col(c).cast("double").alias(c) for c in made.columns])
 
 
 @query("lattice_sub", f"SELECT count(*) AS n, round(sum(v),4) AS s, CAST(max(i0) - 2 AS BIGINT) // 3 AS m FROM {_LONG} WHERE i0 BETWEEN 2 AND 29 AND (i0-2)%3=0 AND i1 BETWEEN 10 AND 49", 4)

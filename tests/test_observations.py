@@ -7,6 +7,7 @@ from skyquery.functions.aggregates import ROWNR
 from skyquery.operators.observations.dataset import Observation, Writer, add_history, concatenate, to_stokes
 from skyquery.operators.observations.schema import MAIN, REQUIRED, SUBTABLES
 from skyquery.operators.observations.selection import Selection, SelectionError
+from skyquery.plans.statements import Session
 
 T0 = 4.8e9
 ROWS = [
@@ -50,6 +51,9 @@ def test_selection(o, given, expected):
             Selection(**given).row_numbers(o)
     else:
         assert sorted(r[0] for r in Selection(**given).row_numbers(o).collect()) == expected
+        where = Selection(**given).where(o)
+        got = Session(o.rows.sparkSession, {"main": o.rows}).sql("SELECT ROWNR() AS r FROM main" + (f" WHERE {where}" if where else ""))
+        assert sorted(r[0] for r in got.collect()) == expected
 
 
 @pytest.mark.parametrize("given", [{"antenna": "-1"}, {"antenna": "NOPE"}, {"antenna": "0&"}, {"antenna": "0&&&1"}, {"field": "1~0"}, {"scan": "x"}, {"time": "5"}, {"time": ">2024/13/01"}, {"uvdist": "5x"}, {"state": "OBSERVE"}, {"spw": "0:x"}, {"expr": "NOPE = 1"}, {"antenna": "0,,1"}])
