@@ -53,13 +53,14 @@ class Ellipsoid(Region):
 
 @dataclass(frozen=True)
 class Polygon(Region):
-    """Pixels whose middle (index + 0.5) lies inside by the even-odd rule."""
+    """Pixels whose middle (index + 0.5) lies inside by the even-odd rule. Among world values ``middle`` is 0."""
 
     x: tuple[float, ...]
     y: tuple[float, ...]
+    middle: float = 0.5
 
     def contains(self, at):
-        px, py = at[0] + 0.5, at[1] + 0.5
+        px, py = at[0] + self.middle, at[1] + self.middle
         crossings = F.lit(0)
         points = list(zip(self.x, self.y, strict=True))
         for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
@@ -160,7 +161,27 @@ class WorldPolygon(Region):
         return Polygon(tuple(coordinates[0].to_pixel(v) for v in self.x), tuple(coordinates[1].to_pixel(v) for v in self.y))
 
 
-_KINDS = {c.__name__: c for c in (Box, Ellipsoid, Polygon, Pixels, Union, Intersection, Difference, Complement, Extension, WorldBox, WorldEllipsoid, WorldPolygon)}
+@dataclass(frozen=True)
+class InWorld(Region):
+    """The pixels whose world coordinates a region holds, on axes of any kind, the sky's too.
+
+    ``inner`` is any region of world values, set operations included, such as ``Box(a, b) - Ellipsoid(c, d)`` in
+    radians, polygons with ``middle=0``; ``system`` is the JSON of the coordinate system. Pixels without world values lie outside.
+    Longitudes are those that the system gives, from 0 to a whole turn: a box across 0 is a union of two.
+    """
+
+    inner: Region
+    system: str
+
+    def contains(self, at):
+        from .coordinates import CoordinateSystem
+
+        world = CoordinateSystem.from_json(self.system).to_world([a.cast("double") for a in at])
+        known = reduce(Column.__and__, [w.isNotNull() & ~F.isnan(w) for w in world])
+        return F.coalesce(known & self.inner.contains(world), F.lit(False))
+
+
+_KINDS = {c.__name__: c for c in (Box, Ellipsoid, Polygon, Pixels, Union, Intersection, Difference, Complement, Extension, WorldBox, WorldEllipsoid, WorldPolygon, InWorld)}
 
 
 def to_json(region: Region) -> str:

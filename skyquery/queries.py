@@ -413,9 +413,9 @@ def _carried(spark, sf_dir):
 
 def _register_others() -> None:
     """The modules that register further queries need those above."""
-    from . import function_queries, statement_queries
+    from . import function_queries, measure_queries, statement_queries
 
-    del function_queries, statement_queries
+    del function_queries, measure_queries, statement_queries
 
 
 def queries() -> dict[str, Query]:
