@@ -164,7 +164,8 @@ def concatenate(a: Observation, b: Observation) -> Observation:
         else:
             joined = second.withColumn("_known", F.lit(None).cast("long"))
             fresh = joined
-        placed = fresh.withColumn("_new", F.row_number().over(Window.orderBy(ROWNR)) - 1 + n)  # a dimension table: small
+        placed = numbered(fresh.withColumnRenamed(ROWNR, "_second").orderBy("_second"))
+        placed = placed.withColumn("_new", F.col(ROWNR) + n).drop(ROWNR).withColumnRenamed("_second", ROWNR)
         columns = [c for c in a.sub[table].columns if c != ROWNR]
         sub[table] = first.select(*columns, ROWNR).unionByName(placed.select(*columns, F.col("_new").cast("long").alias(ROWNR)))
         if same:

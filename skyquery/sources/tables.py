@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -49,14 +50,34 @@ def ordered(frame: DataFrame) -> DataFrame:
     return frame if ROWNR in frame.columns else frame.withColumn(ROWNR, F.monotonically_increasing_id())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is not set a temporary folder will do on a single machine, and only there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors could not share what is written")
+    return (named or tempfile.gettempdir()).rstrip("/")
+
+
+def _settled(frame: DataFrame) -> DataFrame:
+    """The frame itself if its partitions are those of files or local data, else what a checkpoint keeps of it."""
+    if "Exchange" not in frame._jdf.queryExecution().executedPlan().toString():
+        return frame
+    spark = frame.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return frame.checkpoint()
+
+
 def numbered(frame: DataFrame) -> DataFrame:
     """With the numbers 0, 1, ... of the rows in the order in which they are read, if there are none yet.
 
-    Counts the rows of each partition first; no rows are moved and no window is needed. The
-    frame must read its rows in the same order each time, as files and local data do.
+    Counts the rows of each partition first; no window is needed. Files and local data read
+    their rows in the same order each time. The rows of a plan that shuffles may come in other partitions
+    the second time, so they are written to the checkpoint folder first.
     """
     if ROWNR in frame.columns:
         return frame
+    frame = _settled(frame)
     counts = frame.groupBy(F.spark_partition_id().alias("p")).count().collect()
     starts, total = {}, 0
     for p, n in sorted((r[0], r[1]) for r in counts):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,12 @@ from pyspark.sql import functions as F
 
 from .plans.statements import Session
 from .queries import query, rounded, table
-from .sources.tables import Table, by_key, difference
+from .sources.tables import Table, by_key, difference, shared_folder
 
 
 def workspace(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; on a single machine where none is set a temporary one will do."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: executors could not share the tables")
-    return f"{(named or tempfile.gettempdir()).rstrip('/')}/skyquery-tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/skyquery-tables-{uuid.uuid4().hex}"
 
 
 #: Row numbers of the tables that are changed.

@@ -122,6 +122,17 @@ def test_row_numbers_have_no_gaps(spark, tmp_path):
     assert sorted(r[0] for r in got.select(ROWNR).collect()) == list(range(1000))
 
 
+def test_row_numbers_of_shuffled_rows(spark):
+    """Partitions that are laid out anew at run time neither lose a number nor give one twice."""
+    mixed = spark.range(0, 5000, 1, 7).withColumn("k", F.col("id") % 13).repartition(29, "k").join(spark.range(13).withColumnRenamed("id", "k"), "k")
+    got = managed.numbered(mixed)
+    assert sorted(r[0] for r in got.select(ROWNR).collect()) == list(range(5000))
+    assert got.filter("k = 3").agg(F.countDistinct(ROWNR)).first()[0] == mixed.filter("k = 3").count()
+    ordered = managed.numbered(spark.range(0, 1000, 1, 5).orderBy(F.col("id").desc()))
+    assert ordered.filter(F.col(ROWNR) + F.col("id") != 999).count() == 0
+    assert managed.numbered(mixed.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
 def test_files(spark, tmp_path, kind):
     frame = spark.createDataFrame([(1, "a"), (2, None)], "x long, s string")
