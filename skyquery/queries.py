@@ -176,7 +176,18 @@ def _doppler(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sky.doppler(radio, "RADIO", "BETA").alias("beta"), sky.doppler(radio, "RADIO", "Z").alias("z"), sky.doppler(radio, "RADIO", "GAMMA").alias("gamma"), F.round(sky.velocity((1 - radio) * 1.42e9, 1.42e9), 3).alias("v"))
 
 
-@query("measure_direction", None, 6)
+def _turned(matrix, lon: str, lat: str) -> str:
+    """SQL of a longitude and a latitude, of the columns x, y and z turned by a matrix."""
+    x, y, z = (f"({a!r}*x + {b!r}*y + {c!r}*z)" for a, b, c in matrix)
+    return f"round(CASE WHEN atan2({y}, {x}) < 0 THEN atan2({y}, {x}) + 2*pi() ELSE atan2({y}, {x}) END,6) AS {lon}, round(asin({z}),6) AS {lat}"
+
+
+_TILT = f"radians({sky.OBLIQUITY}/3600)"
+_ECLIPTIC = f"x, y*cos({_TILT}) + z*sin({_TILT}) AS y, z*cos({_TILT}) - y*sin({_TILT}) AS z"
+_SPHERE = "SELECT p_partkey, p_size, cos(p_size/100.0)*cos(p_size/10.0) AS x, cos(p_size/100.0)*sin(p_size/10.0) AS y, sin(p_size/100.0) AS z FROM part"
+
+
+@query("measure_direction", f"SELECT p_partkey, gl, gb, lat, el, eb FROM (SELECT p_partkey, round(p_size/100.0,6)::DOUBLE AS lat, {_turned(sky.GALACTIC, 'gl', 'gb')} FROM ({_SPHERE})) JOIN (SELECT p_partkey, {_turned(((1, 0, 0), (0, 1, 0), (0, 0, 1)), 'el', 'eb')} FROM (SELECT p_partkey, {_ECLIPTIC} FROM ({_SPHERE}))) USING (p_partkey)", 6)
 def _direction(spark, sf_dir):
     lon, lat = F.col("p_size") / 10.0, F.col("p_size") / 100.0
     gl, gb = sky.convert_direction(lon, lat, "J2000", "GALACTIC")
@@ -270,7 +281,10 @@ def _image_regrid(spark, sf_dir):
     return Image(_embedding_lattice(spark, sf_dir), here).regrid((20, 30), there).lattice.frame.select("i0", "i1", "value")
 
 
-@query("image_projection", None, 9)
+_TAN = "SELECT p_partkey, p_size, atan2((p_size - 25)*-0.001, -(p_size/2.0 - 25)*0.001) - pi() AS f, pi()/2 - atan(sqrt(power((p_size - 25)*0.001,2) + power((p_size/2.0 - 25)*0.001,2))) AS t FROM part"
+
+
+@query("image_projection", f"SELECT p_partkey, round(1.0 + atan2(-cos(t)*sin(f), sin(t)*cos(0.5) - cos(t)*sin(0.5)*cos(f)),9) AS lon, round(asin(sin(t)*sin(0.5) + cos(t)*cos(0.5)*cos(f)),9) AS lat, CAST(p_size AS DOUBLE) AS x, p_size/2.0 AS y FROM ({_TAN})", 9)
 def _image_projection(spark, sf_dir):
     d = Direction(1.0, 0.5, (-1e-3, 1e-3), (25.0, 25.0), "TAN")
     px, py = F.col("p_size").cast("double"), F.col("p_size") / 2.0
