@@ -112,6 +112,8 @@ def _mol_out(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 _HALF = math.pi / 2
+#: Rounding of native coordinates at the edge of a map, in radians.
+_EDGE = 1e-12
 #: Projections about the pole of their native sphere: plane to sphere, sphere to plane, in radians.
 ZENITHAL = {
     "SIN": (_from_radius(F.acos), _to_radius(F.cos)),
@@ -156,9 +158,18 @@ class Direction:
             return lon - math.pi, _HALF, 0.0
         return (lon + math.pi, _HALF - lat, 0.0) if lat > 0 else (lon, _HALF + lat, math.pi)
 
-    def to_world(self, px: Column, py: Column) -> tuple[Column, Column]:
+    def _native(self, px: Column, py: Column) -> tuple[Column, Column]:
         x, y = (px - self.reference_pixel[0]) * self.increment[0], (py - self.reference_pixel[1]) * self.increment[1]
-        phi, theta = PROJECTIONS[self.projection][0](x, y)
+        return PROJECTIONS[self.projection][0](x, y)
+
+    def on_map(self, px: Column, py: Column) -> Column:
+        """Whether a pixel lies on the map, edges included. The formulas of many projections go on beyond it, around the sphere once more."""
+        phi, theta = self._native(px, py)
+        return (F.abs(phi) <= math.pi + _EDGE) & (F.abs(theta) <= _HALF + _EDGE)
+
+    def to_world(self, px: Column, py: Column) -> tuple[Column, Column]:
+        """By the projection's formula, also beyond the map; ``on_map`` tells which pixels lie on it."""
+        phi, theta = self._native(px, py)
         lon, lat, at = self._pole()
         s, c = math.sin(lat), math.cos(lat)
         turn = phi - at
@@ -206,6 +217,16 @@ class CoordinateSystem:
     def to_pixel(self, worlds: list[Column]) -> list[Column]:
         return self._each(worlds, "to_pixel")
 
+    def on_map(self, pixels: list[Column]) -> Column:
+        """Whether a pixel lies on the maps of all directions; the other axes have no end."""
+        out, at = F.lit(True), 0
+        for p in self.parts:
+            n = 2 if isinstance(p, Direction) else 1
+            if n == 2:
+                out = out & p.on_map(*pixels[at : at + n])
+            at += n
+        return out
+
     def _each(self, values: list[Column], method: str) -> list[Column]:
         out, at = [], 0
         for p in self.parts:

@@ -166,7 +166,7 @@ class InWorld(Region):
     """The pixels whose world coordinates a region holds, on axes of any kind, the sky's too.
 
     ``inner`` is any region of world values, set operations included, such as ``Box(a, b) - Ellipsoid(c, d)`` in
-    radians, polygons with ``middle=0``; ``system`` is the JSON of the coordinate system. Pixels without world values lie outside.
+    radians, polygons with ``middle=0``; ``system`` is the JSON of the coordinate system. Pixels without world values and those beyond the map's edge lie outside.
     Longitudes are those that the system gives, from 0 to a whole turn: a box across 0 is a union of two.
     """
 
@@ -176,8 +176,9 @@ class InWorld(Region):
     def contains(self, at):
         from .coordinates import CoordinateSystem
 
-        world = CoordinateSystem.from_json(self.system).to_world([a.cast("double") for a in at])
-        known = reduce(Column.__and__, [w.isNotNull() & ~F.isnan(w) for w in world])
+        system, at = CoordinateSystem.from_json(self.system), [a.cast("double") for a in at]
+        world = system.to_world(at)
+        known = reduce(Column.__and__, [w.isNotNull() & ~F.isnan(w) for w in world], system.on_map(at))
         return F.coalesce(known & self.inner.contains(world), F.lit(False))
 
 

@@ -95,6 +95,22 @@ def test_regions(a):
     assert registry.get("y") == box
 
 
+def test_world_region_ends_with_the_map(spark):
+    """Beyond the edges of a map the formulas come round the sphere to the same place again."""
+    turn = round(2 * math.pi / 0.01)
+    rows = spark.createDataFrame([(i, j) for i in (10, 10 + turn, 10 - turn) for j in (40, 40 + turn, 40 - turn)] + [(None, 40)], "i0 long, i1 long")
+    at, box = [F.col("i0"), F.col("i1")], regions.Box((0.9, -0.1), (1.1, 0.1))
+    for kind in ("CAR", "SFL", "PAR", "MER", "ARC", "AIT", "CEA", "MOL"):
+        system = CoordinateSystem([Direction(1.0, 0.0, (-0.01, 0.01), (10.0, 40.0), kind)]).to_json()
+        assert [tuple(r) for r in rows.filter(regions.InWorld(box, system).contains(at)).collect()] == [(10, 40)], kind
+    # both poles and both ends of the equator, one degree a pixel, are on the map; a pixel further is not, also on axes after others
+    d = math.radians(1)
+    system = CoordinateSystem([Linear(), Direction(1.0, 0.0, (-d, d), (180.0, 90.0), "CAR")])
+    ends = spark.createDataFrame([(180, 0), (180, 180), (0, 90), (360, 90), (180, -1), (180, 181), (-1, 90), (361, 90)], "i0 long, i1 long")
+    shown = regions.InWorld(regions.Complement(regions.Box((5.0, -9.0, -9.0), (5.0, 9.0, 9.0))), system.to_json()).contains([F.lit(0), *at])
+    assert [r[0] for r in ends.select(shown).collect()] == [True] * 4 + [False] * 4
+
+
 def test_images(spark, a, tmp_path):
     image = Image(a, CoordinateSystem([Linear(0.0, 2.0), Linear(0.0, 2.0)]), "Jy/beam", {"beam": 1.0})
     fine = image.regrid((16, 16), CoordinateSystem([Linear(), Linear()]))

@@ -48,5 +48,15 @@ def test_query(spark, con, data, name):
     assert shown(library.queries()[name](spark, data).toPandas()) == shown(con.execute(library.oracle_sql()[name]).df())
 
 
+def test_region_world_with_ids_around_the_sphere(spark, tmp_path):
+    """Rows past a quarter turn of latitude, upwards and downwards, are not on the map; some would come round to the box again."""
+    ids = [*range(-700, 1400), 1400, 50_000, None]
+    vectors = pd.DataFrame({"vec_id": pd.array(ids, "Int64"), "embedding": [[0.5] * 64] * len(ids), "label": 0})
+    spark.createDataFrame([(i, [0.5] * 64, 0) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.register("embeddings", vectors)
+    assert shown(library.queries()["region_world"](spark, str(tmp_path)).toPandas()) == shown(c.execute(library.oracle_sql()["region_world"]).df())
+
+
 def test_every_query_has_sql():
     assert set(library.queries()) == set(library.oracle_sql())
